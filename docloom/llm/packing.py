@@ -74,8 +74,12 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-#: Kept from task to task in each Python worker.
-encoder = functools.cache(WordEncoder)
+@functools.cache
+def encoder(name: str) -> WordEncoder:
+    """Kept from task to task in each Python worker."""
+    return WordEncoder(name)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import packing, simhash, tokencount
+from docloom.llm import langid, packing, simhash, tokencount, urlfilter
 from docloom.llm._common import table
 
 
@@ -24,9 +24,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op6_langid": op6_langid,
+    "op10_url_filters": op10_url_filters,
     "op9_token_counts": op9_token_counts,
 }
 ORACLE: dict[str, str] = {}

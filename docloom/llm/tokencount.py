@@ -191,8 +191,10 @@ class TokenCounter:
         return self.plain(text)
 
 
-#: Compiled once in each Python worker and kept from task to task.
-compiled = functools.cache(TokenCounter)
+@functools.cache
+def compiled(name: str) -> TokenCounter:
+    """Compiled once in each Python worker and kept from task to task."""
+    return TokenCounter(name)
 
 
 def _counts(name: str, limit: int):
