@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import langid, packing, simhash, tokencount, toxicity, urlfilter
+from docloom.llm import decontam, langid, linededup, packing, simhash, tokencount, toxicity, urlfilter
 from docloom.llm._common import table
 
 
@@ -29,6 +29,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_lines(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.withColumn("score", F.round("score", 6))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -41,8 +50,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_line_dedup": op4_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op6_langid": op6_langid,
     "op10_url_filters": op10_url_filters,
     "op9_token_counts": op9_token_counts,
 }
-ORACLE: dict[str, str] = {}
+_LINES = """
+words as (
+  select doc_id, unnest(range(len(string_split(text, chr(10))))) as line_no,
+         list_filter(string_split_regex(translate(unnest(string_split(text, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents),
+lines as (select doc_id, line_no, w, doc_id * 2147483648::hugeint + line_no as place from words where len(w) >= 5),
+uniq as (select w, min(place) as first from lines group by w)
+"""
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": f"""
+with {_LINES},
+variants as (
+  select w, first, array_to_string(w, ' ') as v, -1 as p from uniq
+  union all
+  select w, first, array_to_string(list_concat(w[1:p], w[p + 2:]), ' '), p
+  from (select w, first, unnest(range(len(w))) as p from uniq)
+  where p = 0 or w[p + 1] <> w[p]),
+near as (
+  select a.w, min(b.first) as near from variants a join variants b on a.v = b.v and a.w <> b.w and b.first < a.first
+  and (a.p = -1 or b.p = -1 or a.p = b.p) group by a.w),
+kept as (select u.w, u.first, n.near, least(u.first, coalesce(n.near, u.first)) as best from uniq u left join near n on u.w = n.w)
+select l.doc_id, l.line_no::int as line_no, (k.best // 2147483648)::bigint as kept_doc_id, (k.best % 2147483648)::int as kept_line_no,
+       case when k.near is not null then 1 else 0 end::int as edits
+from lines l join kept k on l.w = k.w where l.place > k.first or k.near is not null
+""",
+}
