@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, linededup, packing, simhash, tokencount, toxicity, urlfilter
+from docloom.llm import decontam, embeddings, langid, linededup, packing, simhash, tokencount, toxicity, urlfilter, warc
 from docloom.llm._common import table
 
 
@@ -38,6 +38,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("score", F.round("score", 6))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op5_warc": op5_warc,
+    "op8_embeddings": op8_embeddings,
     "op6_langid": op6_langid,
     "op10_url_filters": op10_url_filters,
     "op9_token_counts": op9_token_counts,
