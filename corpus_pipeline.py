@@ -1,8 +1,58 @@
-"""Corpus pipeline: STAGES in order, each written as Parquet and read again by the next."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's ``docs``. All
+but the last return the columns of documents. A stage works on everything that the one before it kept:
 
+1. language ID: texts without a letter, and those whose language stays ambiguous, go;
+2. line dedup: repeated lines go, and documents of which nothing else is left;
+3. SimHash near-dedup: one document of each component stays;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. best-fit packing: one row per piece of a document, with its place in a sequence.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docloom.llm import decontam, langid, linededup, packing, simhash
+from docloom.llm._common import saved, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs, radius=3)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, "word_bpe_49k.json", capacity=2048)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
+#: Learned models, fingerprint search and alignment are beyond SQL; tests compare each stage with a brute-force version.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -252,3 +252,21 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def as_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: Most document ids that are broadcast to leave their rows out; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all their columns as they were, without those whose component has a smaller doc_id.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id can't be told apart by it, and all stay.
+    """
+    got = saved(near_duplicates(docs, radius), "decided")
+    gone = saved(got.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    if got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
