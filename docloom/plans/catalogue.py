@@ -1,4 +1,541 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries and their SQL counterparts, by name."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.functions import text as tx
+from docloom.operators import chunking, dense, fusion, lexical, qa, sync
+from docloom.plans import views
+from docloom.plans.views import NOW, SQL_CHUNKS, SQL_DOCS, table
+from docloom.sources import files
+from docloom.streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def r6(c: str) -> F.Column:
+    return (F.round(c, 6) + 0.0).alias(c)
+
+
+# --- lexical ------------------------------------------------------------------------------------------------------
+
+
+def _count(phrase: str) -> str:
+    return f"((length(lower(text)) - length(replace(lower(text), '{phrase}', ''))) / {len(phrase)})"
+
+
+def bm25_sql(phrases: list[str], where: str) -> str:
+    df = ", ".join(f"count(*) filter (contains(lower(text), '{p}')) as df{k}" for k, p in enumerate(phrases))
+    size = "greatest(0, length(text) - 2)"
+    idf = lambda k: f"(case when ln((n - df{k} + 0.5::double) / (df{k} + 0.5::double)) > 0 then ln((n - df{k} + 0.5::double) / (df{k} + 0.5::double)) else 1e-6 end)"
+    one = lambda k, p: f"{idf(k)} * {_count(p)} * 2.2::double / ({_count(p)} + 1.2::double * (0.25::double + 0.75::double * {size} / avgdl))"
+    score = " + ".join(one(k, p) for k, p in enumerate(phrases))
+    return f"""select doc_id, chunk_index, -({score}) as bm25 from chunks, (select count(*) as n, avg({size}) as avgdl, {df} from chunks) where {where}"""
+
+
+def _lexical(name: str, text: str, phrases: list[str], where: str) -> None:
+    @query(name, f"with {SQL_CHUNKS} select doc_id, chunk_index, round(bm25, 6) as bm25 from ({bm25_sql(phrases, where)})")
+    def run(spark, sf_dir):
+        return lexical.bm25(views.chunks(spark, sf_dir), text).select("doc_id", "chunk_index", r6("bm25"))
+
+
+_has = lambda p: f"contains(lower(text), '{p}')"
+_lexical("lex_single", "retiti", ["retiti"], _has("retiti"))
+_lexical("lex_and", "retiti other", ["retiti", "other"], f"{_has('retiti')} and {_has('other')}")
+_lexical("lex_or", "retiti OR license", ["retiti", "license"], f"{_has('retiti')} or {_has('license')}")
+_lexical("lex_not", "license NOT retiti", ["license", "retiti"], f"{_has('license')} and not {_has('retiti')}")
+_lexical("lex_phrase", '"of the"', ["of the"], _has("of the"))
+_lexical("lex_short_term", "retiti of", ["retiti"], _has("retiti"))
+
+
+@query("lex_variants_min", f"""with {SQL_CHUNKS}, hits as (
+ select * from ({bm25_sql(["retiti"], _has("retiti"))} order by bm25, doc_id, chunk_index limit 36)
+ union all select * from ({bm25_sql(["license"], _has("license"))} order by bm25, doc_id, chunk_index limit 36))
+select doc_id, chunk_index, round(min(bm25), 6) as bm25 from hits group by doc_id, chunk_index order by min(bm25), doc_id, chunk_index limit 36""")
+def lex_variants_min(spark, sf_dir):
+    return lexical.search(views.chunks(spark, sf_dir), ["retiti", "license"], 36).select("doc_id", "chunk_index", r6("bm25"))
+
+
+LEX_SQL = f"""hits as (select * from ({bm25_sql(["retiti"], _has("retiti"))}) order by bm25, doc_id, chunk_index limit 36),
+lex as (select doc_id, chunk_index, case when max(-bm25) over () = min(-bm25) over () then 1.0 else (-bm25 - min(-bm25) over ()) / (max(-bm25) over () - min(-bm25) over ()) end as lex from hits)"""
+
+
+@query("lex_minmax", f"with {SQL_CHUNKS}, {LEX_SQL} select doc_id, chunk_index, round(lex, 6) as lex from lex")
+def lex_minmax(spark, sf_dir):
+    return lexical.min_max(lexical.search(views.chunks(spark, sf_dir), ["retiti"], 36)).select("doc_id", "chunk_index", r6("lex"))
+
+
+@query("lex_syntax_error", f"with {SQL_CHUNKS} select 'retiti' as query, count(*) as n from chunks where {_has('retiti')} union all select 'NOT retiti', 0")
+def lex_syntax_error(spark, sf_dir):
+    chunks = views.chunks(spark, sf_dir)
+    out = [lexical.search(chunks, [q], 1 << 30).agg(F.lit(q).alias("query"), F.count("*").alias("n")) for q in ("retiti", "NOT retiti")]
+    return out[0].unionByName(out[1])
+
+
+@query("lexicon_expand", "select * from (values ('NLP', ['NLP', '自然语言处理', 'language processing']), ('Roadmap ', ['Roadmap', 'Project Plan', 'milestones', '项目路线图']), ('atlas', ['atlas'])) t(query, variants)")
+def lexicon_expand(spark, sf_dir):
+    return spark.createDataFrame([(q, lexical.expand(q)) for q in ("NLP", "Roadmap ", "atlas")], "query string, variants array<string>")
+
+
+# --- dense and fusion -------------------------------------------------------------------------------------------------
+
+
+def near_sql(vec_id: int, where: str = "true", k: int = 36) -> str:
+    dot = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::double * {b}[i]::double))"
+    return f"""select e.vec_id as doc_id, 1 - {dot('e.embedding', 'p.embedding')} / (sqrt({dot('e.embedding', 'e.embedding')}) * sqrt({dot('p.embedding', 'p.embedding')})) as distance
+ from embeddings e, (select embedding from embeddings where vec_id = {vec_id}) p where {where} order by distance, doc_id limit {k}"""
+
+
+@query("dense_topk", f"select doc_id, round(distance, 6) + 0.0::double as distance from ({near_sql(0)})")
+def dense_topk(spark, sf_dir):
+    return dense.nearest(views.vectors(spark, sf_dir), [views.probe(spark, sf_dir, 0)], 36).select("doc_id", r6("distance"))
+
+
+@query("dense_filtered", f"with {SQL_DOCS} select doc_id, round(distance, 6) + 0.0::double as distance from ({near_sql(0, "e.vec_id in (select doc_id from docs where category = 'de' and not is_deleted)")})")
+def dense_filtered(spark, sf_dir):
+    allowed = fusion.Filter(categories=["de"]).apply(views.docs(spark, sf_dir))
+    return dense.nearest(views.vectors(spark, sf_dir), [views.probe(spark, sf_dir, 0)], 36, allowed).select("doc_id", r6("distance"))
+
+
+@query("dense_variants_min", f"select doc_id, round(min(distance), 6) + 0.0::double as distance from (select * from ({near_sql(0)}) union all select * from ({near_sql(1)})) group by doc_id")
+def dense_variants_min(spark, sf_dir):
+    return dense.nearest(views.vectors(spark, sf_dir), [views.probe(spark, sf_dir, k) for k in (0, 1)], 36).select("doc_id", r6("distance"))
+
+
+@query("freshness", f"with {SQL_DOCS} select doc_id, round(exp(-0.023::double * greatest(date_diff('day', modified_at, timestamp '{NOW}'), 0)), 6) as fresh from docs")
+def freshness(spark, sf_dir):
+    return views.docs(spark, sf_dir).select("doc_id", F.round(fusion.freshness(fusion.age(F.col("modified_at"), F.lit(NOW))), 6).alias("fresh"))
+
+
+FUSED_SQL = f"""near as ({near_sql(0)}),
+cands as (select coalesce(l.doc_id, n.doc_id) as doc_id, coalesce(l.chunk_index, 0) as chunk_index, coalesce(l.lex, 0) as lex, greatest(0, 1 - coalesce(n.distance, 2.0)) as dense
+ from lex l full outer join near n on l.doc_id = n.doc_id and l.chunk_index = 0),
+scored as (select b.*, exp(-0.023::double * greatest(date_diff('day', d.modified_at, timestamp '{NOW}'), 0)) as fresh, d.display_path from cands b join docs d on b.doc_id = d.doc_id where b.lex >= 0.01 or b.dense >= 0.01),
+top as (select *, 0.55::double * lex + 0.35::double * dense + 0.1::double * fresh as score from scored order by score desc, doc_id, chunk_index limit 12)"""
+
+
+@query("fusion_outer", f"with {SQL_DOCS}, {SQL_CHUNKS}, {LEX_SQL}, {FUSED_SQL} select doc_id, chunk_index, round(score, 6) as score, round(lex, 6) as lex, round(dense, 6) as dense, round(fresh, 6) as fresh from top")
+def fusion_outer(spark, sf_dir):
+    lex = lexical.min_max(lexical.search(views.chunks(spark, sf_dir), ["retiti"], 36)).select("doc_id", "chunk_index", "lex")
+    near = dense.nearest(views.vectors(spark, sf_dir), [views.probe(spark, sf_dir, 0)], 36).withColumn("chunk_index", F.lit(0))
+    return fusion.fused(lex, near, views.docs(spark, sf_dir).drop("text"), F.lit(NOW)).select("doc_id", "chunk_index", *map(r6, ("score", "lex", "dense", "fresh")))
+
+
+_PREVIEW = lambda n: f"case when length(c.text) > {n} then trim(replace(substr(c.text, 1, {n}), chr(10), ' '), ' ') || '...' else trim(replace(c.text, chr(10), ' '), ' ') end"
+
+
+@query("hybrid_search", f"""with {SQL_DOCS}, {SQL_CHUNKS}, {LEX_SQL}, {FUSED_SQL}
+select t.doc_id, t.chunk_index, round(score, 6) as score, round(lex, 6) as lex, round(dense, 6) as dense, round(fresh, 6) as fresh, display_path, t.chunk_index as paragraph,
+ c.char_start || '-' || c.char_end as char_range, {_PREVIEW(120)} as quote, {_PREVIEW(200)} as summary from top t join chunks c on t.doc_id = c.doc_id and t.chunk_index = c.chunk_index""")
+def hybrid_search(spark, sf_dir):
+    got = fusion.hybrid_search(views.docs(spark, sf_dir), views.chunks(spark, sf_dir), views.vectors(spark, sf_dir), "retiti", [views.probe(spark, sf_dir, 0)], F.lit(NOW))
+    return got.select("doc_id", "chunk_index", *map(r6, ("score", "lex", "dense", "fresh")), "display_path", "paragraph", "char_range", "quote", "summary")
+
+
+# --- filters ------------------------------------------------------------------------------------------------------------
+
+
+def _filter(name: str, where: fusion.Filter, sql: str) -> None:
+    @query(name, f"with {SQL_DOCS} select doc_id, category, file_type, sensitivity from docs where not is_deleted and {sql}")
+    def run(spark, sf_dir):
+        return where.apply(views.docs(spark, sf_dir)).select("doc_id", "category", "file_type", "sensitivity")
+
+
+_SPAN = (datetime(2024, 1, 10), datetime(2024, 1, 20, 0, 0, 0, 5))
+_SPAN_SQL = "modified_at between timestamp '2024-01-10' and timestamp '2024-01-20'"
+_filter("filter_category", fusion.Filter(categories=["de", "fr"]), "category in ('de', 'fr')")
+_filter("filter_type", fusion.Filter(file_types=["md"]), "file_type = 'md'")
+_filter("filter_sensitivity", fusion.Filter(sensitivities=["sensitive"]), "sensitivity = 'sensitive'")
+_filter("filter_time", fusion.Filter(modified=_SPAN), _SPAN_SQL)
+_filter("filter_tags_any", fusion.Filter(tags=["src1", "src2"]), "list_has_any(tags, ['src1', 'src2'])")
+_filter("filter_dir_prefix", fusion.Filter(directories=["/corpus/src1", "src3"]), "(directory = '/corpus/src1' or lower(directory) like '/corpus/src1/%' or relative_directory = 'src3' or lower(relative_directory) like 'src3/%')")
+_filter("filter_source_root", fusion.Filter(source_roots=["/corpus"]), "source_root = '/corpus'")
+_filter("filter_combined", fusion.Filter(categories=["en"], file_types=["txt", "md"], modified=_SPAN, tags=["src0", "src1", "src2"]), f"category = 'en' and file_type in ('txt', 'md') and {_SPAN_SQL} and list_has_any(tags, ['src0', 'src1', 'src2'])")
+
+# --- text ---------------------------------------------------------------------------------------------------------------
+
+
+def _values(spark: SparkSession, rows: list[str], name: str = "s") -> DataFrame:
+    return spark.createDataFrame([(k, r) for k, r in enumerate(rows)], f"id int, {name} string")
+
+
+def _sql_values(rows: list[str]) -> str:
+    return "(values " + ", ".join("({}, '{}')".format(k, r.replace("'", "''")) for k, r in enumerate(rows)) + ") t(id, s)"
+
+
+_TEXTS = ["ＡＢＣ　１２３，ｘｙｚ", "e\u0301te\u0301  a", "项目负责人：王敏 Alpha beta", "plain text", "中文 mixed 文本。 ok"]
+_CJK = r"[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{2FA1F}}]"
+
+
+@query("normalize_width", f"select id, regexp_replace(translate(nfc_normalize(s), '{tx._WIDE}', '{tx._NARROW}'), '[ \\f\\r]+', ' ', 'g') as out from {_sql_values(_TEXTS)}")
+def normalize_width(spark, sf_dir):
+    return _values(spark, _TEXTS).select("id", tx.normalized(F.col("s")).alias("out"))
+
+
+_VISIBLE = "length(regexp_replace({0}, '[\\x00-\\x20]', '', 'g'))"
+_NCJK = "(length({0}) - length(regexp_replace({0}, '" + _CJK + "', '', 'g')))"
+
+
+@query("token_estimate", f"select doc_id, greatest(1, floor({_NCJK.format('text')} / 1.5) + floor(({_VISIBLE.format('text')} - {_NCJK.format('text')}) / 4.0))::int as tokens from documents")
+def token_estimate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("cjk_ratio", f"select id, round({_NCJK.format('s')}::double / {_VISIBLE.format('s')}, 6) as ratio from {_sql_values(_TEXTS)}")
+def cjk_ratio(spark, sf_dir):
+    return _values(spark, _TEXTS).select("id", F.round(tx.cjk_ratio(F.col("s")), 6).alias("ratio"))
+
+
+@query("txt_paragraphs", "select doc_id, len(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' ')), lambda x: x <> '')) as n, trim(string_split_regex(text, '\\n\\s*\\n')[1], ' ') as title from documents")
+def txt_paragraphs(spark, sf_dir):
+    parts = F.filter(F.transform(F.split("text", r"\n\s*\n", -1), F.trim), lambda x: x != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("title"))
+
+
+_DOC_PREVIEW = lambda n: f"case when length(text) > {n} then trim(replace(substr(text, 1, {n}), chr(10), ' '), ' ') || '...' else trim(replace(text, chr(10), ' '), ' ') end"
+
+
+@query("summary_quote", f"select doc_id, {_DOC_PREVIEW(200)} as summary, {_DOC_PREVIEW(120)} as quote from documents")
+def summary_quote(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text"), 200).alias("summary"), tx.preview(F.col("text"), 120).alias("quote"))
+
+
+@query("terms", "select * from (values (0, ['alpha', '人是', '是谁', '责人', '负责', '负责人', '负责人是谁', '责人是', '人是谁']), (1, ['release', 'plan', '10'])) t(id, raw)".replace("select *", "select id, list_sort(list_filter(raw, lambda x: x not in ('是谁'))) as terms"))
+def terms(spark, sf_dir):
+    return _values(spark, ["Alpha 负责人是谁？", "a Release-plan 10!"]).select("id", tx.terms(F.col("s")).alias("terms"))
+
+
+@query("redact", "select * from (values (0, 'api_key=[REDACTED] x'), (1, 'use Bearer [REDACTED] now'), (2, '\"token\":\"[REDACTED]\"'), (3, 'sk-[REDACTED] end'), (4, 'nothing')) t(id, out)")
+def redact(spark, sf_dir):
+    return _values(spark, ["api_key=abc123 x", "use bearer abc.def now", '"token": "s3cret"', "sk-abcdefgh12 end", "nothing"]).select("id", tx.redacted(F.col("s")).alias("out"))
+
+
+@query("text_digest", "select doc_id, sha256(trim(text, ' ')) as text_sha256, length(trim(text, ' '))::int as text_length from documents")
+def text_digest(spark, sf_dir):
+    h, n = tx.digest(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", h.alias("text_sha256"), n.alias("text_length"))
+
+
+@query("dir_facts", "select * from (values (0, 'C:/a/b.txt', 'C:/a'), (1, '/x/y', '/x'), (2, 'C:/', 'C:'), (3, 'file.md', '')) t(id, path, dir)")
+def dir_facts(spark, sf_dir):
+    p = tx.path(F.col("s"))
+    return _values(spark, ["C:\\a\\b.txt", "/x/y/", "C:\\", "file.md"]).select("id", p.alias("path"), tx.directory(p).alias("dir"))
+
+
+# --- chunks and evidence ----------------------------------------------------------------------------------------------
+
+
+@query("segments", f"""with {SQL_CHUNKS}, marked as (select doc_id, chunk_index, case when (chunk_index // 4) is distinct from lag(chunk_index // 4) over (partition by doc_id order by chunk_index) then 1 else 0 end as fresh from chunks)
+select doc_id, chunk_index, sum(fresh) over (partition by doc_id order by chunk_index)::bigint as segment from marked""")
+def segments(spark, sf_dir):
+    rows = views.chunks(spark, sf_dir).select("doc_id", "chunk_index", F.floor(F.col("chunk_index") / 4).alias("heading"))
+    w = sync.W.partitionBy("doc_id").orderBy("chunk_index")
+    fresh = (~F.col("heading").eqNullSafe(F.lag("heading").over(w))) | F.lag("chunk_index").over(w).isNull()
+    return rows.withColumn("fresh", fresh.cast("int")).select("doc_id", "chunk_index", F.sum("fresh").over(w).alias("segment"))
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return files.parsed(d.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("txt").alias("file_type"), F.col("text").cast("binary").alias("content")))
+
+
+@query("chunks")
+def chunks_query(spark, sf_dir):
+    """Rows only: the fold over paragraphs depends on their order; tests compare it with hand-worked cases."""
+    return chunking.chunks(_parsed(spark, sf_dir)).select("doc_id", "chunk_index", "char_start", "char_end", "token_estimate")
+
+
+@query("chunk_stats")
+def chunk_stats(spark, sf_dir):
+    return chunking.chunks(_parsed(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"), F.max("char_end").alias("last_char"))
+
+
+MD = "---\ncategory: Project\ntags: [a, B]\n---\n# Plan\nIntro text\n\n## Goals\n- one\n\n```\n# not a heading\n```\nOther\n=====\ntail"
+
+
+@query("md_parse")
+def md_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(0, "a.md", "md", bytearray(MD.encode()))], "doc_id long, path string, file_type string, content binary")
+    return files.parsed(rows).select("doc_id", "title", "category", F.explode("paragraphs").alias("p")).select("doc_id", "title", "category", "p.index", "p.text", "p.heading_path")
+
+
+@query("chunk_first4", f"with {SQL_CHUNKS}, r as (select doc_id, chunk_index, row_number() over (partition by doc_id order by chunk_index) as rn from chunks) select doc_id, chunk_index, round(greatest(0.1, 1 - 0.05 * (rn - 1))::double, 6) as item_score from r where rn <= 4")
+def chunk_first4(spark, sf_dir):
+    rows = views.chunks(spark, sf_dir).withColumn("rn", F.row_number().over(sync.W.partitionBy("doc_id").orderBy("chunk_index"))).where("rn <= 4")
+    return rows.select("doc_id", "chunk_index", F.round(F.greatest(F.lit(0.1), 1 - F.lit(0.05) * (F.col("rn") - 1)), 6).alias("item_score"))
+
+
+@query("citation", f"with {SQL_DOCS}, {SQL_CHUNKS} select c.doc_id, c.chunk_index, d.display_path, (c.chunk_index + 1)::varchar as paragraph_range, c.char_start || '-' || c.char_end as char_range, {_PREVIEW(120)} as quote from chunks c join docs d on c.doc_id = d.doc_id where not d.is_deleted")
+def citation(spark, sf_dir):
+    docs = fusion.Filter().apply(views.docs(spark, sf_dir)).select("doc_id", "display_path")
+    return views.chunks(spark, sf_dir).join(docs, "doc_id").select("doc_id", "chunk_index", "display_path", (F.col("chunk_index") + 1).cast("string").alias("paragraph_range"), F.concat_ws("-", "char_start", "char_end").alias("char_range"), tx.preview(F.col("text"), 120).alias("quote"))
+
+
+@query("preview_window", f"""with {SQL_CHUNKS}, numbered as (select *, row_number() over (partition by doc_id order by chunk_index) as p from chunks),
+hit as (select doc_id, p from numbered where {_has('retiti')})
+select h.doc_id, h.p as hit, string_agg(n.text, chr(10) order by n.p) as preview from hit h join numbered n on h.doc_id = n.doc_id and n.p between h.p - 1 and h.p + 1 group by h.doc_id, h.p""")
+def preview_window(spark, sf_dir):
+    """Paragraphs next to each hit, by lag and lead: no join at all."""
+    w = sync.W.partitionBy("doc_id").orderBy("chunk_index")
+    rows = views.chunks(spark, sf_dir).select("doc_id", "chunk_index", "text", F.row_number().over(w).cast("long").alias("hit"), F.concat_ws("\n", F.lag("text").over(w), "text", F.lead("text").over(w)).alias("preview"))
+    return rows.where(F.lower("text").contains("retiti")).select("doc_id", "hit", "preview")
+
+
+@query("doc_bundle", f"with {SQL_DOCS}, {SQL_CHUNKS}, r as (select c.*, row_number() over (partition by c.doc_id order by c.chunk_index) as rn from chunks c join docs d on c.doc_id = d.doc_id where d.doc_id in (1, 3, 5) and not d.is_deleted) select doc_id, chunk_index, text, rn::int as rank from r where rn <= 4")
+def doc_bundle(spark, sf_dir):
+    docs = fusion.Filter().apply(views.docs(spark, sf_dir)).where(F.col("doc_id").isin(1, 3, 5)).select("doc_id")
+    rows = views.chunks(spark, sf_dir).join(F.broadcast(docs), "doc_id", "left_semi").withColumn("rank", F.row_number().over(sync.W.partitionBy("doc_id").orderBy("chunk_index")))
+    return rows.where("rank <= 4").select("doc_id", "chunk_index", "text", "rank")
+
+
+# --- question answering -----------------------------------------------------------------------------------------------
+
+QUESTIONS = [("Atlas 项目负责人是谁？", "fact"), ("比较 Atlas 发布时间的版本差异", "compare"), ("Atlas 发布时间时间线是什么？", "timeline"), ("Atlas 项目当前有哪些关键决策？", "summary"), ("Atlas 有哪些发布时间？", "fact_list"), ("总结 Atlas", "summary"), ("Atlas 合同编号", "fact")]
+LINES = [
+    (1, "2024-01-01 00:00:00", 0, "项目负责人：王敏"), (1, "2024-01-01 00:00:00", 1, "发布时间：2024-03-01"), (2, "2024-01-05 00:00:00", 0, "发布时间：2024-04-15"),
+    (2, "2024-01-05 00:00:00", 1, "决策：采用新架构"), (3, "2024-01-03 00:00:00", 0, "Aurora 项目负责人是赵宁，下周到岗"), (3, "2024-01-03 00:00:00", 1, "风险: 供应链不稳定"),
+    (3, "2024-01-03 00:00:00", 2, "需要补齐测试"), (4, "2024-01-07 00:00:00", 0, "发布时间：2024-03-01"), (4, "2024-01-07 00:00:00", 1, "随便一行"),
+]
+FACTS = [(1, 0, "owner", "王敏"), (1, 1, "publish_time", "2024-03-01"), (2, 0, "publish_time", "2024-04-15"), (2, 1, "decision", "采用新架构"), (3, 0, "owner", "赵宁"), (3, 1, "risk", "供应链不稳定"), (4, 0, "publish_time", "2024-03-01")]
+_FACT_SQL = "facts as (select * from (values " + ", ".join(f"({d}, {p}, '{k}', '{v}')" for d, p, k, v in FACTS) + ") t(doc_id, position, key, value)), lines as (select * from (values " + ", ".join(f"({d}, timestamp '{m}', {p}, '{t}')" for d, m, p, t in LINES) + ") t(doc_id, modified_at, position, line)), rows_ as (select f.*, l.modified_at, l.line from facts f join lines l using (doc_id, position)), firsts as (select * from rows_ qualify row_number() over (partition by key, value order by modified_at, doc_id, position) = 1)"
+
+
+def _lines(spark) -> DataFrame:
+    return spark.createDataFrame([(d, datetime.fromisoformat(m), p, t) for d, m, p, t in LINES], "doc_id int, modified_at timestamp, position int, line string").withColumn("modified_at", F.element_at(F.create_map(*[x for d, m in sorted({(d, m) for d, m, _, _ in LINES}) for x in (F.lit(d), F.expr(f"timestamp '{m}'"))]), F.col("doc_id")))
+
+
+@query("intent", "select * from (values " + ", ".join(f"('{q}', '{i}')" for q, i in QUESTIONS) + ") t(question, intent)")
+def intent(spark, sf_dir):
+    return spark.createDataFrame([(q,) for q, _ in QUESTIONS], "question string").withColumn("intent", qa.intent(F.col("question")))
+
+
+@query("fact_lines", f"with {_FACT_SQL} select doc_id, position, key, value from facts where not (doc_id = 3 and position = 0)")
+def fact_lines(spark, sf_dir):
+    return _lines(spark).withColumn("f", qa.fact_line(F.col("line"))).where("f is not null").select("doc_id", "position", "f.key", "f.value")
+
+
+@query("natural_facts", f"with {_FACT_SQL} select doc_id, position, key, value from facts")
+def natural_facts(spark, sf_dir):
+    return qa.fact_rows(_lines(spark)).select("doc_id", "position", "key", "value")
+
+
+@query("conflicts", f"with {_FACT_SQL}, many as (select key, count(*) as n_values from firsts group by key having count(*) > 1) select key, (row_number() over (partition by key order by modified_at, doc_id, position))::int as rank, value, doc_id, n_values from firsts join many using (key)")
+def conflicts(spark, sf_dir):
+    return qa.conflicts(qa.fact_rows(_lines(spark)))
+
+
+@query("fact_list", f"with {_FACT_SQL} select key, value, doc_id from firsts order by key, modified_at, value limit 6")
+def fact_list(spark, sf_dir):
+    return qa.fact_list(qa.fact_rows(_lines(spark)))
+
+
+@query("compare", f"with {_FACT_SQL} select count(distinct value) as n_values, count(distinct doc_id) as n_docs, true as comparable from rows_ where key = 'publish_time'")
+def compare(spark, sf_dir):
+    return qa.comparable(qa.fact_rows(_lines(spark)), "publish_time")
+
+
+@query("timeline", f"with {_FACT_SQL} select modified_at, value, doc_id from firsts where key = 'publish_time' order by modified_at, doc_id limit 6")
+def timeline(spark, sf_dir):
+    return qa.timeline(qa.fact_rows(_lines(spark)), "publish_time")
+
+
+@query("insights", "select * from (values ('decision', '采用新架构', 2), ('risk', '供应链不稳定', 3), ('todo', '需要补齐测试', 3)) t(kind, text, doc_id)")
+def insights(spark, sf_dir):
+    return qa.insights(_lines(spark))
+
+
+@query("summary_lines", """with r as (select conv_id as item, turn as position, text as line, row_number() over (partition by conv_id order by turn) as rn from conversations where text is not null)
+select item, position, line from r where rn <= 2 order by 1.0 / (1 + item) desc, item, position limit 6""")
+def summary_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return qa.summary(c.select(F.col("conv_id").alias("item"), (F.lit(1.0) / (1 + F.col("conv_id"))).alias("item_score"), F.col("turn").alias("position"), F.col("text").alias("line")))
+
+
+@query("citation_check", "select * from (values (1, true), (2, false)) t(claim_id, valid)")
+def citation_check(spark, sf_dir):
+    return qa.cited(spark.createDataFrame([(1, 2, "采用新架构"), (2, 2, "采用旧架构")], "claim_id int, doc_id int, text string"), _lines(spark))
+
+
+# --- synchronisation ----------------------------------------------------------------------------------------------------
+
+_RULES = files.ExcludeRules(globs=("*.html",), max_size_bytes=30_000)
+_PATH_SQL = "regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g')"
+_SCAN_SQL = f"""scan as (select page_id, {_PATH_SQL} as path, length(html)::bigint as size_bytes from pages), named as (select *, list_extract(string_split(path, '/'), -1) as name from scan),
+decided as (select page_id, path, case when name in ('') then null else null end as x,
+ case when len(list_filter(string_split(path, '/')[:-2], lambda p: starts_with(p, '.'))) > 0 then 'hidden_dir' when starts_with(name, '.') then 'hidden_file' when regexp_full_match(name, '.*\\.html') then 'exclude_glob:*.html' when size_bytes > 30000 then 'max_size_bytes'
+ when lower(regexp_extract(name, '\\.([^./\\\\]+)$', 1)) in ('txt', 'md', 'docx', 'pdf') then null else 'unsupported_format' end as reason from named)"""
+
+
+def _scanned(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return files.decisions(pages.select("page_id", F.regexp_replace("url", r"^[a-z]+://|[?#].*$", "").alias("path"), F.length("html").cast("long").alias("size_bytes")), _RULES)
+
+
+@query("scan_decisions", f"with {_SCAN_SQL} select page_id, path, reason from decided")
+def scan_decisions(spark, sf_dir):
+    return _scanned(spark, sf_dir).select("page_id", "path", "reason")
+
+
+@query("scan_counts", f"with {_SCAN_SQL} select count(*) filter (reason is null) as included_count, count(*) filter (reason is not null) as excluded_count, count(*) filter (reason = 'unsupported_format') as unsupported_count from decided")
+def scan_counts(spark, sf_dir):
+    return files.counters(_scanned(spark, sf_dir))
+
+
+@query("content_hash", "select page_id, sha256(html) as hash_sha256 from pages")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("hash_sha256"))
+
+
+@query("skip_unchanged", "select * from (values ('a', true), ('b', false), ('c', false)) t(path, skip)")
+def skip_unchanged(spark, sf_dir):
+    s = "path string, file_identity string, hash_sha256 string, source_config_rev int"
+    new = spark.createDataFrame([("a", "1:1", "h1", 1), ("b", "1:2", "h2x", 1), ("c", None, "h3", 1)], s)
+    prev = spark.createDataFrame([("a", "1:1", "h1", 1, "success", False, 2), ("b", "1:2", "h2", 1, "success", False, 2), ("c", None, "h3", 1, "failed", False, 0)], s + ", parse_status string, is_deleted boolean, n_chunks int")
+    return new.alias("n").join(prev.alias("p"), F.col("n.path") == F.col("p.path"), "left").select(F.col("n.path").alias("path"), sync.unchanged().alias("skip"))
+
+
+@query("lineage", "select * from (values ('/b.md', 1, 'identity'), ('/c.md', 3, 'path'), ('/d.md', null, 'new'), ('/a.md', null, 'new')) t(path, doc_id, how)")
+def lineage(spark, sf_dir):
+    new = spark.createDataFrame([("/a.md", "1:9"), ("/b.md", "1:1"), ("/c.md", "1:3"), ("/d.md", "1:4")], "path string, file_identity string")
+    snap = spark.createDataFrame([(1, "/a.md", "1:1", False), (2, "/b.md", "1:2", False), (3, "/c.md", None, False)], "doc_id int, path string, file_identity string, is_deleted boolean")
+    return sync.lineage(new, snap).select("path", "doc_id", "how")
+
+
+@query("missing_anti", f"with {SQL_DOCS} select doc_id from docs where not is_deleted and doc_id % 7 <> 0 and not (path = '/corpus/src1' or starts_with(path, '/corpus/src1/'))")
+def missing_anti(spark, sf_dir):
+    docs = views.docs(spark, sf_dir)
+    return sync.missing(docs, docs.where("doc_id % 7 = 0"), ["/corpus/src1"]).select("doc_id")
+
+
+@query("metadata_merge", f"""with {SQL_DOCS} select doc_id, coalesce(case when doc_id % 3 = 0 then 'declared' end, category) as category, case when doc_id % 2 = 0 then list_concat(tags, ['extra']) else tags end as tags,
+ case when sensitivity = 'public' then 'internal' else sensitivity end as sensitivity from docs""")
+def metadata_merge(spark, sf_dir):
+    d = views.docs(spark, sf_dir).select(
+        "doc_id", F.when(F.col("doc_id") % 3 == 0, "declared").alias("declared_category"), F.col("category").alias("default_category"), F.col("tags").alias("default_tags"),
+        F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("extra"))).alias("declared_tags"), F.col("sensitivity").alias("declared_sensitivity"), F.lit("internal").alias("default_sensitivity"),
+    )
+    return d.select("doc_id", *sync.merged_metadata())
+
+
+@query("index_status", f"with {SQL_DOCS}, {SQL_CHUNKS} select count(*) as documents, count(*) filter (not is_deleted) as active, (select count(*) from chunks) as chunks from docs")
+def index_status(spark, sf_dir):
+    return sync.status(views.docs(spark, sf_dir).select("doc_id", "is_deleted"), views.chunks(spark, sf_dir))
+
+
+@query("overlapping_roots", "select * from (values (1, 2), (2, 4), (1, 4)) t(outer_id, inner_id)")
+def overlapping_roots(spark, sf_dir):
+    return sync.overlapping_roots(spark.createDataFrame([(1, "/a", True), (2, "/a/b", True), (3, "/ab", True), (4, "/a/b/c", True), (5, "/a/x", False)], "root_id int, path string, is_active boolean"))
+
+
+# --- audit, memory, artifacts -----------------------------------------------------------------------------------------------
+
+
+def _logs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("audit_id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("operation"), F.col("user_id"), F.col("props").alias("detail_json"))
+
+
+@query("audit_query", "select event_id as audit_id, user_id from events where event_type = (select min(event_type) from events) order by ts desc, event_id desc limit 200")
+def audit_query(spark, sf_dir):
+    logs = _logs(spark, sf_dir)
+    return sync.audit(logs, operation=logs.agg(F.min("operation")).first()[0]).select("audit_id", "user_id")
+
+
+@query("audit_json_path", "select event_id as audit_id, event_type as operation from events where json_extract_string(props, '$.k') = '3' order by ts desc, event_id desc limit 200")
+def audit_json_path(spark, sf_dir):
+    return sync.audit(_logs(spark, sf_dir), paths={"$.k": "3"}).select("audit_id", "operation")
+
+
+@query("latest_event", "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def latest_event(spark, sf_dir):
+    return sync.latest(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("memory_refcheck", "select * from (values ('m2', 1::bigint)) t(memory_id, n_missing)")
+def memory_refcheck(spark, sf_dir):
+    return sync.dangling(spark.createDataFrame([("m1", ["e1"]), ("m2", ["e1", "e9"])], "memory_id string, event_ids array<string>"), spark.createDataFrame([("e1",)], "event_id string"))
+
+
+@query("memory_active", "select * from (values ('m2', 0.9::double), ('m1', 0.5::double)) t(memory_id, importance)")
+def memory_active(spark, sf_dir):
+    rows = spark.createDataFrame([("m1", "active", "promoted", 0.5), ("m2", "active", "promoted", 0.9), ("m3", "active", "candidate", 1.0), ("m4", "expired", "promoted", 1.0)], "memory_id string, status string, promotion_state string, importance double")
+    return rows.where("status = 'active' and promotion_state = 'promoted'").orderBy(F.desc("importance"), "memory_id").select("memory_id", "importance")
+
+
+@query("stale_reason", "select * from (values (1, null), (2, 'last_build_failed'), (3, 'bundle_missing'), (4, 'count_mismatch'), (5, 'model_mismatch'), (6, 'marked_stale')) t(id, reason)")
+def stale_reason(spark, sf_dir):
+    rows = [(1, "ready", True, 5, 5, "m", "m"), (2, "failed", False, 5, 4, "m", "m"), (3, "ready", False, 5, 5, "m", "m"), (4, "ready", True, 5, 4, "m", "m"), (5, "ready", True, 5, 5, "m", "x"), (6, "stale", True, 5, 5, "m", "m")]
+    return spark.createDataFrame(rows, "id int, status string, has_bundle boolean, chunk_count int, indexed_count int, model_hash string, bundle_hash string").select("id", sync.stale_reason().alias("reason"))
+
+
+@query("gc_due", "select * from (values (1)) t(generation)")
+def gc_due(spark, sf_dir):
+    rows = spark.sql("select * from values (1, 'retained', timestamp '2024-03-31 23:00:00'), (2, 'retained', timestamp '2024-04-01 00:00:00'), (3, 'committed', timestamp '2024-01-01 00:00:00') as t(generation, state, delete_after)")
+    return sync.gc_due(rows, F.lit(NOW).cast("timestamp")).select("generation")
+
+
+@query("edges_by_source", "select * from (values ('d1', 'd2', 0.5::double), ('d1', 'd3', 0.2::double)) t(source_id, target_id, weight)")
+def edges_by_source(spark, sf_dir):
+    return spark.createDataFrame([("d1", "d2", 0.5), ("d1", "d3", 0.2), ("d2", "d1", 1.0)], "source_id string, target_id string, weight double").where("source_id = 'd1'")
+
+
+@query("violations", f"with {SQL_DOCS} select count(*) filter (doc_id is null) as no_id, count(*) - count(distinct doc_id) as repeated_ids, count(*) - count(distinct path) as repeated_paths from docs where not is_deleted")
+def violations(spark, sf_dir):
+    d = fusion.Filter().apply(views.docs(spark, sf_dir))
+    return d.agg(F.count_if(F.col("doc_id").isNull()).alias("no_id"), (F.count("*") - F.count_distinct("doc_id")).alias("repeated_ids"), (F.count("*") - F.count_distinct("path")).alias("repeated_paths"))
+
+
+# --- embedder ---------------------------------------------------------------------------------------------------------------
+
+_TOKENS_SQL = "counts as (select doc_id, token, count(*) as c from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents) group by all), vocab as (select token, count(*) as df, sum(c)::bigint as tf from counts group by token order by df desc, tf desc, token limit 4096)"
+
+
+@query("vocab_topn", f"with {_TOKENS_SQL} select token, df, tf from vocab")
+def vocab_topn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return dense.vocabulary(dense.token_rows(docs, {}), 0).select("token", "df", "tf")
+
+
+@query("idf", f"with {_TOKENS_SQL} select token, round(ln((1.0::double + (select count(*) from documents)) / (1.0::double + df)) + 1, 6) as idf from vocab")
+def idf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return dense.vocabulary(dense.token_rows(docs, {}), docs.count()).select("token", r6("idf"))
+
+
+@query("tfidf", f"""with {_TOKENS_SQL}, known as (select c.*, ln((1.0::double + (select count(*) from documents)) / (1.0::double + df)) + 1 as idf from counts c join vocab using (token)),
+totals as (select doc_id, sum(c)::double as total from known group by doc_id) select doc_id, token, round((1 + ln(c)) / total * idf, 6) as w from known join totals using (doc_id)""")
+def tfidf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    counts = dense.token_rows(docs, {})
+    return dense.tfidf(counts, dense.vocabulary(counts, docs.count())).select("doc_id", "token", r6("w"))
+
+
+# --- streaming ------------------------------------------------------------------------------------------------------------
+
+
+@query("debounce_batch", """with marked as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over w > 3600000000 or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by user_id order by ts, event_id)),
+runs as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from marked)
+select user_id, run::bigint as run, arg_max(event_type, row(ts, event_id)) as event_type, count(*) as n_events from runs group by user_id, run""")
+def debounce_batch(spark, sf_dir):
+    return watch.debounced_batch(table(spark, sf_dir, "events"), 3600.0, "user_id").select("user_id", "run", "event_type", "n_events")
+
+
+@query("coalesced_rebuilds", "select * from (values ('a.md', 'deleted', 1::bigint), ('b.md', 'modified', 2::bigint)) t(path, event_type, n_events)")
+def coalesced_rebuilds(spark, sf_dir):
+    rows = spark.sql("select * from values (timestamp '2024-01-01 00:00:00', 'moved', 'a.md', 'b.md'), (timestamp '2024-01-01 00:00:00.5', 'modified', 'b.md', null) as t(ts, event_type, path, dest_path)")
+    return watch.debounced(watch.split_moves(rows)).select("path", "event_type", "n_events")
