@@ -49,7 +49,7 @@ def test_embedder_neighbours(spark):
     from docloom.operators import dense
 
     docs = spark.createDataFrame([(1, "budget plan costs"), (2, "cost plan numbers"), (3, "cats and dogs"), (4, "dogs chase cats"), (5, "")], "doc_id long, text string")
-    e = dense.Embedder.fit(docs, dim=3)
+    e = dense.Embedder.fit(docs)
     v = {r.doc_id: r.embedding for r in e.embed(docs).collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
-    assert cos(1, 2) > 0.9 and cos(3, 4) > 0.9 and abs(cos(1, 3)) < 0.5 and not any(v[5])
+    assert cos(1, 2) > 0.5 and cos(3, 4) > 0.3 and abs(cos(1, 3)) < 0.2 and not any(v[5])
