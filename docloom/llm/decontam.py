@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the words around them.
 
 The benchmark is a stated query set, taken in blocks of bounded size. For each block one pass over all documents counts
-how often its items' n-grams occur; each item's rarer half are its seeds. A second pass looks for seeds in every text and
+how often its items' n-grams occur; each item's rarer ones are its seeds. A second pass looks for seeds in every text and
 aligns the item with the passage around each hit. Texts are never shuffled or sent anywhere.
 """
 
@@ -98,14 +98,18 @@ class Block:
         return at[hit], spot[hit]
 
     def choose(self, counts: dict[tuple[int, int], int]) -> None:
-        """Each item's seeds: its n-grams no more frequent in the documents than its median one."""
+        """Each item's seeds: its n-grams that occur in the documents at most four times as often as its median one does.
+
+        N-grams that don't occur at all can't be seeds and don't count for the median, lest those that an edited copy
+        has kept look frequent beside those that it has lost.
+        """
         chosen: dict[int, set[int]] = {n: set() for n in self.grams}
         for k, (_, w) in enumerate(self.items):
             n = min(NGRAM, len(w))
             keys = self.keys(w, n)
             often = np.array([counts.get((n, int(x)), 0) for x in keys])
-            limit = np.sort(often)[len(often) // 2]
-            for at in np.flatnonzero(often <= limit):
+            limit = 4 * np.median(often[often > 0]) if often.any() else 0
+            for at in np.flatnonzero((often > 0) & (often <= limit)):
                 chosen[n].add(int(keys[at]))
                 self.holders.setdefault((n, int(keys[at])), []).append((k, int(at)))
         self.seeds = {n: np.array(sorted(s), np.int64) for n, s in chosen.items()}

@@ -48,7 +48,7 @@ def half_keys(w: list[bytes]) -> list[int]:
 
 
 def variants(w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the whole line (place -1) and of the line less each word (place: the first of a run of equal words)."""
+    """Keys of the whole line (place -1) and of the line less each word (place: that word's)."""
     h = np.array([xxhash.xxh64_intdigest(x, 19) for x in w], np.uint64)
     n = len(w)
     power = np.ones(n + 1, np.uint64)
@@ -57,16 +57,11 @@ def variants(w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(term)])
     shifted = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h[1:] * power[: n - 1])])  # words after the first, one place down
     less = before[:n] + (shifted[n - 1] - shifted)
-    place = np.arange(n)
-    for k in range(1, n):
-        if w[k] == w[k - 1]:
-            place[k] = place[k - 1]
-    first = place == np.arange(n)
-    keys = np.concatenate([before[n:] + np.uint64(n), less[first] + np.uint64(n - 1)])
+    keys = np.concatenate([before[n:] + np.uint64(n), less + np.uint64(n - 1)])
     keys ^= keys >> np.uint64(29)
     keys = keys * np.uint64(0xBF58476D1CE4E5B9)
     keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64), np.concatenate([[-1], place[first]])
+    return keys.view(np.int64), np.arange(-1, n)
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:

@@ -81,8 +81,7 @@ variants as (
   select w, first, array_to_string(w, ' ') as v, -1 as p from uniq
   union all
   select w, first, array_to_string(list_concat(w[1:p], w[p + 2:]), ' '), p
-  from (select w, first, unnest(range(len(w))) as p from uniq)
-  where p = 0 or w[p + 1] <> w[p]),
+  from (select w, first, unnest(range(len(w))) as p from uniq)),
 near as (
   select a.w, min(b.first) as near from variants a join variants b on a.v = b.v and a.w <> b.w and b.first < a.first
   and (a.p = -1 or b.p = -1 or a.p = b.p) group by a.w),
