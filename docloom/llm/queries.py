@@ -78,13 +78,18 @@ ORACLE: dict[str, str] = {
     "op4_line_dedup": f"""
 with {_LINES},
 variants as (
-  select w, first, array_to_string(w, ' ') as v, -1 as p from uniq
+  select w, first, md5(array_to_string(w, ' ')) as v, -1 as p from uniq
   union all
-  select w, first, array_to_string(list_concat(w[1:p], w[p + 2:]), ' '), p
+  select w, first, md5(array_to_string(list_concat(w[1:p], w[p + 2:]), ' ')), p
   from (select w, first, unnest(range(len(w))) as p from uniq)),
+same as (select v, p, min(first) as f from variants group by v, p),
+less as (select v, min(first) as f from variants where p >= 0 group by v),
 near as (
-  select a.w, min(b.first) as near from variants a join variants b on a.v = b.v and a.w <> b.w and b.first < a.first
-  and (a.p = -1 or b.p = -1 or a.p = b.p) group by a.w),
+  select w, min(f) as near from (
+    select a.w, a.first, s.f from variants a join same s on a.v = s.v and a.p = s.p where a.p >= 0
+    union all select a.w, a.first, s.f from variants a join same s on a.v = s.v where a.p >= 0 and s.p = -1
+    union all select a.w, a.first, l.f from variants a join less l on a.v = l.v where a.p = -1)
+  where f < first group by w),
 kept as (select u.w, u.first, n.near, least(u.first, coalesce(n.near, u.first)) as best from uniq u left join near n on u.w = n.w)
 select l.doc_id, l.line_no::int as line_no, (k.best // 2147483648)::bigint as kept_doc_id, (k.best % 2147483648)::int as kept_line_no,
        case when k.near is not null then 1 else 0 end::int as edits
