@@ -52,4 +52,12 @@ def test_embedder_neighbours(spark):
     e = dense.Embedder.fit(docs)
     v = {r.doc_id: r.embedding for r in e.embed(docs).collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
-    assert cos(1, 2) > 0.5 and cos(3, 4) > 0.3 and abs(cos(1, 3)) < 0.2 and not any(v[5])
+    counts = dense.token_rows(docs, dense.LEXICON)
+    w = {}
+    for r in dense.tfidf(counts, dense.vocabulary(counts, docs.count() + len(dense.LEXICON))).collect():
+        w.setdefault(r.doc_id, {})[r.token] = r.w
+    norm = lambda x: math.sqrt(sum(v * v for v in x.values()))
+    plainly = lambda a, b: sum(x * w[b].get(t, 0) for t, x in w[a].items()) / norm(w[a]) / norm(w[b])
+    # At full rank the projection keeps every cosine of the weighted vectors.
+    assert all(abs(cos(a, b) - plainly(a, b)) < 1e-6 for a, b in [(1, 2), (3, 4), (1, 3), (2, 4)])
+    assert cos(1, 2) > 0.3 and cos(3, 4) > 0.3 and abs(cos(1, 3)) < 1e-6 and not any(v[5])
