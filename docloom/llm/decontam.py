@@ -21,7 +21,6 @@ NGRAM = 3
 PENALTY, LEAST_SCORE = 0.5, 0.7
 #: Items of a block, and most words of a block: what one broadcast holds.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
-MOST_WORDS = 400_000
 _STRIP = ".,;:!?\"'()[]{}<>«»¡¿-–—*_"
 
 
@@ -29,23 +28,16 @@ def words(text: str | None) -> list[str]:
     return [w for x in (text or "").lower().split() if (w := x.strip(_STRIP))]
 
 
-class Vocabulary(dict):
-    """Raw word -> number among the block's words; 0 for words that no item has, -1 for bare punctuation."""
+class Vocabulary:
+    """Numbers of the block's words; 0 stands for words that no item has. Bare punctuation is left out."""
 
     def __init__(self, known: dict[str, int]):
-        self.known = known
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        core = word.strip(_STRIP)
-        got = self.known.get(core, 0) if core else -1
-        if len(word) < 64:
-            self[word] = got
-        return got
+        self.known = known | {"": -1}
 
     def of(self, text: str) -> np.ndarray:
-        got = np.array(list(map(self.__getitem__, text.lower().split())), np.int64)
+        get = self.known.get
+        # A dictionary of the block's words alone is small and stays in the processor's cache; most words need no stripping.
+        got = np.array([k if (k := get(w)) is not None else get(w.strip(_STRIP), 0) for w in text.lower().split()], np.int64)
         return got[got >= 0]
 
 
