@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm._common import fresh, saved, small_batches
 
-#: Lines of fewer words are left alone: one edit in five is a similarity of 0.8.
+#: Lines of fewer words have no edits to spare (one edit in five is a similarity of 0.8): only equal ones can repeat.
 LEAST_WORDS = 5
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -76,20 +76,23 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return p + s >= max(len(a), len(b)) - 1
 
 
-LINES = "doc_id long, text_key long, line_no int, line long, k0 long, k1 long, k2 long, k3 long"
+LINES = "doc_id long, text_key long, line_no int, n int, line long, k0 long, k1 long, k2 long, k3 long"
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for k, line in enumerate((text or b"").split(b"\n")):
-                w = line_words(line)
-                if len(w) >= LEAST_WORDS:
-                    rows.append((doc, text_key, k, key(*w), *half_keys(w)))
-        cols = list(zip(*rows, strict=True)) or [()] * 8
-        types = (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 5)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in LINES.split(", ")])
+def _lines(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, line in enumerate((text or b"").split(b"\n")):
+                    w = line_words(line)
+                    if len(w) >= least:
+                        rows.append((doc, text_key, k, len(w), key(*w), *(half_keys(w) if len(w) >= LEAST_WORDS else (None,) * 4)))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in LINES.split(", ")])
+
+    return run
 
 
 def _wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,20 +133,21 @@ def order_of() -> F.Column:
     return (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each line that goes: (doc_id, text_key, line_no, kept_doc_id, kept_line_no, edits).
 
     A document's lines are numbered from 0, parted by line feeds. A line goes if a line before it, in the order of doc_id
     and number, is within one word of it; kept_... names the earliest such line (which may itself go for one earlier
-    still), edits is 0 if that one is equal and 1 if not. Lines of fewer than five words stay. Rows with the same doc_id
-    share their order, so repeated rows don't displace each other. Null doc_ids come last; null and empty texts have no lines.
+    still), edits is 0 if that one is equal and 1 if not. Lines of fewer than ``least`` words stay; those of fewer than five
+    go only if an earlier one equals them. Rows with the same doc_id share their order, so repeated rows don't displace
+    each other. Null doc_ids come last; null and empty texts have no lines.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    lines = saved(_keyed(docs).mapInArrow(_lines, LINES).withColumn("place", order_of()), "lines")
+    lines = saved(_keyed(docs).mapInArrow(_lines(least), LINES).withColumn("place", order_of()), "lines")
     keys = [f"k{k}" for k in range(4)]
     unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), *[F.min(k).alias(k) for k in keys]), "unique")
-    halves = unique.select("line", F.explode(F.array(*keys)).alias("half"))
+    halves = unique.select("line", F.explode(F.array(*keys)).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("half")
     wanted = saved(halves.join(shared, "half", "left_semi").select("line").distinct().join(unique.select("line", "first"), "line"), "wanted")
     small = wanted.count() <= BROADCAST_ROWS
@@ -175,11 +179,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns as they were but for ``text``, which loses its repeated lines (and n_chars, if
+    """The rows of ``docs``, all their columns as they were but for ``text``, which loses its repeated lines of any length (and n_chars, if
     there is one, which follows). A document of which nothing but white space would be left goes; one that lost no line
     stays as it is. Rows that repeat a doc_id and text are treated alike."""
     names = docs.columns
-    gone = repeated_lines(docs).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
+    gone = repeated_lines(docs, least=1).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lines").alias("__lines"))
     key_, id_ = fresh(docs, "text_key"), F.col("doc_id").cast("long")
     out = docs.withColumn(key_, F.xxhash64(F.col("text").cast("string")))

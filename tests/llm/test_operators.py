@@ -140,6 +140,12 @@ def test_line_dedup(docs, rows, none):
     assert linededup.repeated_lines(none).count() == 0
 
 
+def test_short_lines_go_when_equal(spark):
+    long = "one two three four five six"
+    df = spark.createDataFrame([(0, f"Les.\n{long}\nles  lignes", "en", "", ""), (1, f"les.\n{long}\nLes lignes", "en", "", ""), (2, "les mots\n\nLES.", "en", "", "")], DOCS)
+    assert {r.doc_id: r.text for r in linededup.deduplicated(df).collect()} == {0: f"Les.\n{long}\nles  lignes", 2: "les mots\n"}
+
+
 def test_variants_meet_within_one_edit():
     rng = random.Random(7)
     for _ in range(300):
