@@ -1,7 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 Lines are compared as sequences of words; a line goes if an earlier one equals it or is within one word of it (replaced,
-added or taken away). Two lines are that near exactly if they share a variant: the whole line, or the line less one word.
+added or taken away); in ``deduplicated`` also if it is within a fifth of the longer one's words. Two lines are that near exactly if they share a variant: the whole line, or the line less one word.
 Variants are joined as hashed keys, the edit distance is verified, and the earliest line stays.
 
 Variants of a line are many, so only lines that can have a partner emit them: two lines within one edit agree in their
@@ -20,10 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import fresh, saved, small_batches
+from docloom.llm._common import dropped, fresh, saved, small_batches
 
 #: Lines of fewer words have no edits to spare (one edit in five is a similarity of 0.8): only equal ones can repeat.
 LEAST_WORDS = 5
+#: Fewest words of a line that may be two edits from one of ten.
+LEAST_SIMILAR = 8
+#: Most words whose hashes a worker keeps; grams that it packs at once; grams a part should hold.
+MOST_WORDS, MOST_HELD, PART = 100_000, 500_000, 1_000_000
+#: How often lines that others rule out are put aside; each time the rest hold fewer blocks in common.
+ROUNDS = 2
+#: Blocks that must be met, in SQL: whatever the d edits, so many of d + so many are whole.
+MATCHES = "least(3, n div 3 - n div 5)"
+#: A line is compared with so many of a gram's earliest holders before the rest.
+EARLIEST = 8
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -76,6 +86,67 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return p + s >= max(len(a), len(b)) - 1
 
 
+def bound(n: int) -> int:
+    """Most edits at which a line of ``n`` words and one no longer have a similarity of 0.8."""
+    return n // 5
+
+
+def within(a: list[bytes], b: list[bytes], most: int) -> bool:
+    """Whether the edit distance in words is at most ``most``: columns of the table as bits of one integer."""
+    p = 0
+    while p < min(len(a), len(b)) and a[p] == b[p]:
+        p += 1
+    s = 0
+    while s < min(len(a), len(b)) - p and a[-1 - s] == b[-1 - s]:
+        s += 1
+    a, b = a[p : len(a) - s], b[p : len(b) - s]
+    if not a or not b:
+        return len(a) + len(b) <= most
+    at: dict[bytes, int] = {}
+    for k, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << k
+    full, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for k, x in enumerate(b):
+        same = at.get(x, 0)
+        v = same | down
+        h = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(h | up)) & full, up & h
+        distance += bool(more & top) - bool(less & top)
+        if distance - (len(b) - 1 - k) > most:
+            return False
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = (less | ~(v | more)) & full, more & v
+    return distance <= most
+
+
+class _Hash(dict):
+    """Hashes of words, each made when first seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word, 23)
+        return got
+
+
+def grams(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' runs of three words: their keys, the numbers of their lines, and whether they are blocks (start at 0, 3, 6 ...).
+
+    The shortest lines have too few blocks, and all their runs count as such.
+    """
+    n = np.array([len(w) for w in lines], np.int64)
+    h = np.array([hashes[x] for w in lines for x in w], np.uint64)
+    g = h[:-2] * _B + h[1:-1]
+    g = (g ^ g >> np.uint64(31)) * _B + h[2:]
+    g = (g ^ g >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    g ^= g >> np.uint64(32)
+    line = np.repeat(np.arange(len(n)), n)[:-2]
+    at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[:-2]
+    whole = at <= n[line] - 3
+    return g[whole], line[whole], ((at % 3 == 0) | (n[line] == LEAST_SIMILAR))[whole]
+
+
 LINES = "doc_id long, text_key long, line_no int, n int, line long, k0 long, k1 long, k2 long, k3 long"
 
 
@@ -123,6 +194,93 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["line", "near"])
 
 
+def _dealt(parts: int, column: str):
+    """Grams by part, packed: 40 bits (the last: is it a block), and the line's tag of 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen, held, size = _Hash(), set(), [], 0
+
+        def flushed():
+            g, tag, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = ((g >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            value = ((g & np.uint64((1 << 39) - 1)) << np.uint64(1) | block.astype(np.uint64))[order]
+            part, tag = part[order], tag[order]
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            data = [value[i:j].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + tag[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
+
+        for batch in batches:
+            lines, tags = [], []
+            for text in batch.column(batch.schema.names.index(column)).to_pylist():
+                for line in (text or b"").split(b"\n"):
+                    w = line_words(line)
+                    if len(w) >= LEAST_SIMILAR and (k := key(*w)) not in seen:
+                        if len(seen) >= MOST_WORDS:
+                            seen.clear()
+                        seen.add(k)
+                        lines.append(w)
+                        tags.append(k & 0xFFFFFFFF)
+            if lines:
+                g, line, block = grams(lines, hashes)
+                held.append((g, np.array(tags, np.uint32)[line], block))
+                size += len(g)
+            if size >= MOST_HELD:
+                yield flushed()
+                held, size = [], 0
+        if held:
+            yield flushed()
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many blocks of a tag are also in lines of other tags, by part."""
+    values, tags = [], []
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n = len(data) // 9
+            v = np.zeros((n, 8), np.uint8)
+            v[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
+            values.append(v.reshape(-1).view(np.uint64) | np.uint64(part << 40))
+            tags.append(np.frombuffer(data, np.uint32, n, 5 * n))
+    if values:
+        value, tag = np.concatenate(values), np.concatenate(tags)
+        order = np.argsort(value)
+        value, tag = value[order], tag[order]
+        new = np.flatnonzero(np.diff(value >> np.uint64(1), prepend=np.uint64(1 << 63)))
+        many = np.minimum.reduceat(tag, new) != np.maximum.reduceat(tag, new)
+        many = np.repeat(many, np.diff(new, append=len(value)))
+        # A line met in several tasks is counted as often: too many shared blocks lose nothing.
+        got, n = np.unique(tag[many & (value & np.uint64(1) == 1)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n)], ["tag", "shared"])
+
+
+GRAMS = "line long, first decimal(38,0), n int, gram long, blocks int"
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hash()
+    for batch in batches:
+        for line, first, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            w = words.split(b" ")
+            g, _, block = grams([w], hashes)
+            g, back = np.unique(g, return_inverse=True)
+            n = len(g)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, line)), pa.array([first] * n, pa.decimal128(38, 0)), pa.array(np.full(n, len(w), np.int32)), pa.array(g.view(np.int64)), pa.array(np.bincount(back[block], minlength=n).astype(np.int32))],
+                [x.split()[0] for x in GRAMS.split(", ")],
+            )
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(k).to_pylist() for k in (1, 2))
+        parted = ((x.split(b" "), y.split(b" ")) for x, y in zip(a, b, strict=True))
+        ok = [within(x, y, bound(max(len(x), len(y)))) for x, y in parted]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["line"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
@@ -133,39 +291,94 @@ def order_of() -> F.Column:
     return (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """One row for each line that goes: (doc_id, text_key, line_no, kept_doc_id, kept_line_no, edits).
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The words of the lines ``wanted`` (line, first), once each."""
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = _keyed(docs).mapInArrow(_wanted_texts, "doc_id long, text_key long, line_no int, line long, words binary").withColumn("first", order_of())
+    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"], "left_semi").select("line", "first", "words").dropDuplicates(["line"])
+    return saved(texts, "texts")
 
-    A document's lines are numbered from 0, parted by line feeds. A line goes if a line before it, in the order of doc_id
-    and number, is within one word of it; kept_... names the earliest such line (which may itself go for one earlier
-    still), edits is 0 if that one is equal and 1 if not. Lines of fewer than ``least`` words stay; those of fewer than five
-    go only if an earlier one equals them. Rows with the same doc_id share their order, so repeated rows don't displace
-    each other. Null doc_ids come last; null and empty texts have no lines.
-    """
+
+def _by_one_edit(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines, the different ones, and of those that are one edit from an earlier one the earliest such."""
     spark = docs.sparkSession
     small_batches(spark)
     lines = saved(_keyed(docs).mapInArrow(_lines(least), LINES).withColumn("place", order_of()), "lines")
     keys = [f"k{k}" for k in range(4)]
-    unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), *[F.min(k).alias(k) for k in keys]), "unique")
+    unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in keys]), "unique")
     halves = unique.select("line", F.explode(F.array(*keys)).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("half")
     wanted = saved(halves.join(shared, "half", "left_semi").select("line").distinct().join(unique.select("line", "first"), "line"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = _keyed(docs).mapInArrow(_wanted_texts, "doc_id long, text_key long, line_no int, line long, words binary").withColumn("first", order_of())
-    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"], "left_semi").select("line", "first", "words").dropDuplicates(["line"])
-    texts = saved(texts, "texts")
+    texts = _texts(docs, wanted)
     rows = saved(texts.mapInArrow(_variants, "line long, first decimal(38,0), variant long, place long"), "variants")
+    scratch = [rows]
     joint = rows.groupBy("variant").agg(
         F.min("line").alias("a"), F.max("line").alias("b"),
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("less"),
     ).where("a <> b").drop("a", "b")
     rows = saved(rows.join(joint, "variant"), "joint")
+    scratch.append(rows)
     same = rows.where("place >= 0").groupBy("variant", "place").agg(F.min("first").alias("same"))
     rows = rows.join(same, ["variant", "place"], "left")
     earliest = F.when(F.col("place") < 0, F.col("less")).otherwise(F.least("whole", "same"))
     near = rows.select("line", "first", earliest.alias("near")).where("near < first").groupBy("line").agg(F.min("near").alias("near"))
     pairs = near.join(texts.select("line", F.col("words").alias("one")), "line").join(texts.select(F.col("first").alias("near"), F.col("words").alias("other")), "near")
     near = saved(pairs.select("line", "near", "one", "other").mapInArrow(_verified, "line long, near decimal(38,0)"), "near")
+    dropped(*scratch, wanted, texts)
+    return lines, unique, near
+
+
+def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataFrame:
+    """The lines (of ten words or more) that go, besides ``gone``, for an earlier one at most a fifth of the longer one's words away.
+
+    Of any d + 1 disjoint blocks of three words of a line, one is whole in every line within d edits of it. The longer line
+    of n words has d at most n // 5; a line's longest partner has at most 5/4 of its words, so d is at most n // 4 as seen
+    from the shorter one, and a line with more blocks than that which no other line holds has no partner. The few that
+    are left are compared if one holds k of the longer one's d + k rarest blocks (k is 3, or as many as there are): first
+    with a block's earliest holders, and those lines that stay with all, so that large groups are not expanded into all their pairs.
+    """
+    few = f"n >= {LEAST_SIMILAR} and (n = {LEAST_SIMILAR} or n div 3 - shared <= n div 4)"
+    lines, texts = unique.select("line", "first", "n", F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")), None
+    for _ in range(ROUNDS):
+        parts = -(-(lines.where(f"n >= {LEAST_SIMILAR}").agg(F.sum("n")).first()[0] or 0) // PART) or 1
+        dealt = (_keyed(docs) if texts is None else texts).mapInArrow(_dealt(parts, "text" if texts is None else "words"), "part int, data binary")
+        shared = dealt.repartitionById(parts, "part").mapInArrow(_shared, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
+        old, lines = (lines, texts), saved(lines.join(shared, "tag").where(few).select("line", "first", "n", "tag"), "short_of_blocks")
+        wanted = lines.select("line", "first")
+        texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted, ["line", "first"], "left_semi"), "texts")
+        dropped(*filter(None, old))
+    rows = texts.mapInArrow(_grams, GRAMS)
+    rows = rows.selectExpr("*", "row_number() over (partition by gram order by first, line) as rank", "count(*) over (partition by gram) as holders")
+    rows = saved(rows.where("blocks > 0 or holders > 1"), "grams")
+    rarest = rows.where("n >= 10 and blocks > 0").selectExpr(
+        "*", "sum(blocks) over (partition by line order by holders, gram rows between unbounded preceding and 1 preceding) as rarer"
+    ).where(f"coalesce(rarer, 0) < n div 5 + {MATCHES} and holders > 1")
+    a = rarest.selectExpr("gram", "line as a", "first as fa", "n as na", "rank as ra", "blocks", f"{MATCHES} as need")
+    b = rows.where("holders > 1").selectExpr("gram", "line as b", "first as fb", "n as nb", "rank as rb")
+    pairs = a.join(b, "gram").where("fa <> fb and nb <= na and nb >= na - na div 5")
+    pairs = pairs.selectExpr("if(fa > fb, a, b) as line", "if(fa > fb, b, a) as other", "if(fa > fb, rb, ra) as rank", "a", "blocks", "need")
+    one, other = texts.select("line", F.col("words").alias("one")), texts.select(F.col("line").alias("other"), F.col("words").alias("two"))
+    found = []
+    for which in (f"rank <= {EARLIEST}", "true"):
+        left = pairs.where(which)
+        for done in (gone, *found):
+            left = left.join(done.select("line"), "line", "left_anti")
+        left = left.groupBy("line", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
+        left = left.select("line", "other").distinct().join(one, "line").join(other, "other").select("line", "one", "two")
+        found.append(saved(left.mapInArrow(_similar, "line long").distinct(), "similar"))
+    return found[0].union(found[1])
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """One row for each line that goes: (doc_id, text_key, line_no, kept_doc_id, kept_line_no, edits).
+
+    A document's lines are numbered from 0, parted by line feeds. A line goes if a line before it, in the order of doc_id
+    and number, is within one word of it; kept_... names the earliest such line (which may itself go for one earlier
+    still), edits is 0 if that one is equal and 1 if not. Lines of fewer than ``least`` words stay; those of fewer than five
+    go only if an earlier one equals them. Rows with the same doc_id share their order, so repeated rows don't displace
+    each other. Null doc_ids come last; null and empty texts have no lines.
+    """
+    lines, unique, near = _by_one_edit(docs, least)
     kept = saved(unique.select("line", "first").join(near, "line", "left"), "kept")
     gone = lines.join(kept, "line").where("place > first or near is not null")
     best = F.least("first", "near")
@@ -179,11 +392,15 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all their columns as they were but for ``text``, which loses its repeated lines of any length (and n_chars, if
-    there is one, which follows). A document of which nothing but white space would be left goes; one that lost no line
+    """The rows of ``docs``, all their columns as they were but for ``text``, which loses its repeated lines (and n_chars, if there
+    is one, which follows): those equal to an earlier one, at any length, and those of five words or more within floor(0.2 x
+    words of the longer one) word edits of an earlier one. A document of which nothing but white space would be left goes; one that lost no line
     stays as it is. Rows that repeat a doc_id and text are treated alike."""
     names = docs.columns
-    gone = repeated_lines(docs, least=1).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
+    lines, unique, near = _by_one_edit(docs, least=1)
+    similar = near.select("line").union(_by_similarity(docs, unique, near)).select("line", F.lit(True).alias("similar"))
+    gone = lines.join(unique.select("line", "first").join(similar, "line", "left"), "line").where("place > first or similar")
+    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lines").alias("__lines"))
     key_, id_ = fresh(docs, "text_key"), F.col("doc_id").cast("long")
     out = docs.withColumn(key_, F.xxhash64(F.col("text").cast("string")))

@@ -146,6 +146,37 @@ def test_short_lines_go_when_equal(spark):
     assert {r.doc_id: r.text for r in linededup.deduplicated(df).collect()} == {0: f"Les.\n{long}\nles  lignes", 2: "les mots\n"}
 
 
+def test_edit_bound_follows_the_length(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(5)
+    many = [w + str(k) for w in WORDS for k in range(4)]
+    lines = [[rng.choice(many) for _ in range(rng.choice([5, 8, 9, 10, 11, 12, 15, 16, 20, 36, 80]))] for _ in range(60)]
+    for w in list(lines) * 3:
+        w = list(w)
+        for _ in range(rng.randint(1, len(w) // 4 + 1)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.choice([0, 1, 1])] = [rng.choice(many)] * rng.choice([0, 1])
+        lines.append(w)
+    core = [rng.choice(many) for _ in range(30)]
+    for k in range(40):  # a group larger than the earliest holders
+        lines.append([*core[:5], str(k), *core[6:11], str(-k), *core[12:]])
+    rng.shuffle(lines)
+    for a, b in zip(lines, lines[1:], strict=False):
+        for most in range(0, 8):
+            assert linededup.within([x.encode() for x in a], [x.encode() for x in b], most) == (distance(a, b) <= most)
+    df = spark.createDataFrame([(k, " ".join(w), "en", "", "") for k, w in enumerate(lines)], DOCS)
+    gone = {k for k, w in enumerate(lines) if any(len(v) >= 5 and len(w) >= 5 and distance(w, v) <= max(len(w), len(v)) // 5 or w == v for v in lines[:k])}
+    assert {r.doc_id for r in linededup.deduplicated(df).collect()} == set(range(len(lines))) - gone
+    assert len(gone) > 100
+
+
 def test_variants_meet_within_one_edit():
     rng = random.Random(7)
     for _ in range(300):
