@@ -1,31 +1,52 @@
-"""Shared plumbing: table access, scratch tables in the shared folder, fresh column names."""
+"""Shared plumbing: table access, scratch tables in the shared folder, joins on skewed keys, fresh column names."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch sent to a Python worker. Texts may be long, so batches are kept small in rows.
+#: Rows that a Python function gets at once. Spark's own batches end at a number of bytes; texts as Python objects take more.
 ARROW_ROWS = 512
+#: Keys that ``joined`` may broadcast, and the fewest rows that make a key one of them.
+MOST_HOT, LEAST_HOT = 100_000, 200
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def mapped(df: DataFrame, f: Callable[[Batches], Batches], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
+    """``df.mapInArrow``, in slices of at most ``rows`` rows; no setting of the session is touched."""
+
+    def run(batches: Batches) -> Batches:
+        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
+
+
+_own_root: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a folder of our own only where none is set (local tests)."""
+    """The shared folder named by the session. A folder of our own, removed at the end, only where none is set and the
+    master is local: a cluster's executors would not see each other's files there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="docloom-"))
+            atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
+        root = "file://" + _own_root[0]
     return root.rstrip("/")
 
 
@@ -61,6 +82,31 @@ def dropped(*frames: DataFrame) -> None:
             fs.delete(where, True)
 
 
+def joined(rows: DataFrame, facts: DataFrame, on: str | list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row for each key and in ``held`` how many of ``rows`` have it.
+
+    Keys of more than total / 100,000 rows, of which there can be no more than 100,000, are looked up in a broadcast table,
+    so their rows stay where they are; in the shuffle of the others no key has more rows than that. ``how`` is inner or
+    left; rows with a null key match nothing and are not shuffled either. Both tables should be written ones: they are read twice.
+    """
+    on = [on] if isinstance(on, str) else on
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot, cold = facts.where(F.col("held") > limit).drop("held"), facts.where(F.col("held") <= limit).drop("held")
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    some, lone = rows.where(~null), rows.where(null)
+    out = some.join(F.broadcast(hot), on)
+    out = out.unionByName(some.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
+    return out.unionByName(lone, allowMissingColumns=True) if how == "left" else out
+
+
+def held(rows: DataFrame, on: str | list[str]) -> DataFrame:
+    """How many of ``rows`` have each key, pre-aggregated before the shuffle."""
+    on = [on] if isinstance(on, str) else on
+    return rows.groupBy(*on).agg(F.count("*").alias("held"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

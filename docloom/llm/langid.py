@@ -16,12 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import id_and_text, small_batches
+from docloom.llm._common import id_and_text, mapped
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 #: The bound on training: labelled rows of each language, and characters of a row that may be in the sample.
 ROWS_PER_LANGUAGE, SAMPLE_CHARS = 400, 20_000
+#: More languages than this are refused: their models would not fit.
+MOST_LANGUAGES = 1_000
 #: Below this gap between the two best probabilities a text is flagged as ambiguous.
 AMBIGUOUS = 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -118,19 +120,20 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, learn=None)
     """Learn from text and non-null lang of the rows that ``learn`` admits (a Column; by default crc32 of doc_id mod 4 is not 2).
 
     The sample is bounded: of each language the ``rows_per_language`` rows first by a hash of doc_id, among texts of at
-    most ``SAMPLE_CHARS`` characters. Languages, like their labels, come from the data; up to 200 are expected.
+    most ``SAMPLE_CHARS`` characters. Languages come from the data; more than ``MOST_LANGUAGES`` raise ValueError.
     """
     learn = learn if learn is not None else ~held_out(F.col("doc_id"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
     # The least hashes of each language are kept as (hash, id) pairs while aggregating; texts are fetched for those alone.
-    cut = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = {r.lang: min(1.0, 1.5 * rows_per_language / r.n) for r in cut.collect()}
+    cut = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(cut) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different values of lang")
     h = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
-    if not share:
+    if not cut:
         return train([], [])
-    limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(v * (1 << 30)))) for k, v in share.items()])
-    some = rows.withColumn("h", h).where(F.col("h") <= limit)
+    limits = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, 1.5 * rows_per_language / r.n) * (1 << 30))) for r in cut], "lang string, most long")
+    some = rows.join(F.broadcast(limits), "lang").withColumn("h", h).where("h <= most")  # at most MOST_LANGUAGES rows
     some = some.selectExpr("*", "row_number() over (partition by lang order by h, doc_id, text) as turn").where(F.col("turn") <= rows_per_language)
     got = sorted((r.lang, r.turn, r.text) for r in some.select("lang", "turn", "text").collect())
     return train([t for _, _, t in got], [x for x, _, _ in got])
@@ -155,8 +158,7 @@ def _predicted(model: LanguageModel):
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of every row, from the whole text alone; ``und`` and 0 for texts without a letter."""
-    small_batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return mapped(id_and_text(docs), _predicted(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -170,7 +172,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all their columns as they were, whose language is determined and not ambiguous."""
-    small_batches(docs.sparkSession)
+    """The rows of ``docs``, all their columns as they were, whose language is determined and not ambiguous.
+
+    Null and empty texts and those without a letter go; repeated rows are treated alike, and an empty table stays empty.
+    """
     keep = F.pandas_udf(lambda s: s.map(lambda t: (p := model.predict(t))[0] != UNDETERMINED and not p[2]).astype(bool), "boolean")
     return docs.where(keep(F.col("text").cast("string")))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import dropped, id_and_text, saved, small_batches
+from docloom.llm._common import fresh, held, id_and_text, joined, mapped, saved
 from docloom.llm._components import connected
 
 SEED = 42
@@ -56,8 +56,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. Null and wordless texts have fingerprint zero."""
-    small_batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return mapped(id_and_text(docs), _fingerprints, "doc_id long, fp long")
 
 
 # --- generalised pigeonhole -------------------------------------------------------------------------------------
@@ -222,10 +221,8 @@ def plan(fps: DataFrame, radius: int, tries: tuple[int, ...] = (2, 3, 4)) -> Pig
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """All pairs (a < b) of the distinct fingerprints in ``fps`` (one long column) that differ in at most ``radius`` bits."""
-    small_batches(fps.sparkSession, 10_000)
     hole = plan(fps, radius)
-    small_batches(fps.sparkSession, 4_000)
-    rows = saved(fps.mapInArrow(hole.rows, "key long, fp long, probe boolean"), "pigeonhole")
+    rows = saved(mapped(fps, hole.rows, "key long, fp long, probe boolean", 4_000), "pigeonhole")
     index = rows.where("not probe").select("key", F.col("fp").alias("b"))
     probes = rows.where("probe").select("key", F.col("fp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -241,32 +238,55 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     takes its component's smallest doc_id (null if there is none). An empty table gives an empty result.
     """
     fps = saved(fingerprints(docs), "fingerprints")
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    pairs = links(classes.select("fp"), radius)
-    roots = saved(connected(pairs), "roots")
-    least = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("least").alias("component"))
-    moved = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    classes = saved(classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "classes")
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = _components(fps.select(F.col("doc_id").alias("of"), "fp"), radius)
+    least = saved(classes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("held")), "component")
+    classes = joined(classes.withColumnRenamed("held", "rows"), least, "root", classes.count()).select("fp", "component_id", F.col("rows").alias("held"))
+    return joined(fps, saved(classes, "classes"), "fp", fps.count()).select("doc_id", "fp", "component_id")
+
+
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """A written table (fp, first, held, root): of each fingerprint in ``fps`` (of, fp) the least ``of``, how many rows have
+    it, and the fingerprint that stands for its component."""
+    classes = saved(fps.groupBy("fp").agg(F.min("of").alias("first"), F.count("*").alias("held")), "classes")
+    roots = connected(links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return saved(classes.join(roots, "fp", "left").select("fp", "first", "held", F.coalesce("root", "fp").alias("root")), "components")
 
 
 def as_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Most document ids that are broadcast to leave their rows out; more are joined by shuffle.
+#: Most rows to leave out that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps = np.array([fingerprint(shingle_hashes(t)) for t in batch.column(2).to_pylist()], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["d", "k", "fp"])
+
+
 def one_of_each(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs``, all their columns as they were, without those whose component has a smaller doc_id.
+    """The rows of ``docs``, all their columns as they were: of each component one stays.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id can't be told apart by it, and all stay.
+    It is the first by doc_id (null last), then by a hash of id and text. Rows that equal it in doc_id and text are copies
+    of it, and one of them stays; rows that share a doc_id only are different documents. Null and empty texts are one
+    component. An empty table gives an empty result.
     """
-    got = saved(near_duplicates(docs, radius), "decided")
-    gone = saved(got.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    if got.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    name = fresh(docs, "row_key")
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("null")), F.when(text.isNull(), "-").otherwise("+"), F.coalesce(text, F.lit("")))))
+    rows = docs.select(id_.alias("d"), key.alias("k"), text.cast("binary").alias("t"))
+    fps = saved(mapped(rows, _keyed_fingerprints, "d long, k binary, fp long"), "fingerprints")
+    of = F.struct(F.col("d").isNull().alias("n"), F.col("d"), F.col("k"))
+    classes = _components(fps.select(of.alias("of"), "fp"), radius)
+    first = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.k").alias("k"))
+    gone = saved(fps.select("k").distinct().join(first, "k", "left_anti"), "gone")
+    twice = saved(held(fps.select("k"), "k").where("held > 1").join(first, "k", "left_semi").select("k"), "twice")
+    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    keyed = docs.withColumn(name, key)
+    out = keyed.join(few(gone.withColumnRenamed("k", name)), name, "left_anti")
+    if not twice.isEmpty():
+        again = few(twice.withColumnRenamed("k", name))
+        out = out.join(again, name, "left_anti").unionByName(out.join(again, name, "left_semi").dropDuplicates([name]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

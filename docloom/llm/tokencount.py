@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from docloom.llm._bpe import Vocabulary
-from docloom.llm._common import id_and_text, small_batches
+from docloom.llm._common import id_and_text, mapped
 
 LIMIT = 512
 #: Characters of a chunk, and the most states and words that a worker keeps compiled before it starts afresh.
@@ -218,5 +218,4 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     Repeated rows and null doc_ids come out as they went in; an empty table gives an empty result. Bytes that aren't
     UTF-8 count as U+FFFD.
     """
-    small_batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(_counts(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(id_and_text(docs), _counts(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import saved, scratch_path, small_batches
+from docloom.llm._common import joined, mapped, saved, scratch_path
 
 BLOCK = 1 << 18
 LEVEL = 4
@@ -125,16 +125,25 @@ def _opened(path: str):
     return where, inner
 
 
+#: Most repeated payloads whose digests are broadcast; beyond that the pages of all but the commonest are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages`` with what becomes of each: page_id, url, payload, and refers_to where it repeats another's payload.
 
-    Payloads are told apart by their SHA-1. Sums by digest are made on the map side before they are shuffled; in the join
-    a digest is one row on one side, so AQE splits one that very many pages share.
+    Payloads are told apart by their SHA-1. What is decided is decided on ids and digests, pre-aggregated before they are
+    shuffled; only digests that occur more than once come back to the pages. They are broadcast if they were counted to be
+    few enough, and then no payload is shuffled at all; else ``joined`` leaves the pages of very common ones where they are.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    last = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("sha", "last")
-    rows = rows.join(last, "sha", "left")
+    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
+    last = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("held")).where("held > 1")
+    last = saved(last, "repeated")
+    if last.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(last.drop("held")), "sha", "left")
+    else:
+        rows = joined(rows, last, "sha", pages.count(), "left")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return rows.select("page_id", "url", "payload", F.when(revisit, F.col("last")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
@@ -159,8 +168,7 @@ def _write(folder: str):
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write a record for each row of ``pages``, an archive for each task; (path, n_records) of each archive."""
-    small_batches(pages.sparkSession, 256)
-    return saved(decided(pages, least_bytes).mapInArrow(_write(folder), "path string, n_records long"), "archives")
+    return saved(mapped(decided(pages, least_bytes), _write(folder), "path string, n_records long", 256), "archives")
 
 
 RECORDS = "record_id string, type string, uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -208,7 +216,6 @@ def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     archives = write(pages, scratch_path(spark, "warc"), least_bytes)
-    small_batches(spark, 1)
     n = max(1, min(10_000, archives.count()))
     got = read(archives.repartition(n))
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
