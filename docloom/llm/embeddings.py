@@ -111,7 +111,9 @@ def _linked(a: dict, b: dict, least: float) -> Iterator[np.ndarray]:
     """
     near = b["x"] @ a["x"].T >= least
     p, i = np.nonzero(near)
-    both = np.array([h in w for h, w in zip(b["home"][p].tolist(), map(a["visits"].__getitem__, i), strict=True)], bool)
+    both = b["home"][p] == a["home"][i]
+    rest = np.flatnonzero(~both)
+    both[rest] = [h in a["visits"][k] for h, k in zip(b["home"][p[rest]].tolist(), i[rest].tolist(), strict=True)]
     keep = (b["id"][p] != a["id"][i]) & (~both | (b["id"][p] < a["id"][i]))
     p, i = p[keep], i[keep]
     if not len(p):

@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-Lines are compared as sequences of words; a line goes if an earlier one equals it or is within one word of it (replaced,
-added or taken away); in ``deduplicated`` also if it is within a fifth of the longer one's words. Two lines are that near exactly if they share a variant: the whole line, or the line less one word.
-Variants are joined as hashed keys, the edit distance is verified, and the earliest line stays.
+Lines are compared as sequences of words; a line goes if an earlier one equals it or, from five words on, is within one word
+of it (replaced, added or taken away); in ``deduplicated`` also if it is within a fifth of the longer one's words. Two lines are
+that near exactly if they share a variant: the whole line, or the line less one word. Variants are joined as keys of 128 bits,
+so that no two different ones meet by chance, the edit distance is verified all the same, and the earliest line stays.
 
 Variants of a line are many, so only lines that can have a partner emit them: two lines within one edit agree in their
 first or in their last half. All holders of a variant with the same place taken out are within one edit of each other,
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._common import dropped, fresh, saved, small_batches
+from docloom.llm._common import dropped, fresh, joined, mapped, saved
 
 #: Lines of fewer words have no edits to spare (one edit in five is a similarity of 0.8): only equal ones can repeat.
 LEAST_WORDS = 5
@@ -37,12 +38,25 @@ EARLIEST = 8
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
+_BASES = (_B, np.uint64(0xD1342543DE82EF95))
+#: Variants that a task packs at once.
+MOST_VARIANTS = 200_000
 
 
 def key(*parts: bytes) -> int:
     return xxhash.xxh64_intdigest(b"\x00".join(parts), 17) - (1 << 63)
 
 
+def line_key(w: list[bytes]) -> bytes:
+    """128 bits: at any number of lines, two with the same key are equal."""
+    return xxhash.xxh3_128_digest(b"\x00".join(w), 17)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of 16 bytes as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, 16 * len(rows) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def line_words(line: bytes) -> list[bytes]:
     """ASCII lower case, ASCII white space."""
     return line.lower().split()
@@ -58,20 +72,22 @@ def half_keys(w: list[bytes]) -> list[int]:
 
 
 def variants(w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the whole line (place -1) and of the line less each word (place: that word's)."""
+    """Keys of the whole line (place -1) and of the line less each word (place: that word's), each two lanes of 64 bits."""
     h = np.array([xxhash.xxh64_intdigest(x, 19) for x in w], np.uint64)
     n = len(w)
-    power = np.ones(n + 1, np.uint64)
-    power[1:] = np.multiply.accumulate(np.full(n, _B, np.uint64))
-    term = h * power[:n]
-    before = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(term)])
-    shifted = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h[1:] * power[: n - 1])])  # words after the first, one place down
-    less = before[:n] + (shifted[n - 1] - shifted)
-    keys = np.concatenate([before[n:] + np.uint64(n), less + np.uint64(n - 1)])
-    keys ^= keys >> np.uint64(29)
-    keys = keys * np.uint64(0xBF58476D1CE4E5B9)
-    keys ^= keys >> np.uint64(32)
-    return keys.view(np.int64), np.arange(-1, n)
+    lanes = []
+    for base in _BASES:
+        power = np.ones(n + 1, np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(n, base, np.uint64))
+        term = h * power[:n]
+        before = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(term)])
+        shifted = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h[1:] * power[: n - 1])])  # words after the first, one place down
+        less = before[:n] + (shifted[n - 1] - shifted)
+        keys = np.concatenate([before[n:] + np.uint64(n), less + np.uint64(n - 1)])
+        keys ^= keys >> np.uint64(29)
+        keys = keys * np.uint64(0xBF58476D1CE4E5B9)
+        lanes.append(keys ^ keys >> np.uint64(32))
+    return np.stack(lanes, 1), np.arange(-1, n)
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -147,23 +163,25 @@ def grams(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarr
     return g[whole], line[whole], ((at % 3 == 0) | (n[line] == LEAST_SIMILAR))[whole]
 
 
-LINES = "doc_id long, text_key long, line_no int, n int, line long, k0 long, k1 long, k2 long, k3 long"
+LINES = "doc_id long, text_key long, line_no int, n int, line binary, k0 long, k1 long, k2 long, k3 long"
+TEXTS = "doc_id long, text_key long, line_no int, line binary, words binary"
+VARIANTS = "line binary, first decimal(38,0), variant binary, place int"
 
 
-def _lines(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, line in enumerate((text or b"").split(b"\n")):
-                    w = line_words(line)
-                    if len(w) >= least:
-                        rows.append((doc, text_key, k, len(w), key(*w), *(half_keys(w) if len(w) >= LEAST_WORDS else (None,) * 4)))
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in LINES.split(", ")])
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.replace("38,0", "38").split(", ")]
 
-    return run
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, line in enumerate((text or b"").split(b"\n")):
+                if w := line_words(line):
+                    rows.append((doc, text_key, k, len(w), line_key(w), *(half_keys(w) if len(w) >= LEAST_WORDS else (None,) * 4)))
+        cols = list(zip(*rows, strict=True)) or [()] * 9
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _names(LINES))
 
 
 def _wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,18 +191,32 @@ def _wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for k, line in enumerate((text or b"").split(b"\n")):
                 w = line_words(line)
                 if len(w) >= LEAST_WORDS:
-                    rows.append((doc, text_key, k, key(*w), b" ".join(w)))
+                    rows.append((doc, text_key, k, line_key(w), b" ".join(w)))
         cols = list(zip(*rows, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "text_key", "line_no", "line", "words"])
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _names(TEXTS))
+
+
+def _chunks(words: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of lines that hold about ``most`` words."""
+    start = size = 0
+    for k, w in enumerate(words):
+        size += w.count(b" ") + 1
+        if size >= most:
+            yield start, k + 1
+            start, size = k + 1, 0
+    if start < len(words):
+        yield start, len(words)
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for line, place, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys, places = variants(words.split(b" "))
-            n = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, line)), pa.array([place] * n, pa.decimal128(38, 0)), pa.array(keys), pa.array(places)], ["line", "first", "variant", "place"])
+        words = batch.column(2).to_pylist()
+        for s, e in _chunks(words, MOST_VARIANTS):
+            got = [variants(w.split(b" ")) for w in words[s:e]]
+            take = pa.array(np.repeat(np.arange(s, e), [len(p) for _, p in got]))
+            keys, places = np.concatenate([k for k, _ in got]), np.concatenate([p for _, p in got])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), _binary(keys), pa.array(places.astype(np.int32))], _names(VARIANTS))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,12 +247,12 @@ def _dealt(parts: int, column: str):
             for text in batch.column(batch.schema.names.index(column)).to_pylist():
                 for line in (text or b"").split(b"\n"):
                     w = line_words(line)
-                    if len(w) >= LEAST_SIMILAR and (k := key(*w)) not in seen:
+                    if len(w) >= LEAST_SIMILAR and (k := line_key(w)) not in seen:
                         if len(seen) >= MOST_WORDS:
                             seen.clear()
                         seen.add(k)
                         lines.append(w)
-                        tags.append(k & 0xFFFFFFFF)
+                        tags.append(int.from_bytes(k[:4], "big"))
             if lines:
                 g, line, block = grams(lines, hashes)
                 held.append((g, np.array(tags, np.uint32)[line], block))
@@ -256,21 +288,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n)], ["tag", "shared"])
 
 
-GRAMS = "line long, first decimal(38,0), n int, gram long, blocks int"
+GRAMS = "line binary, first decimal(38,0), n int, gram long, blocks int"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hash()
     for batch in batches:
-        for line, first, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            w = words.split(b" ")
-            g, _, block = grams([w], hashes)
-            g, back = np.unique(g, return_inverse=True)
-            n = len(g)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, line)), pa.array([first] * n, pa.decimal128(38, 0)), pa.array(np.full(n, len(w), np.int32)), pa.array(g.view(np.int64)), pa.array(np.bincount(back[block], minlength=n).astype(np.int32))],
-                [x.split()[0] for x in GRAMS.split(", ")],
-            )
+        words = batch.column(2).to_pylist()
+        for s, e in _chunks(words, MOST_VARIANTS):
+            found = []
+            for k in range(s, e):
+                w = words[k].split(b" ")
+                g, _, block = grams([w], hashes)
+                g, back = np.unique(g, return_inverse=True)
+                found.append((np.full(len(g), k), np.full(len(g), len(w), np.int32), g.view(np.int64), np.bincount(back[block], minlength=len(g)).astype(np.int32)))
+            at, n, gram, blocks = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(n), pa.array(gram), pa.array(blocks)], _names(GRAMS))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,37 +327,36 @@ def order_of() -> F.Column:
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The words of the lines ``wanted`` (line, first), once each."""
     small = wanted.count() <= BROADCAST_ROWS
-    texts = _keyed(docs).mapInArrow(_wanted_texts, "doc_id long, text_key long, line_no int, line long, words binary").withColumn("first", order_of())
+    texts = mapped(_keyed(docs), _wanted_texts, TEXTS).withColumn("first", order_of())
     texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"], "left_semi").select("line", "first", "words").dropDuplicates(["line"])
     return saved(texts, "texts")
 
 
-def _by_one_edit(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines, the different ones, and of those that are one edit from an earlier one the earliest such."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    lines = saved(_keyed(docs).mapInArrow(_lines(least), LINES).withColumn("place", order_of()), "lines")
+def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines, the different ones (``held``: by how many rows), and of those that are one edit from an earlier one the earliest such."""
+    lines = saved(mapped(_keyed(docs), _lines, LINES).withColumn("place", order_of()), "lines")
     keys = [f"k{k}" for k in range(4)]
-    unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), F.min("n").alias("n"), *[F.min(k).alias(k) for k in keys]), "unique")
+    unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), F.min("n").alias("n"), F.count("*").alias("held"), *[F.min(k).alias(k) for k in keys]), "unique")
     halves = unique.select("line", F.explode(F.array(*keys)).alias("half")).where("half is not null")
-    shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("half")
-    wanted = saved(halves.join(shared, "half", "left_semi").select("line").distinct().join(unique.select("line", "first"), "line"), "wanted")
+    shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("held")).where("a <> b")
+    shared = saved(shared.select("half", "held"), "shared")
+    wanted = joined(halves, shared, "half", 4 * unique.count()).select("line").distinct()
+    wanted = saved(wanted.join(unique.select("line", "first"), "line"), "wanted")
     texts = _texts(docs, wanted)
-    rows = saved(texts.mapInArrow(_variants, "line long, first decimal(38,0), variant long, place long"), "variants")
-    scratch = [rows]
+    rows = saved(mapped(texts, _variants, VARIANTS), "variants")
     joint = rows.groupBy("variant").agg(
-        F.min("line").alias("a"), F.max("line").alias("b"),
+        F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("held"),
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("less"),
     ).where("a <> b").drop("a", "b")
-    rows = saved(rows.join(joint, "variant"), "joint")
-    scratch.append(rows)
-    same = rows.where("place >= 0").groupBy("variant", "place").agg(F.min("first").alias("same"))
-    rows = rows.join(same, ["variant", "place"], "left")
-    earliest = F.when(F.col("place") < 0, F.col("less")).otherwise(F.least("whole", "same"))
-    near = rows.select("line", "first", earliest.alias("near")).where("near < first").groupBy("line").agg(F.min("near").alias("near"))
+    joint = saved(joint, "met")
+    both = saved(joined(rows, joint, "variant", rows.count()), "joint")
+    same = saved(both.where("place >= 0").groupBy("variant", "place").agg(F.min("first").alias("same"), F.count("*").alias("held")), "same")
+    near = joined(both.where("place >= 0"), same, ["variant", "place"], both.count()).select("line", "first", F.least("whole", "same").alias("near"))
+    near = near.unionByName(both.where("place < 0").select("line", "first", F.col("less").alias("near")))
+    near = near.where("near < first").groupBy("line").agg(F.min("near").alias("near"))
     pairs = near.join(texts.select("line", F.col("words").alias("one")), "line").join(texts.select(F.col("first").alias("near"), F.col("words").alias("other")), "near")
-    near = saved(pairs.select("line", "near", "one", "other").mapInArrow(_verified, "line long, near decimal(38,0)"), "near")
-    dropped(*scratch, wanted, texts)
+    near = saved(mapped(pairs.select("line", "near", "one", "other"), _verified, "line binary, near decimal(38,0)"), "near")
+    dropped(rows, both, joint, same, shared, wanted, texts)
     return lines, unique, near
 
 
@@ -338,16 +370,16 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
     with a block's earliest holders, and those lines that stay with all, so that large groups are not expanded into all their pairs.
     """
     few = f"n >= {LEAST_SIMILAR} and (n = {LEAST_SIMILAR} or n div 3 - shared <= n div 4)"
-    lines, texts = unique.select("line", "first", "n", F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag")), None
+    lines, texts = unique.select("line", "first", "n", F.conv(F.hex(F.substring("line", 1, 4)), 16, 10).cast("long").alias("tag")), None
     for _ in range(ROUNDS):
         parts = -(-(lines.where(f"n >= {LEAST_SIMILAR}").agg(F.sum("n")).first()[0] or 0) // PART) or 1
-        dealt = (_keyed(docs) if texts is None else texts).mapInArrow(_dealt(parts, "text" if texts is None else "words"), "part int, data binary")
-        shared = dealt.repartitionById(parts, "part").mapInArrow(_shared, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
+        dealt = mapped(_keyed(docs) if texts is None else texts, _dealt(parts, "text" if texts is None else "words"), "part int, data binary")
+        shared = mapped(dealt.repartitionById(parts, "part"), _shared, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
         old, lines = (lines, texts), saved(lines.join(shared, "tag").where(few).select("line", "first", "n", "tag"), "short_of_blocks")
         wanted = lines.select("line", "first")
         texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted, ["line", "first"], "left_semi"), "texts")
         dropped(*filter(None, old))
-    rows = texts.mapInArrow(_grams, GRAMS)
+    rows = mapped(texts, _grams, GRAMS)
     rows = rows.selectExpr("*", "row_number() over (partition by gram order by first, line) as rank", "count(*) over (partition by gram) as holders")
     rows = saved(rows.where("blocks > 0 or holders > 1"), "grams")
     rarest = rows.where("n >= 10 and blocks > 0").selectExpr(
@@ -365,22 +397,22 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
             left = left.join(done.select("line"), "line", "left_anti")
         left = left.groupBy("line", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
         left = left.select("line", "other").distinct().join(one, "line").join(other, "other").select("line", "one", "two")
-        found.append(saved(left.mapInArrow(_similar, "line long").distinct(), "similar"))
+        found.append(saved(mapped(left, _similar, "line binary").distinct(), "similar"))
     return found[0].union(found[1])
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """One row for each line that goes: (doc_id, text_key, line_no, kept_doc_id, kept_line_no, edits).
 
     A document's lines are numbered from 0, parted by line feeds. A line goes if a line before it, in the order of doc_id
-    and number, is within one word of it; kept_... names the earliest such line (which may itself go for one earlier
-    still), edits is 0 if that one is equal and 1 if not. Lines of fewer than ``least`` words stay; those of fewer than five
-    go only if an earlier one equals them. Rows with the same doc_id share their order, so repeated rows don't displace
-    each other. Null doc_ids come last; null and empty texts have no lines.
+    and number, equals it, or, where both have five words or more, is within one word of it; kept_... names the earliest
+    such line (which may itself go for one earlier still), edits is 0 if that one is equal and 1 if not. Lines without a
+    word stay. Rows with the same doc_id share their order, so repeated rows don't displace each other. Null doc_ids come
+    last; null and empty texts have no lines; a very long line is a line like any other.
     """
-    lines, unique, near = _by_one_edit(docs, least)
-    kept = saved(unique.select("line", "first").join(near, "line", "left"), "kept")
-    gone = lines.join(kept, "line").where("place > first or near is not null")
+    lines, unique, near = _by_one_edit(docs)
+    kept = saved(unique.select("line", "first", "held").join(near, "line", "left"), "kept")
+    gone = joined(lines, kept, "line", lines.count()).where("place > first or near is not null")
     best = F.least("first", "near")
     at = F.lit(1 << 31).cast("decimal(11,0)")
     doc = F.floor(best / at).cast("decimal(20,0)")
@@ -395,18 +427,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns as they were but for ``text``, which loses its repeated lines (and n_chars, if there
     is one, which follows): those equal to an earlier one, at any length, and those of five words or more within floor(0.2 x
     words of the longer one) word edits of an earlier one. A document of which nothing but white space would be left goes; one that lost no line
-    stays as it is. Rows that repeat a doc_id and text are treated alike."""
-    names = docs.columns
-    lines, unique, near = _by_one_edit(docs, least=1)
+    stays as it is. Rows that repeat a doc_id and text are treated alike. Null and empty texts stay; so does an empty table."""
+    lines, unique, near = _by_one_edit(docs)
     similar = near.select("line").union(_by_similarity(docs, unique, near)).select("line", F.lit(True).alias("similar"))
-    gone = lines.join(unique.select("line", "first").join(similar, "line", "left"), "line").where("place > first or similar")
-    gone = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("lines").alias("__lines"))
-    key_, id_ = fresh(docs, "text_key"), F.col("doc_id").cast("long")
-    out = docs.withColumn(key_, F.xxhash64(F.col("text").cast("string")))
-    out = out.join(gone, id_.eqNullSafe(F.col("__id")) & (F.col(key_) == F.col("__key")), "left")
-    left = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col("__lines"), k)), "\n")
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(left)
-    out = out.withColumn("__text", text).where(F.col("__lines").isNull() | F.col("__text").rlike(r"\S"))
-    made = {"text": F.col("__text")} | ({"n_chars": F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in names else {})
-    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in names])
+    marked = saved(unique.select("line", "first", "held").join(similar, "line", "left"), "marked")
+    gone = joined(lines, marked, "line", lines.count()).where("place > first or similar").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
+    key_, id_, lines_, left_ = (fresh(docs, c) for c in ("text_key", "line_doc", "lines_gone", "text_left"))
+    out = docs.withColumns({key_: F.xxhash64(F.col("text").cast("string")), id_: F.col("doc_id").cast("long")})
+    out = out.alias("d").join(gone.alias("g"), F.col(f"d.{id_}").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key_}") == F.col("g.text_key")), "left").select("d.*", F.col("g.lines").alias(lines_))
+    left = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(lines_), k)), "\n")
+    whole = F.col(lines_).isNull()
+    out = out.withColumn(left_, F.when(whole, F.col("text")).otherwise(left)).where(whole | F.col(left_).rlike(r"\S"))
+    made = {"text": F.col(left_)}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(left_).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])

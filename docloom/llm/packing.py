@@ -1,9 +1,10 @@
 """Packing token sequences into bins of fixed length: a configuration linear program over the length histogram.
 
 Variables are patterns (how many pieces of each length share a sequence); each length must be covered as often as it
-occurs. Multiplicative weights raise the price of lengths that lag behind, a knapsack dynamic program finds the pattern
-of greatest price, and the fractional solution is rounded down; what remains is placed best-fit decreasing. All of this
-works on counts by length, at most ``capacity`` of them, so its cost does not grow with the number of documents.
+occurs. Multiplicative weights raise the price of lengths that lag behind, a knapsack dynamic program finds patterns of
+greatest price, and the fractional solution is rounded. The program is solved anew for what rounding leaves, until that is
+a few hundredths of the pieces, which are placed best-fit decreasing. All of this works on counts by length, at most
+``capacity`` of them, so its cost does not grow with the number of documents.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docloom.llm._bpe import byte_letters
-from docloom.llm._common import id_and_text, saved, small_batches
+from docloom.llm._common import id_and_text, mapped, saved
 
 CAPACITY = 2048
-#: Rounds of weights; lengths that set patterns in a round; most words that a worker keeps encoded.
-ROUNDS, BATCH, MOST_WORDS = 160, 48, 600_000
-#: Parts into which each length's pieces are dealt to be numbered.
-SALTS = 64
+#: Rounds in which each length is covered a like share; how far a lagging length's price rises; share of pieces left to best-fit.
+ROUNDS, RAISE, REST = 12, 2e-3, 0.06
+#: The same, where no pattern fills a sequence any more.
+SPARE = 0.1
+#: Most words that a worker keeps encoded.
+MOST_WORDS = 300_000
+#: Pieces of a length that one task numbers, at least, and most shares of the numbering beyond one a length.
+TURN, MOST_SHARES = 250_000, 65_536
 
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -105,58 +110,68 @@ def _pieces(name: str, capacity: int, keep: bool):
 
 def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The documents' tokens, an end token (id 0) after each, cut only where longer than ``capacity``."""
-    small_batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(_pieces(vocabulary, capacity, keep_ids), PIECES + ", ids array<int>" * keep_ids)
+    return mapped(id_and_text(docs), _pieces(vocabulary, capacity, keep_ids), PIECES + ", ids array<int>" * keep_ids)
 
 
 # --- the configuration program, on counts by length ---------------------------------------------------------------
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Knapsack by dynamic programming: the greatest total value that fits in 0..capacity, and the last length taken (0: none)."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: the greatest total value that fits in 0..capacity."""
+    best = np.zeros(capacity + 1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if fits[c]:
-            got = best[c - lengths[: fits[c]]] + values[: fits[c]]
-            k = int(got.argmax())
-            if got[k] > best[c]:
-                best[c], took[c] = got[k], lengths[k]
-    return best, took
-
-
-def filled(first: int, took: np.ndarray, capacity: int) -> tuple[int, ...]:
-    """The pattern of one piece of length ``first`` and the best use of the rest, longest first."""
-    out, c = [first], capacity - first
-    while c > 0:
-        if took[c]:
-            out.append(int(took[c]))
-            c -= int(took[c])
-        else:
-            c -= 1
-    return tuple(sorted(out, reverse=True))
+            best[c] = max(best[c], (best[c - lengths[: fits[c]]] + values[: fits[c]]).max())
+    return best
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, batch: int = BATCH) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights for the covering program: a fractional number of each pattern that covers all counts."""
-    at = {int(x): k for k, x in enumerate(lengths)}
-    covered, use = np.zeros(len(lengths)), {}
-    step = 2.0 / rounds
-    for _ in range(rounds):
-        lag = covered - covered.min()
-        weights = np.exp(-lag / step)
-        _, took = price(weights / counts + 1e-12 * lengths, lengths, capacity)
-        for k in np.argsort(covered, kind="stable")[:batch]:
-            p = filled(int(lengths[k]), took, capacity)
-            which, times = np.unique([at[x] for x in p], return_counts=True)
-            amount = step * float((counts[which] / times).min())
-            covered[which] += amount * times / counts[which]
-            use[p] = use.get(p, 0.0) + amount
-        if covered.min() >= 1:
+def pattern(first: int, best: np.ndarray, values: np.ndarray, lengths: np.ndarray, counts: np.ndarray, covered: np.ndarray) -> dict[int, int]:
+    """Piece ``first`` and a best use of the rest by the table ``best``: (number of a length: times).
+
+    Among pieces that are within less than a token's worth of the best, the one of the least covered length is taken. Lengths that are
+    covered, or used as often as they occur, are closed.
+    """
+    capacity = len(best) - 1
+    out, c = {first: 1}, capacity - int(lengths[first])
+    while c > 0 and (n := int(np.searchsorted(lengths, c, side="right"))):
+        worth = np.where(covered[:n] < 1 - 1e-9, best[c - lengths[:n]] + values[:n], -1.0)
+        for k, times in out.items():
+            if k < n and times + 1 > counts[k]:
+                worth[k] = -1.0
+        if (top := worth.max()) <= 0:
             break
-    scale = max(float(covered.min()), step)
-    return {p: x / scale for p, x in use.items()}
+        near = np.flatnonzero(worth >= top - 0.8 / capacity)
+        k = int(near[covered[near].argmin()])
+        out[k] = out.get(k, 0) + 1
+        c -= int(lengths[k])
+    return out
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
+    """Multiplicative weights for the configuration program: a fractional number of each pattern that covers all counts.
+
+    A price is a length's share of the capacity times a weight that rises with how far its coverage lags behind the
+    round's goal. Each round prices once and then serves the lagging lengths in turn.
+    """
+    covered, use = np.zeros(len(lengths)), {}
+    for r in range(rounds):
+        goal = (r + 1) / rounds
+        values = lengths / capacity * np.exp(RAISE * np.clip(goal - covered, -1, 1))
+        values[covered >= 1 - 1e-9] = 0
+        best = price(values, lengths, capacity)
+        for k in np.argsort(covered if r % 2 else -lengths, kind="stable"):
+            if covered[k] >= goal - 1e-9:
+                continue
+            p = pattern(int(k), best, values, lengths, counts, covered)
+            which, times = np.array(list(p)), np.array(list(p.values()))
+            amount = min((goal - covered[k]) * counts[k] / p[int(k)], float(((1 - covered[which]) * counts[which] / times).min()))
+            if amount > 1e-9:
+                covered[which] += amount * times / counts[which]
+                name = tuple(sorted((int(lengths[q]) for q, n in p.items() for _ in range(n)), reverse=True))
+                use[name] = use.get(name, 0.0) + amount
+    return use
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -191,25 +206,42 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [(p, n) for of in bins.values() for p, n in of.items()]
 
 
-def packed(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns and how often each is used, for ``counts`` pieces by length (index 0 unused): every piece exactly once.
+def programmed(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns of the rounded program and how often each is used, and the counts by length that they leave.
 
-    The rounded program and plain best-fit decreasing are both made, and the one of fewer sequences is taken.
+    Whole parts of the solution are taken first, then patterns once each as long as their pieces last; of those patterns that leave
+    least room, so that none is wasted while full ones are to be had. What is left is a smaller program of the same kind.
     """
-    lengths = np.flatnonzero(counts[: capacity + 1])
-    lengths = lengths[lengths > 0]
-    if not len(lengths):
-        return []
-    plain = best_fit(counts, capacity)
     left, out = counts.astype(np.int64).copy(), []
-    for p, x in sorted(fractional(lengths, counts[lengths].astype(float), capacity).items(), key=lambda y: (-sum(y[0]), -y[1])):
-        which, times = np.unique(p, return_counts=True)
-        n = int(min(np.floor(x + 1e-9), (left[which] // times).min()))
-        if n > 0:
-            left[which] -= n * times
-            out.append((p, n))
-    out += best_fit(left, capacity)
-    return min(out, plain, key=lambda o: sum(n for _, n in o))
+    if left[capacity]:
+        out.append(((capacity,), int(left[capacity])))
+        left[capacity] = 0
+    total = int(left.sum())
+    while left.sum() > REST * total:
+        lengths = np.flatnonzero(left)
+        use = sorted(fractional(lengths, left[lengths].astype(float), capacity).items(), key=lambda x: (-x[1], x[0]))
+        placed, room = 0, 0
+        while not placed:
+            for whole in (True, False):
+                for p, x in use:
+                    if sum(p) < capacity - room:
+                        continue
+                    which, times = np.unique(p, return_counts=True)
+                    n = int(min(np.floor(x + 1e-9) if whole else 1, (left[which] // times).min()))
+                    if n > 0:
+                        left[which] -= n * times
+                        placed += n * len(p)
+                        out.append((p, n))
+            if not placed and left.sum() <= SPARE * total:
+                return out, left
+            room = 2 * room + 1
+    return out, left
+
+
+def packed(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns and how often each is used, for ``counts`` pieces by length (index 0 unused): every piece exactly once."""
+    out, left = programmed(counts, capacity)
+    return out + best_fit(left, capacity)
 
 
 def runs(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -248,24 +280,27 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
     """One row per piece: doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset.
 
     A null or empty text is the end token alone. Repeated rows are packed once each; null doc_ids are kept. An empty
-    table gives an empty result. Only lengths and checksums are shuffled, unless ``keep_ids``. The driver gets the
-    histogram (at most ``capacity`` rows) and counts by length and salt (at most 64 times that), whatever the input.
+    table gives an empty result; a very long text is cut into pieces like any other. Only lengths and checksums are
+    shuffled, unless ``keep_ids``. The driver gets the histogram (at most ``capacity`` rows) and counts by length and share
+    (at most 65,536 more), whatever the input.
     """
-    got = saved(pieces(docs, vocabulary, capacity, keep_ids), "pieces")
-    salted = got.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    by = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").collect()
-    counts = np.zeros(capacity + 1, np.int64)
-    base = []
-    for length, salt, n in by:
-        base.append((length, salt, int(counts[length])))
-        counts[length] += n
+    got = saved(pieces(docs, vocabulary, capacity, keep_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     spark = docs.sparkSession
-    first = spark.createDataFrame(base or [(0, 0, 0)], "length long, salt long, base long")
-    ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1 as turn")
-    # At most capacity x 64 rows of three longs: a proven bound, so it may be broadcast.
-    ranked = ranked.join(F.broadcast(first), ["length", "salt"]).withColumn("rank", F.col("turn") + F.col("base"))
-    names = got.columns
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in got.groupBy("length").agg(F.count("*").alias("n")).collect():
+        counts[r.length] = r.n
+    # A length's pieces are dealt out to be numbered: at most capacity + MOST_SHARES shares in all, so their tables may be broadcast.
+    turn = max(TURN, int(counts.sum()) // MOST_SHARES)
+    shares = spark.createDataFrame([(int(x), -(-int(counts[x]) // turn)) for x in np.flatnonzero(counts)] or [(0, 1)], "length long, shares long")
+    dealt = got.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")))
+    base, at = [], {}
+    for length, share, n in dealt.groupBy("length", "share").agg(F.count("*").alias("n")).orderBy("length", "share").collect():
+        base.append((length, share, at.get(length, 0)))
+        at[length] = at.get(length, 0) + n
+    first = spark.createDataFrame(base or [(0, 0, 0)], "length long, share long, base long")
+    ranked = dealt.selectExpr("*", "row_number() over (partition by length, share order by row) - 1 as turn")
+    ranked = ranked.join(F.broadcast(first), ["length", "share"]).withColumn("rank", F.col("turn") + F.col("base"))
+    names = [c for c in got.columns if c != "row"]
     table = runs(packed(counts, capacity))
-    small_batches(spark, 10_000 if not keep_ids else 512)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in got.schema) + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(_placed(table), schema)
+    schema = ", ".join(f"{c} {t}" for c, t in got.drop("row").dtypes) + ", sequence_id long, offset long"
+    return mapped(ranked.select(*names, "rank"), _placed(table), schema, 512 if keep_ids else 10_000)

@@ -71,17 +71,17 @@ words as (
   select doc_id, unnest(range(len(string_split(text, chr(10))))) as line_no,
          list_filter(string_split_regex(translate(unnest(string_split(text, chr(10))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
   from documents),
-lines as (select doc_id, line_no, w, doc_id * 2147483648::hugeint + line_no as place from words where len(w) >= 5),
+lines as (select doc_id, line_no, w, doc_id * 2147483648::hugeint + line_no as place from words where len(w) >= 1),
 uniq as (select w, min(place) as first from lines group by w)
 """
 ORACLE: dict[str, str] = {
     "op4_line_dedup": f"""
 with {_LINES},
 variants as (
-  select w, first, md5(array_to_string(w, ' ')) as v, -1 as p from uniq
+  select w, first, md5(array_to_string(w, ' ')) as v, -1 as p from uniq where len(w) >= 5
   union all
   select w, first, md5(array_to_string(list_concat(w[1:p], w[p + 2:]), ' ')), p
-  from (select w, first, unnest(range(len(w))) as p from uniq)),
+  from (select w, first, unnest(range(len(w))) as p from uniq where len(w) >= 5)),
 same as (select v, p, min(first) as f from variants group by v, p),
 less as (select v, min(first) as f from variants where p >= 0 group by v),
 near as (
