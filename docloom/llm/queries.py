@@ -75,6 +75,7 @@ lines as (select doc_id, line_no, w, doc_id * 2147483648::hugeint + line_no as p
 uniq as (select w, min(place) as first from lines group by w)
 """
 ORACLE: dict[str, str] = {
+    "op10_url_filters": urlfilter.oracle(),
     "op4_line_dedup": f"""
 with {_LINES},
 variants as (

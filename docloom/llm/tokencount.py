@@ -9,7 +9,8 @@ Two machines are compiled from the vocabulary file, state by state as they are f
 * Chunks of a text are summarised by ``ChunkMap``: what the chunk adds for any state it may be entered in. A place where
   white space follows other text always parts two pre-tokens, whatever comes before or after, so every state is the same
   there and the map needs only the text before its first such place, the count between, and the text after its last.
-  ``compose`` is associative, and ``scan`` composes the maps of a text's chunks as a balanced prefix scan.
+  ``compose`` is associative, so maps are composed in any bracketing: those of a very long text's chunks are rows, made in
+  different tasks and composed by a scan in two levels, of runs of ``RUN`` chunks and of what these give.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.llm._bpe import Vocabulary
 from docloom.llm._common import id_and_text, mapped
@@ -29,6 +31,8 @@ from docloom.llm._common import id_and_text, mapped
 LIMIT = 512
 #: Characters of a chunk, and the most states and words that a worker keeps compiled before it starts afresh.
 CHUNK, MOST_STATES, MOST_WORDS = 65_536, 250_000, 500_000
+#: Bytes from which a text's chunks are dealt out, and chunks of a run: two levels hold more than a text can have.
+SPREAD, RUN = 1 << 20, 256
 
 _PRETOKEN = regex.compile(public_tokenizers.PATTERN)
 _PARTED = regex.compile(r"(?<=\S)(?=\s)")
@@ -138,6 +142,10 @@ class TokenCounter:
         self.specials = regex.compile("|".join(map(regex.escape, self.piece.special))) if self.piece.special else None
 
     def chunk_map(self, text: str) -> ChunkMap:
+        if even(text):
+            first = min(k for k in (text.find(" "), text.find("\n"), len(text)) if k >= 0)
+            last = max(text.rfind(" "), text.rfind("\n"))
+            return ChunkMap(text[:first], self.regular(text[first:last]), text[last:]) if last >= 0 else ChunkMap(text, 0, None)
         cuts = [m.start() for m in _PARTED.finditer(text)]
         if not cuts:
             return ChunkMap(text, 0, None)
@@ -147,6 +155,15 @@ class TokenCounter:
         """Tokens of a text that starts and ends at certain partings."""
         return sum(map(self.words.__getitem__, _PARTED.split(text))) if text else 0
 
+    def regular(self, text: str) -> int:
+        """The same where words are parted by one space or one line break each."""
+        words, spaced, n = self.words, self.spaced.__getitem__, 0
+        lines = text.split("\n")
+        for line in lines:
+            first, *rest = line.split(" ")
+            n += words[first] + sum(map(spaced, rest))
+        return n + (len(lines) - 1) * words["\n"]
+
     def joined(self, a: str, b: str) -> ChunkMap:
         """The map of a pending text, which may have a parting where the two meet."""
         if a and b and not a[-1].isspace() and b[0].isspace():
@@ -170,25 +187,27 @@ class TokenCounter:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
         return maps[0]
 
-    def plain(self, text: str) -> int:
-        """Tokens of a text without special strings."""
-        if not text:
-            return 0
-        if len(text) <= CHUNK and even(text):
-            words, spaced, n = self.words, self.spaced.__getitem__, 0
-            lines = text.split("\n")
-            for line in lines:
-                first, *rest = line.split(" ")
-                n += words[first] + sum(map(spaced, rest))
-            return n + (len(lines) - 1) * words["\n"]
-        whole = self.scan([self.chunk_map(text[k : k + CHUNK]) for k in range(0, len(text), CHUNK)])
-        return whole.count + self.words[whole.head] + (self.words[whole.tail] if whole.tail is not None else 0)
+    def finished(self, m: ChunkMap) -> int:
+        """The tokens of a map's text where nothing comes before or after it."""
+        return m.count + self.words[m.head] + (self.words[m.tail] if m.tail is not None else 0)
+
+    def parts(self, text: str) -> Iterator[tuple[bool, str]]:
+        """(is it a special string, text): chunks, and the special strings that part them."""
+        at = 0
+        for m in [*(self.specials.finditer(text) if self.specials else ()), None]:
+            end = m.start() if m else len(text)
+            yield from ((False, text[k : min(end, k + CHUNK)]) for k in range(at, end, CHUNK))
+            if m:
+                yield True, m[0]
+                at = m.end()
+
+    def map_of(self, special: bool, text: str) -> ChunkMap:
+        """A special string is one token and ends what is pending before it."""
+        return ChunkMap("", 1, "") if special else self.chunk_map(text)
 
     def count(self, text: str) -> int:
-        if self.specials and self.specials.search(text):
-            parts = self.specials.split(text)
-            return len(parts) - 1 + sum(map(self.plain, parts))
-        return self.plain(text)
+        maps = [self.map_of(*p) for p in self.parts(text)]
+        return self.finished(self.scan(maps)) if maps else 0
 
 
 @functools.cache
@@ -211,11 +230,94 @@ def _counts(name: str, limit: int):
     return run
 
 
+CHUNKS = "row long, doc_id long, n_bytes long, no int, special boolean, text string"
+MAPS = "row long, doc_id long, n_bytes long, no int, head string, count long, tail string"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    names = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, names, strict=True)], [n for n, _ in names])
+
+
+def _cut(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = compiled(name)
+        for batch in batches:
+            for row, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = []
+                for no, part in enumerate(counter.parts(data.decode("utf-8", "replace"))):
+                    held.append((row, doc, len(data), no, *part))
+                    if len(held) >= 64:
+                        yield _batch(held, CHUNKS)
+                        held = []
+                yield _batch(held, CHUNKS)
+
+    return run
+
+
+def _maps(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = compiled(name)
+        for batch in batches:
+            rows = []
+            for row, doc, size, no, special, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = counter.map_of(special, text)
+                rows.append((row, doc, size, no, m.head, m.count, m.tail))
+            yield _batch(rows, MAPS)
+
+    return run
+
+
+def _folded(name: str):
+    """Compose neighbouring maps of one run: a stream sorted by (row, run, no), of which one map is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, at, held = compiled(name), None, None
+        for batch in batches:
+            done = []
+            for row, doc, size, no, head, count, tail, run_no in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                m = ChunkMap(head, count, tail)
+                if at is not None and at[0] == row and at[3] == run_no:
+                    held = counter.compose(held, m)
+                    continue
+                if at is not None:
+                    done.append((*at, held.head, held.count, held.tail))
+                at, held = (row, doc, size, run_no), m
+            yield _batch(done, MAPS)
+        if at is not None:
+            yield _batch([(*at, held.head, held.count, held.tail)], MAPS)
+
+    return run
+
+
+def _finished(name: str, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = compiled(name)
+        for batch in batches:
+            rows = [(doc, size, n := counter.finished(ChunkMap(head, count, tail)), n > limit) for _, doc, size, _, head, count, tail in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield _batch(rows, COUNTS)
+
+    return run
+
+
+COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+
+
 def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_bytes, n_tokens, over_limit). Null and empty texts count zero.
 
-    A text is counted where it is read; nothing is shuffled. Very long texts are cut into chunks whose maps are composed.
-    Repeated rows and null doc_ids come out as they went in; an empty table gives an empty result. Bytes that aren't
+    A text is counted where it is read, but for texts of more than ``SPREAD`` bytes, whose chunks are dealt out to all
+    tasks. Repeated rows and null doc_ids come out as they went in; an empty table gives an empty result. Bytes that aren't
     UTF-8 count as U+FFFD.
     """
-    return mapped(id_and_text(docs), _counts(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = id_and_text(docs)
+    long = F.coalesce(F.octet_length("text") > SPREAD, F.lit(False))
+    short = mapped(rows.where(~long), _counts(vocabulary, limit), COUNTS)
+    chunks = mapped(rows.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), _cut(vocabulary), CHUNKS, 4)
+    maps = mapped(chunks.repartition("row", "no"), _maps(vocabulary), MAPS)
+    for run in (F.floor(F.col("no") / RUN).cast("int"), F.lit(0)):
+        maps = maps.withColumn("run", run).repartition("row", "run").sortWithinPartitions("row", "run", "no")
+        maps = mapped(maps, _folded(vocabulary), MAPS)
+    return short.unionByName(mapped(maps, _finished(vocabulary, limit), COUNTS))

@@ -111,18 +111,18 @@ def threshold(scores: DataFrame) -> float:
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """One row per row of ``pages``: (page_id, host, path, rule, verdict, score).
 
-    Where no rule fits, the verdict is the models': allow if the score reaches the calibrated threshold. A null url, one
-    without ``://`` or one with nothing after it has an empty host and path; it fits no rule, scores 0 and is blocked
-    unless the threshold lets 0 pass. Without URLs of both labels the models say nothing: scores are 0, verdicts allow.
+    Where no rule fits, the verdict is the models', which see the whole URL in ASCII lower case: allow if the score reaches the
+    calibrated threshold. A null url or one without ``://`` has an empty host and path and fits no rule; a null or empty one
+    scores 0 and is blocked unless the threshold lets 0 pass. Very long URLs are scored whole. Without URLs of both labels the models say nothing: scores are 0, verdicts allow.
     Repeated rows come out once each, null page_ids are kept, other columns are not read.
     """
     url = F.col("url").cast("string")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER).alias("letters"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("label"), F.lower(F.concat("host", "path")).alias("letters"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("label"))
     # Counted and scored once for each different text; rows that repeat one are summed before they are shuffled.
     labelled = rows.where("label is not null").select("label", "letters")
-    kept_out = F.pmod(F.xxhash64("letters"), F.lit(5)) == 0
+    kept_out = F.conv(F.substring(F.md5("letters"), 1, 8), 16, 10).cast("long") % 5 == 0
     model = models(labelled.where(~kept_out))
     limit = threshold(scored(labelled.where(kept_out).distinct(), model, ["label", "letters"]))
     rest = rows.where("label is null").select("letters").distinct()
@@ -130,3 +130,32 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     out = rows.join(scores, "letters", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     said = F.coalesce(F.col("label"), F.when(F.col("score") >= limit, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "score")
+
+
+def oracle(rules: list[tuple[str, str, str]] = RULES) -> str:
+    """``judge`` as SQL of another engine, over a table ``pages``."""
+    whens = [(f"(host = '{d}' or ends_with(host, '.{d}')) and starts_with(path, '{p}')", d + p, v) for v, d, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)]
+    rule, verdict = ("case " + " ".join(f"when {w} then '{x[k]}'" for w, *x in whens) + " end" for k in (0, 1))
+    start = f"repeat(chr({ord(START)}), {ORDER})"
+    grams = ", ".join(f"substr(padded, pos + {ORDER - k}, {k + 1}) as s{k + 1}" for k in range(ORDER + 1))
+    joins = " ".join(f"left join c as c{k} on c{k}.c = substr(s{k + 1}, 1, {k}) left join n as n{k} on n{k}.s = s{k + 1}" for k in range(ORDER + 1))
+    p = {}
+    for m in "ar":
+        p[m] = "(1 / 256::double)"
+        for k in range(ORDER + 1):
+            p[m] = f"(case when coalesce(c{k}.c{m}, 0) > 0 then (coalesce(n{k}.n{m}, 0) + c{k}.t{m} * {p[m]}) / (c{k}.c{m} + c{k}.t{m})::double else {p[m]} end)"
+    return f"""with raw as (
+  select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+         translate(coalesce(url, ''), '{UPPER}', '{LOWER}') as letters from pages),
+ruled as (select *, {rule} as rule, {verdict} as label, ('0x' || substr(md5(letters), 1, 8))::bigint % 5 = 0 as out from raw),
+places as (select label, out, letters, {start} || letters as padded, unnest(range(1, length(letters) + 1)) as pos from ruled),
+grams as (select label, out, letters, pos, {grams} from places),
+n as (select s, count(*) filter (label = 'allow') as na, count(*) filter (label = 'block') as nr from (
+  select label, unnest([{", ".join(f"s{k + 1}" for k in range(ORDER + 1))}]) as s from grams where label is not null and not out) group by s),
+c as (select substr(s, 1, length(s) - 1) as c, sum(na) as ca, sum(nr) as cr, count(*) filter (na > 0) as ta, count(*) filter (nr > 0) as tr from n group by 1),
+scores as (select label, letters, round(avg(ln({p["a"]}) - ln({p["r"]})), 9) as score from (select distinct * from grams where label is null or out) {joins} group by label, letters),
+marks as (select greatest(-1000, least(1000, round(score * 100)))::int as mark, count(*) filter (label = 'allow') as a, count(*) filter (label = 'block') as r from scores where label is not null group by 1),
+shares as (select mark, lag(mark) over (order by mark) as below, (sum(a) over (order by mark desc)) / sum(a) over () + coalesce(sum(r) over (order by mark rows between unbounded preceding and 1 preceding), 0) / sum(r) over () as share from marks),
+cut as (select case when below is null then mark / 100 else (mark + below) / 200 end as t from shares where (select sum(a) > 0 and sum(r) > 0 from marks) order by round(share, 10) desc, mark limit 1)
+select page_id, host, path, rule, coalesce(u.label, case when coalesce(score, 0) >= coalesce((select t from cut), 0) then 'allow' else 'block' end) as verdict, coalesce(score, 0)::double as score
+from ruled u left join scores s on u.letters = s.letters and s.label is null"""

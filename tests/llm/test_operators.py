@@ -130,6 +130,18 @@ def test_token_counts(docs, rows, none, monkeypatch):
             assert counter.count(t) == len(tok.encode(t, add_special_tokens=False).ids), t
 
 
+def test_chunks_of_long_texts_are_dealt_out(spark, monkeypatch):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(8)
+    parts = ["a", " the", "  ", "\n", "'s", "12", "é", "<|endoftext|>", "...", "x" * 40, " river"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (3000, 2500, 10)] + ["y" * 5000, None, ""]
+    monkeypatch.setattr(tokencount, "SPREAD", 1000)
+    monkeypatch.setattr(tokencount, "RUN", 4)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.token_counts(df).collect()}
+    assert got == {(k, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate([*texts, texts[0]])}
+
+
 def test_line_dedup(docs, rows, none):
     lines = [(float("inf") if r[0] is None else r[0], k, linededup.line_words(x)) for r in rows for k, x in enumerate((r[1] or "").encode().split(b"\n"))]
     lines = [x for x in lines if x[2]]
@@ -308,3 +320,20 @@ def test_url_model_tells_kinds_apart(spark):
     got = urlfilter.scored(spark.createDataFrame([("b.net/garden/999",), ("b.net/casino/999",)], "letters string"), model, ["letters"]).collect()
     s = {r.letters: r.score for r in got}
     assert s["b.net/garden/999"] > 0 > s["b.net/casino/999"]
+
+
+def test_same_as_sql(spark):
+    import duckdb
+
+    from docloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE.items():
+        df = queries.QUERIES[name](spark, sf)
+        cols = sorted(df.columns)
+        flat = lambda r: tuple(round(x, 8) + 0.0 if isinstance(x, float) else x for x in r)
+        want = sorted(map(str, map(flat, db.sql(f"select {', '.join(c for c in cols if c != 'text_key')} from ({sql})").fetchall())))
+        assert sorted(str(flat(r)) for r in df.select(*[c for c in cols if c != "text_key"]).collect()) == want and want, name
