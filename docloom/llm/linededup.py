@@ -338,14 +338,15 @@ def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keys = [f"k{k}" for k in range(4)]
     unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), F.min("n").alias("n"), F.count("*").alias("held"), *[F.min(k).alias(k) for k in keys]), "unique")
     halves = unique.select("line", F.explode(F.array(*keys)).alias("half")).where("half is not null")
-    shared = halves.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("held")).where("a <> b")
+    half_of = F.xxhash64("line")  # tells lines apart within one group; minima of longs aggregate by hash, those of binaries by sorting
+    shared = halves.groupBy("half").agg(F.min(half_of).alias("a"), F.max(half_of).alias("b"), F.count("*").alias("held")).where("a <> b")
     shared = saved(shared.select("half", "held"), "shared")
     wanted = joined(halves, shared, "half", 4 * unique.count()).select("line").distinct()
     wanted = saved(wanted.join(unique.select("line", "first"), "line"), "wanted")
     texts = _texts(docs, wanted)
     rows = saved(mapped(texts, _variants, VARIANTS), "variants")
     joint = rows.groupBy("variant").agg(
-        F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("held"),
+        F.min(half_of).alias("a"), F.max(half_of).alias("b"), F.count("*").alias("held"),
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("less"),
     ).where("a <> b").drop("a", "b")
     joint = saved(joint, "met")
