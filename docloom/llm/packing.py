@@ -33,7 +33,7 @@ SPARE = 0.1
 #: Most words that a worker keeps encoded.
 MOST_WORDS = 300_000
 #: Pieces of a length that one task numbers, at least, and most shares of the numbering beyond one a length.
-TURN, MOST_SHARES = 250_000, 65_536
+TURN, MOST_SHARES = 500, 65_536
 
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
