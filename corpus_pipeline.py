@@ -21,22 +21,27 @@ from docloom.llm._common import saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; null, empty and letterless texts go, repeated rows are treated alike."""
     return langid.accepted(docs, langid.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less their repeated lines; null and empty texts stay, one that loses all its lines goes."""
     return linededup.deduplicated(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component; null and empty texts are one, rows that share only an id are different documents."""
     return simhash.one_of_each(docs, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null and empty texts hold none."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places; null and empty texts are an end token alone, long ones several pieces."""
     return packing.pack(docs, "word_bpe_49k.json", capacity=2048)
 
 
@@ -47,11 +52,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontaminate", decontaminate),
     ("pack", pack),
 ]
-#: Learned models, fingerprint search and alignment are beyond SQL; tests compare each stage with a brute-force version.
+#: Learned models, fingerprint search and alignment are beyond SQL; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Extra columns come along up to the last stage; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
