@@ -5,9 +5,9 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 CJK = r"[一-鿿㐀-䶿豈-﫿\x{20000}-\x{2FA1F}]"
 HAN = r"[一-鿿]"
@@ -53,6 +53,11 @@ def directory(c: Column) -> Column:
     return F.when(F.locate("/", c) > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+def relative_directory(path_: Column, root: Column) -> Column:
+    """The directory of a path below a root; empty for files right in it."""
+    return directory(F.when(path_.startswith(F.concat(root, F.lit("/"))), F.substring(path_, F.length(root) + 2, F.length(path_))).otherwise(path_))
+
+
 def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"\.([^./\\]+)$", 1))
 
@@ -108,6 +113,20 @@ def terms(c: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(F.concat(words, blocks, ngrams(blocks, 2), ngrams(blocks, 3))), F.array(*map(F.lit, GENERIC_TERMS))))
 
 
+# Nouns that name an attribute, before which a subject stands, and those that are none themselves.
+ATTRIBUTES = ["项目", "负责人", "发布时间", "预算", "供应商", "合同", "阶段", "状态", "决策", "风险", "待办"]
+NO_SUBJECT = ["负责人", "发布", "发布时间", "日期", "预算", "供应商", "合同", "合同编号", "决策", "风险", "待办", "行动项", "状态", "阶段", "关键", "时间线", "时间轴", "比较", "对比"]
+
+
+def subject_terms(c: Column) -> Column:
+    """What a question is about: Latin words of three letters or more, and runs of Han before an attribute."""
+    q = question(c)
+    words = F.filter(F.regexp_extract_all(q, F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) >= 3)
+    before = F.transform(F.regexp_extract_all(q, F.lit(f"({HAN}{{2,12}})(?={'|'.join(ATTRIBUTES)})"), 1), lambda w: F.regexp_replace(w, "的+$", ""))
+    rest = F.array_except(F.array_distinct(F.concat(words, F.array_except(before, F.array(*map(F.lit, NO_SUBJECT))))), F.array(*map(F.lit, GENERIC_TERMS)))
+    return F.array_sort(F.filter(rest, lambda w: w != ""))
+
+
 def lines(c: Column) -> Column:
     """Short units of a text: its lines, stripped of blanks and dashes, parted after full stops and semicolons."""
     trimmed = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^[ \-\t]+|[ \-\t]+$", ""))
@@ -115,13 +134,36 @@ def lines(c: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+# What a secret looks like. The value is quoted, or goes up to white space (also after a quote that is never closed).
+SECRETS = [
+    (r"(?i)([\"']?)(api[_-]?key|token|password|secret)\1\s*([:=])\s*(?:([\"']).*?\4|[^\s]+)", "$1$2$1$3$4[REDACTED]$4"),
+    (r"(?i)\bbearer\s+[a-z0-9\-._~+/=]+", "Bearer [REDACTED]"),
+    (r"\bsk-[a-zA-Z0-9\-_]{8,}\b", "sk-[REDACTED]"),
+]
+
+
 def redacted(c: Column) -> Column:
     """Secrets replaced: assignments to key, token, password or secret, bearer tokens, and sk- keys."""
-    key = r"(?i)([\"']?)(api[_-]?key|token|password|secret)\1\s*([:=])\s*"
-    c = F.regexp_replace(c, key + r"([\"'])(?:.*?)\4", "$1$2$1$3$4[REDACTED]$4")
-    c = F.regexp_replace(c, key + r"(?![\"'])[^\s]+", "$1$2$1$3[REDACTED]")
-    c = F.regexp_replace(c, r"(?i)\bbearer\s+[a-z0-9\-._~+/=]+", "Bearer [REDACTED]")
-    return F.regexp_replace(c, r"\bsk-[a-zA-Z0-9\-_]{8,}\b", "sk-[REDACTED]")
+    for pattern, to in SECRETS:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
+def redacted_value(c: Column, kind: DataType) -> Column:
+    """The same for every string inside arrays, maps and structs; keys of maps stay."""
+    if isinstance(kind, StringType):
+        return redacted(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: redacted_value(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: redacted_value(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[redacted_value(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def redacted_rows(df: DataFrame) -> DataFrame:
+    return df.select(*[redacted_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def digest(c: Column) -> tuple[Column, Column]:

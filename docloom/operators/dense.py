@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -37,14 +40,17 @@ def nearest(vectors: DataFrame, probes: list[list[float]], k: int, allowed: Data
     return out.groupBy("doc_id").agg(F.min("distance").alias("distance"))
 
 
-def tokens(c: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
-    """Latin words, Han bigrams and trigrams (a single character by itself), and a token for each concept named."""
-    low = F.trim(F.regexp_replace(F.lower(tx.collapsed(tx.narrow(c))), r"\s+", " "))
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), 1)
-    blocks = F.regexp_extract_all(low, F.lit(f"({tx.HAN}+)"), 1)
-    single = F.filter(blocks, lambda b: F.length(b) == 1)
-    concepts = [F.when(_any([low.contains(t.lower()) for t in terms]), F.lit(f"concept::{name}")) for name, terms in lexicon.items()]
-    return F.concat(words, single, tx.ngrams(blocks, 2), tx.ngrams(blocks, 3), F.array_compact(F.array(*concepts)))
+def tokens(docs: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """(doc_id, ts): Latin words, Han bigrams and trigrams (a single character by itself), and a token for each concept of
+    ``lexicon`` that is named. A text is normalised once, and looked at for Han only if it has any."""
+    lexicon = LEXICON if lexicon is None else lexicon
+    none = F.array().cast("array<string>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.regexp_replace(F.lower(tx.collapsed(tx.narrow(F.col("text")))), r"\s+", " ")).alias("low"))
+    rows = rows.select("*", F.when(F.col("low").rlike(tx.HAN), F.regexp_extract_all("low", F.lit(f"({tx.HAN}+)"), 1)).alias("blocks"))
+    han = F.concat(F.filter("blocks", lambda b: F.length(b) == 1), tx.ngrams(F.col("blocks"), 2), tx.ngrams(F.col("blocks"), 3))
+    concepts = [F.when(_any([F.col("low").contains(t.lower()) for t in terms]), F.lit(f"concept::{name}")) for name, terms in lexicon.items()]
+    parts = [F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), 1), F.when(F.col("blocks").isNotNull(), han).otherwise(none)]
+    return rows.select("doc_id", F.concat(*parts, *([F.array_compact(F.array(*concepts))] if concepts else [])).alias("ts"))
 
 
 def _any(columns: list[Column]) -> Column:
@@ -55,12 +61,18 @@ def _any(columns: list[Column]) -> Column:
 
 
 def token_rows(docs: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
-    """(doc_id, token, c): counts of each document's tokens, and of one auxiliary document (negative id) per cluster."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, token, c): counts of each document's tokens, and of one auxiliary document (negative id) per cluster: its
+    concept and the tokens of each of its terms by itself.
+
+    Documents are dealt out by id once; what follows, counts and totals, is grouped within those partitions.
+    """
+    got = tokens(docs.select("doc_id", "text"), lexicon)
     if lexicon:
-        aux = [(-1 - k, " ".join(t)) for k, t in enumerate(lexicon.values())]
-        rows = rows.unionByName(docs.sparkSession.createDataFrame(aux, "doc_id long, text string"))
-    return rows.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
+        spark = docs.sparkSession
+        terms = spark.createDataFrame([(-1 - k, t) for k, ts in enumerate(lexicon.values()) for t in ts], "doc_id long, text string")
+        own = spark.createDataFrame([(-1 - k, [f"concept::{name}"]) for k, name in enumerate(lexicon)], "doc_id long, ts array<string>")
+        got = got.unionByName(tokens(terms, lexicon)).unionByName(own)
+    return got.repartition("doc_id").select("doc_id", F.explode("ts").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, size: int = VOCABULARY) -> DataFrame:
@@ -71,10 +83,32 @@ def vocabulary(counts: DataFrame, n_docs: int, size: int = VOCABULARY) -> DataFr
 
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, token, w): (1 + ln c) over the document's tokens in the vocabulary, times idf. The vocabulary is at most
-    4096 rows, so it is broadcast; the totals reuse the grouping by document."""
+    4096 rows, so it is broadcast; the totals are sums within a document's partition."""
     known = counts.join(F.broadcast(vocab.select("token", "idf")), "token")
-    totals = known.groupBy("doc_id").agg(F.sum("c").alias("total"))
-    return known.join(totals, "doc_id").select("doc_id", "token", ((1 + F.log("c")) / F.col("total") * F.col("idf")).alias("w"))
+    total = F.sum("c").over(W.partitionBy("doc_id"))
+    return known.select("doc_id", "token", ((1 + F.log("c")) / total * F.col("idf")).alias("w"))
+
+
+def _partial_gram(size: int):
+    """Sums of outer products of the rows of one partition, a block of documents at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for f in frames:
+            for s in range(0, len(f), 256):
+                x = np.zeros((len(f.iloc[s : s + 256]), size))
+                for k, (ids, ws) in enumerate(zip(f["ids"].iloc[s : s + 256], f["ws"].iloc[s : s + 256], strict=True)):
+                    x[k, ids] = ws
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            for s in range(0, size, 256):
+                yield pd.DataFrame({"i": range(s, min(size, s + 256)), "row": [r.tobytes() for r in total[s : s + 256]]})
+
+    return run
+
+
+def _summed(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"i": f["i"].iloc[:1], "row": [np.sum([np.frombuffer(r) for r in f["row"]], axis=0).tobytes()]})
 
 
 @dataclass
@@ -84,22 +118,29 @@ class Embedder:
     tokens: list[str]
     idf: np.ndarray
     projection: np.ndarray
+    lexicon: dict[str, list[str]]
 
     @classmethod
-    def fit(cls, docs: DataFrame, lexicon: dict[str, list[str]] = LEXICON, size: int = VOCABULARY, dim: int = DIMENSIONS) -> Embedder:
+    def fit(cls, docs: DataFrame, lexicon: dict[str, list[str]] | None = None, size: int = VOCABULARY, dim: int = DIMENSIONS, parts: int = 64) -> Embedder:
+        """The driver gets the vocabulary and the Gram matrix, bounded by ``size``; each of at most ``parts`` tasks sums its
+        documents' outer products, so what is shuffled grows with neither documents nor pairs of tokens."""
+        lexicon = LEXICON if lexicon is None else lexicon
         counts = token_rows(docs, lexicon)
         vocab = vocabulary(counts, docs.count() + len(lexicon), size)
         rows = sorted((r.token, r.idf) for r in vocab.collect())  # at most ``size`` rows
-        at = {t: k for k, (t, _) in enumerate(rows)}
-        w = tfidf(counts, vocab)
-        pairs = w.alias("a").join(w.alias("b"), "doc_id").groupBy(F.col("a.token").alias("x"), F.col("b.token").alias("y")).agg(F.sum(F.col("a.w") * F.col("b.w")).alias("s"))
-        gram = np.zeros((len(rows), len(rows)))
-        for r in pairs.toLocalIterator():
-            gram[at[r.x], at[r.y]] = r.s
-        _, v = np.linalg.eigh(gram)
-        p = np.zeros((len(rows), dim))
-        p[:, : min(dim, len(rows))] = v[:, ::-1][:, :dim]
-        return cls([t for t, _ in rows], np.array([i for _, i in rows]), p)
+        n, spark = len(rows), docs.sparkSession
+        p = np.zeros((n, dim))
+        if n:
+            numbered = spark.createDataFrame([(t, i, k) for k, (t, i) in enumerate(rows)], "token string, idf double, id int")
+            w = tfidf(counts, numbered).join(F.broadcast(numbered.select("token", "id")), "token")
+            vectors = w.groupBy("doc_id").agg(F.collect_list(F.struct("id", "w")).alias("v")).select(F.col("v.id").alias("ids"), F.col("v.w").alias("ws"))
+            got = vectors.coalesce(parts).mapInPandas(_partial_gram(n), "i int, row binary").groupBy("i").applyInPandas(_summed, "i int, row binary")
+            gram = np.zeros((n, n))
+            for r in got.toLocalIterator():
+                gram[r.i] = np.frombuffer(r.row)
+            _, v = np.linalg.eigh(gram)
+            p[:, : min(dim, n)] = v[:, ::-1][:, :dim]
+        return cls([t for t, _ in rows], np.array([i for _, i in rows]), p, lexicon)
 
     def embed(self, docs: DataFrame) -> DataFrame:
         """(doc_id, embedding): normalised; zero where a text has no known token."""
@@ -115,4 +156,60 @@ class Embedder:
                     out.append((v / n if n else v).tolist())
                 yield pd.DataFrame({"doc_id": f["doc_id"], "embedding": out})
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("ts")).mapInPandas(run, "doc_id long, embedding array<double>")
+        return tokens(docs, self.lexicon).where("ts is not null").mapInPandas(run, "doc_id long, embedding array<double>")
+
+    def embed_query(self, spark: SparkSession, text: str) -> list[float]:
+        return self.embed(spark.createDataFrame([(0, text)], "doc_id long, text string")).first().embedding
+
+    def fingerprint(self) -> str:
+        """MD5 of the model, rounded to six places."""
+        said = {"vocabulary": self.tokens, "idf": self.idf.round(6).tolist(), "projection": (self.projection.round(6) + 0.0).tolist(), "lexicon": self.lexicon}
+        return hashlib.md5(json.dumps(said, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A Parquet table of one row for each token, in order, and one that describes the model."""
+        rows = [(k, t, float(i), [float(x) for x in p]) for k, (t, i, p) in enumerate(zip(self.tokens, self.idf, self.projection, strict=True))]
+        spark.createDataFrame(rows, "k int, token string, idf double, projection array<double>").write.parquet(f"{path}/tokens")
+        spark.createDataFrame([(self.projection.shape[1], len(rows), json.dumps(self.lexicon, ensure_ascii=False), self.fingerprint())], "dim int, size int, lexicon string, fingerprint string").write.parquet(f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Embedder:
+        """ValueError if what is read is not the model that was saved."""
+        about = spark.read.parquet(f"{path}/model").first()
+        rows = spark.read.parquet(f"{path}/tokens").orderBy("k").collect()
+        p = np.array([r.projection for r in rows]).reshape(len(rows), about["dim"])
+        out = cls([r.token for r in rows], np.array([r.idf for r in rows]), p, json.loads(about["lexicon"]))
+        if len(rows) != about["size"] or out.fingerprint() != about["fingerprint"]:
+            raise ValueError(f"the model at {path} is incomplete or was changed")
+        return out
+
+
+def added(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors with new ones, which replace those of the same id."""
+    return vectors.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+
+
+def deleted(vectors: DataFrame, gone: DataFrame) -> DataFrame:
+    return vectors.join(gone.select("doc_id"), "doc_id", "left_anti")
+
+
+def committed(spark: SparkSession, generations: DataFrame) -> DataFrame:
+    """The vectors of the committed generation; an empty channel where there is none, which is degraded but no error."""
+    row = generations.where("state = 'committed'").orderBy(F.desc("generation")).first()
+    return spark.createDataFrame([], "doc_id long, embedding array<double>") if row is None else spark.read.parquet(f"{row.bundle_path}/vectors")
+
+
+def rebuilt(spark: SparkSession, chunks: DataFrame, folder: str, generation: int) -> tuple[str, str]:
+    """Fit, embed and write one generation's bundle: (bundle_path, fingerprint). What it holds is checked before it may be
+    committed: a vector for each text, and a model that can be loaded."""
+    model, path = Embedder.fit(chunks), f"{folder}/gen={generation}"
+    model.embed(chunks).write.parquet(f"{path}/vectors")
+    model.save(spark, f"{path}/model")
+    if spark.read.parquet(f"{path}/vectors").count() != chunks.where("text is not null").count():
+        raise ValueError(f"the bundle at {path} lacks vectors")
+    return path, Embedder.load(spark, f"{path}/model").fingerprint()
+
+
+def lsa_neighbors(docs: DataFrame, model: Embedder, text: str, k: int) -> DataFrame:
+    """(doc_id, distance): the documents nearest to a text in the latent space."""
+    return nearest(model.embed(docs), [model.embed_query(docs.sparkSession, text)], k)

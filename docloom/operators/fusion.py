@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
@@ -66,18 +67,23 @@ def fused(lex: DataFrame, near: DataFrame, docs: DataFrame, now: Column, k: int
     rows = docs.join(F.broadcast(both), "doc_id")
     rows = rows.withColumn("lex", F.coalesce("lex", F.lit(0.0))).withColumn("dense", F.greatest(F.lit(0.0), 1 - F.coalesce("distance", F.lit(2.0))))
     rows = rows.withColumn("fresh", freshness(age(F.col("modified_at"), now)))
+    rows = rows.withColumn("total_candidates", F.count("*").over(W.partitionBy(F.lit(0))))  # of candidates only, a few per result asked for
     rows = rows.where((F.col("lex") >= NEGLIGIBLE) | (F.col("dense") >= NEGLIGIBLE))
     return rows.withColumn("score", LEX * F.col("lex") + DENSE * F.col("dense") + FRESH * F.col("fresh")).orderBy(F.desc("score"), "doc_id", "chunk_index").limit(k or TOP_K)
 
 
-def hybrid_search(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, probes: list[list[float]], now: Column, top_k: int = 0, where: Filter | None = None) -> DataFrame:
-    """The whole plan: expand, pre-filter, search both channels for three times the results asked for, fuse, cite."""
+def hybrid_search(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, probes: list[list[float]] | dense.Embedder, now: Column, top_k: int = 0, where: Filter | None = None) -> DataFrame:
+    """The whole plan: expand, pre-filter, search both channels for three times the results asked for, fuse, cite. ``probes`` are
+    vectors, or the embedder that makes them from the query and what it expands to."""
     k = 3 * (top_k or TOP_K)
+    variants = lexical.expand(query)
+    if isinstance(probes, dense.Embedder):
+        probes = [probes.embed_query(docs.sparkSession, v) for v in variants]
     allowed = where.apply(docs) if where else None
-    lex = lexical.min_max(lexical.search(chunks, lexical.expand(query), k, allowed)).select("doc_id", "chunk_index", "lex")
+    lex = lexical.min_max(lexical.search(chunks, variants, k, allowed)).select("doc_id", "chunk_index", "lex")
     near = dense.nearest(vectors, probes, k, allowed).select("doc_id", F.lit(0).alias("chunk_index"), "distance")
     top = fused(lex, near, docs.drop("text"), now, top_k)
     return F.broadcast(top).join(chunks.select("doc_id", "chunk_index", "text", "char_start", "char_end"), ["doc_id", "chunk_index"]).select(
-        "doc_id", "chunk_index", "score", "lex", "dense", "fresh", "display_path", F.col("chunk_index").alias("paragraph"),
+        "doc_id", "chunk_index", "score", "lex", "dense", "fresh", "total_candidates", "display_path", F.col("chunk_index").alias("paragraph"),
         F.concat_ws("-", "char_start", "char_end").alias("char_range"), tx.preview(F.col("text"), 120).alias("quote"), tx.preview(F.col("text"), 200).alias("summary"),
     )

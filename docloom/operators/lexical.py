@@ -25,6 +25,10 @@ LEXICON = {
 }
 
 
+#: Full-width letters, digits and space, and what they become.
+_NARROW = {c + 0xFEE0: chr(c) for c in range(33, 127) if chr(c).isalnum()} | {0x3000: " "}
+
+
 class QuerySyntaxError(ValueError):
     pass
 
@@ -48,7 +52,7 @@ def check_lexicon(lexicon: dict[str, list[str]]) -> None:
 
 def expand(query: str, lexicon: dict[str, list[str]] | None = None) -> list[str]:
     """The query and, if it is a lexicon term as a whole, the other terms of its cluster."""
-    text = unicodedata.normalize("NFC", query).strip()
+    text = re.sub(r"[ \f\v\r]+", " ", unicodedata.normalize("NFC", query).translate(_NARROW)).strip()
     if not text:
         raise ValueError("the query is blank")
     for terms in (lexicon or LEXICON).values():

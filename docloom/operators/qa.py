@@ -106,8 +106,9 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("rn = 1").select(*names)
 
 
-def conflicts(rows: DataFrame) -> DataFrame:
-    """Keys with two values or more: the first source of each value, three at most."""
+def conflicts(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Keys (of those asked for) with two values or more: the first source of each value, three at most."""
+    rows = rows.where(F.col("key").isin(keys)) if keys else rows
     first = first_of_each(rows, ["key", "norm"], ["modified_at", "doc_id", "position"])
     many = first.groupBy("key").agg(F.count("*").alias("n_values")).where("n_values > 1")
     ranked = first.join(many, "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("modified_at", "doc_id", "position")))
@@ -134,13 +135,18 @@ def insights(lines: DataFrame) -> DataFrame:
 
 
 def summary(units: DataFrame, per_item: int = 2) -> DataFrame:
-    """The first units of each item, the best items first, six at most. ``units``: item, item_score, position, line."""
+    """The first units of each item, the best items first, each text once, six at most. ``units``: item, item_score, position, line."""
     first = units.withColumn("rn", F.row_number().over(W.partitionBy("item").orderBy("position"))).where(F.col("rn") <= per_item)
+    first = first_of_each(first.withColumn("low", F.lower("line")), ["low"], [F.desc("item_score"), "item", "position"])
     return first.orderBy(F.desc("item_score"), "item", "position").limit(MOST["summary"]).select("item", "position", "line")
 
 
 def cited(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Whether each claim (claim_id, doc_id, text) is found in the normalised evidence lines of its document."""
-    lines = evidence.select("doc_id", tx.question(F.col("line")).alias("n"))
-    got = claims.withColumn("q", tx.question(F.col("text"))).join(lines, "doc_id", "left")
-    return got.groupBy("claim_id").agg(F.coalesce(F.bool_or(F.contains(F.col("n"), F.col("q"))), F.lit(False)).alias("valid"))
+    """Whether each claim is found in the evidence lines of its document. ``claims``: claim_id, doc_id, text, and key, which
+    makes it a fact: then the document has to state that key with the same value. Other claims have to be part of a line."""
+    lines = evidence.select("doc_id", tx.question(F.col("line")).alias("n"), facts(F.col("line")).alias("facts"))
+    key = F.col("key") if "key" in claims.columns else F.lit(None).cast("string")
+    got = claims.withColumns({"q": tx.question(F.col("text")), "k": key, "v": tx.fact_value(F.col("text"))}).join(lines, "doc_id", "left")
+    stated = F.exists("facts", lambda f: (f["key"] == F.col("k")) & (tx.fact_value(f["value"]) == F.col("v")))
+    said = (F.col("q") != "") & F.contains(F.col("n"), F.col("q"))
+    return got.groupBy("claim_id").agg(F.coalesce(F.bool_or(F.when(F.col("k").isNotNull(), stated).otherwise(said)), F.lit(False)).alias("valid"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import answers, chunking, dense, fusion, lexical, qa, states, sync
+from docloom.operators import answers, chunking, dense, evidence, fusion, lexical, qa, records, states, sync
 from docloom.plans import views
 from docloom.plans.views import NOW, SQL_CHUNKS, SQL_DOCS, table
 from docloom.sources import files
@@ -57,7 +57,7 @@ def _lexical(name: str, text: str, phrases: list[str], where: str) -> None:
 
 _has = lambda p: f"contains(lower(text), '{p}')"
 _lexical("lex_single", "retiti", ["retiti"], _has("retiti"))
-_lexical("lex_and", "retiti other", ["retiti", "other"], f"{_has('retiti')} and {_has('other')}")
+_lexical("lex_and", "retiti nterti", ["retiti", "nterti"], f"{_has('retiti')} and {_has('nterti')}")
 _lexical("lex_or", "retiti OR license", ["retiti", "license"], f"{_has('retiti')} or {_has('license')}")
 _lexical("lex_not", "license NOT retiti", ["license", "retiti"], f"{_has('license')} and not {_has('retiti')}")
 _lexical("lex_phrase", '"of the"', ["of the"], _has("of the"))
@@ -179,7 +179,7 @@ def _sql_values(rows: list[str]) -> str:
     return "(values " + ", ".join("({}, '{}')".format(k, r.replace("'", "''")) for k, r in enumerate(rows)) + ") t(id, s)"
 
 
-_TEXTS = ["ＡＢＣ　１２３，ｘｙｚ", "e\u0301te\u0301  a", "项目负责人：王敏 Alpha beta", "plain text", "中文 mixed 文本。 ok"]
+_TEXTS = ["ＡＢＣ　１２３，ｘｙｚ", "e\u0301te\u0301  a", "项目负责人：陈立 Alpha beta", "plain text", "中文 mixed 文本。 ok"]
 _CJK = r"[\x{{4E00}}-\x{{9FFF}}\x{{3400}}-\x{{4DBF}}\x{{F900}}-\x{{FAFF}}\x{{20000}}-\x{{2FA1F}}]"
 
 
@@ -221,9 +221,9 @@ def terms(spark, sf_dir):
     return _values(spark, ["Alpha 负责人是谁？", "a Release-plan 10!"]).select("id", tx.terms(F.col("s")).alias("terms"))
 
 
-@query("redact", "select * from (values (0, 'api_key=[REDACTED] x'), (1, 'use Bearer [REDACTED] now'), (2, '\"token\":\"[REDACTED]\"'), (3, 'sk-[REDACTED] end'), (4, 'nothing')) t(id, out)")
+@query("redact", "select * from (values (0, 'api_key=[REDACTED] x'), (1, 'use Bearer [REDACTED] now'), (2, '\"token\":\"[REDACTED]\"'), (3, 'sk-[REDACTED] end'), (4, 'nothing'), (5, 'password=[REDACTED] rest'), (6, 'token=[REDACTED] def')) t(id, out)")
 def redact(spark, sf_dir):
-    return _values(spark, ["api_key=abc123 x", "use bearer abc.def now", '"token": "s3cret"', "sk-abcdefgh12 end", "nothing"]).select("id", tx.redacted(F.col("s")).alias("out"))
+    return _values(spark, ["api_key=abc123 x", "use bearer abc.def now", '"token": "s3cret"', "sk-abcdefgh12 end", "nothing", "password='hunter2 rest", 'token="abc def']).select("id", tx.redacted(F.col("s")).alias("out"))
 
 
 @query("text_digest", "select doc_id, sha256(trim(text, ' ')) as text_sha256, length(trim(text, ' '))::int as text_length from documents")
@@ -266,10 +266,13 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunks(_parsed(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"), F.max("char_end").alias("last_char"))
 
 
-MD = "---\ncategory: Project\ntags: [a, B]\n---\n# Plan\nIntro text\n\n## Goals\n- one\n\n```\n# not a heading\n```\nOther\n=====\ntail"
+MD = "---\n  category: R&D, Alpha\ntags: [a;x, B]\n---\n# Plan\nIntro text\n\n## Goals\n- one\n\n```\n# not a heading\n```\nOther\n=====\ntail"
 
 
-@query("md_parse")
+_MD_ROWS = [("Plan", "Plan"), ("Intro text", "Plan"), ("Goals", "Plan > Goals"), ("- one", "Plan > Goals"), ("```\n# not a heading\n```\nOther\n=====\ntail", "Plan > Goals")]
+
+
+@query("md_parse", "select 0::bigint as doc_id, 'Plan' as title, 'r&d, alpha' as category, * from (values " + ", ".join("({}, '{}', '{}')".format(k, t, h) for k, (t, h) in enumerate(_MD_ROWS)) + ") t(index, text, heading_path)")
 def md_parse(spark, sf_dir):
     rows = spark.createDataFrame([(0, "a.md", "md", bytearray(MD.encode()))], "doc_id long, path string, file_type string, content binary")
     return files.parsed(rows).select("doc_id", "title", "category", F.explode("paragraphs").alias("p")).select("doc_id", "title", "category", "p.index", "p.text", "p.heading_path")
@@ -283,8 +286,7 @@ def chunk_first4(spark, sf_dir):
 
 @query("citation", f"with {SQL_DOCS}, {SQL_CHUNKS} select c.doc_id, c.chunk_index, d.display_path, (c.chunk_index + 1)::varchar as paragraph_range, c.char_start || '-' || c.char_end as char_range, {_PREVIEW(120)} as quote from chunks c join docs d on c.doc_id = d.doc_id where not d.is_deleted")
 def citation(spark, sf_dir):
-    docs = fusion.Filter().apply(views.docs(spark, sf_dir)).select("doc_id", "display_path")
-    return views.chunks(spark, sf_dir).join(docs, "doc_id").select("doc_id", "chunk_index", "display_path", (F.col("chunk_index") + 1).cast("string").alias("paragraph_range"), F.concat_ws("-", "char_start", "char_end").alias("char_range"), tx.preview(F.col("text"), 120).alias("quote"))
+    return evidence.citation(views.chunks(spark, sf_dir), views.docs(spark, sf_dir)).drop("page_no")
 
 
 @query("preview_window", f"""with {SQL_CHUNKS}, numbered as (select *, row_number() over (partition by doc_id order by chunk_index) as p from chunks),
@@ -306,13 +308,13 @@ def doc_bundle(spark, sf_dir):
 
 # --- question answering -----------------------------------------------------------------------------------------------
 
-QUESTIONS = [("Atlas 项目负责人是谁？", "fact"), ("比较 Atlas 发布时间的版本差异", "compare"), ("Atlas 发布时间时间线是什么？", "timeline"), ("Atlas 项目当前有哪些关键决策？", "summary"), ("Atlas 有哪些发布时间？", "fact_list"), ("总结 Atlas", "summary"), ("Atlas 合同编号", "fact")]
+QUESTIONS = [("谁是 Borealis 的负责人", "fact"), ("请对比 Borealis 两版预算", "compare"), ("Borealis 上线时间的时间轴", "timeline"), ("Borealis 定下了哪些决策", "summary"), ("列出 Borealis 的供应商", "fact_list"), ("汇总 Borealis", "summary"), ("Borealis 合同号多少", "fact")]
 LINES = [
-    (1, "2024-01-01 00:00:00", 0, "项目负责人：王敏"), (1, "2024-01-01 00:00:00", 1, "发布时间：2024-03-01"), (2, "2024-01-05 00:00:00", 0, "发布时间：2024-04-15"),
-    (2, "2024-01-05 00:00:00", 1, "决策：采用新架构"), (3, "2024-01-03 00:00:00", 0, "Aurora 项目负责人是赵宁，下周到岗"), (3, "2024-01-03 00:00:00", 1, "风险: 供应链不稳定"),
-    (3, "2024-01-03 00:00:00", 2, "需要补齐测试"), (4, "2024-01-07 00:00:00", 0, "发布时间：2024-03-01"), (4, "2024-01-07 00:00:00", 1, "随便一行"),
+    (1, "2024-01-01 00:00:00", 0, "项目负责人：陈立"), (1, "2024-01-01 00:00:00", 1, "发布时间：2024-03-01"), (2, "2024-01-05 00:00:00", 0, "发布时间：2024-04-15"),
+    (2, "2024-01-05 00:00:00", 1, "决策：改用列式存储"), (3, "2024-01-03 00:00:00", 0, "Meridian 项目负责人是周宁，月底接手"), (3, "2024-01-03 00:00:00", 1, "风险: 接口延期"),
+    (3, "2024-01-03 00:00:00", 2, "需要补齐文档"), (4, "2024-01-07 00:00:00", 0, "发布时间：2024-03-01"), (4, "2024-01-07 00:00:00", 1, "随便一行"),
 ]
-FACTS = [(1, 0, "owner", "王敏"), (1, 1, "publish_time", "2024-03-01"), (2, 0, "publish_time", "2024-04-15"), (2, 1, "decision", "采用新架构"), (3, 0, "owner", "赵宁"), (3, 1, "risk", "供应链不稳定"), (4, 0, "publish_time", "2024-03-01")]
+FACTS = [(1, 0, "owner", "陈立"), (1, 1, "publish_time", "2024-03-01"), (2, 0, "publish_time", "2024-04-15"), (2, 1, "decision", "改用列式存储"), (3, 0, "owner", "周宁"), (3, 1, "risk", "接口延期"), (4, 0, "publish_time", "2024-03-01")]
 _FACT_SQL = "facts as (select * from (values " + ", ".join(f"({d}, {p}, '{k}', '{v}')" for d, p, k, v in FACTS) + ") t(doc_id, position, key, value)), lines as (select * from (values " + ", ".join(f"({d}, timestamp '{m}', {p}, '{t}')" for d, m, p, t in LINES) + ") t(doc_id, modified_at, position, line)), rows_ as (select f.*, l.modified_at, l.line from facts f join lines l using (doc_id, position)), firsts as (select * from rows_ qualify row_number() over (partition by key, value order by modified_at, doc_id, position) = 1)"
 
 
@@ -355,7 +357,7 @@ def timeline(spark, sf_dir):
     return qa.timeline(qa.fact_rows(_lines(spark)), "publish_time")
 
 
-@query("insights", "select * from (values ('decision', '采用新架构', 2), ('risk', '供应链不稳定', 3), ('todo', '需要补齐测试', 3)) t(kind, text, doc_id)")
+@query("insights", "select * from (values ('decision', '改用列式存储', 2), ('risk', '接口延期', 3), ('todo', '需要补齐文档', 3)) t(kind, text, doc_id)")
 def insights(spark, sf_dir):
     return qa.insights(_lines(spark))
 
@@ -369,7 +371,7 @@ def summary_lines(spark, sf_dir):
 
 @query("citation_check", "select * from (values (1, true), (2, false)) t(claim_id, valid)")
 def citation_check(spark, sf_dir):
-    return qa.cited(spark.createDataFrame([(1, 2, "采用新架构"), (2, 2, "采用旧架构")], "claim_id int, doc_id int, text string"), _lines(spark))
+    return qa.cited(spark.createDataFrame([(1, 2, "改用列式存储"), (2, 2, "沿用行式存储")], "claim_id int, doc_id int, text string"), _lines(spark))
 
 
 @query("answers_rendered", """with d as (select doc_id, n_chars >= 500 as enough, list_transform(string_split(text, chr(10))[1:2], lambda x: '- ' || x) as said, source, lang from documents where text is not null and source is not null and lang is not null)
@@ -504,7 +506,7 @@ def memory_refcheck(spark, sf_dir):
 @query("memory_active", "select * from (values ('m2', 0.9::double), ('m1', 0.5::double)) t(memory_id, importance)")
 def memory_active(spark, sf_dir):
     rows = spark.createDataFrame([("m1", "active", "promoted", 0.5), ("m2", "active", "promoted", 0.9), ("m3", "active", "candidate", 1.0), ("m4", "expired", "promoted", 1.0)], "memory_id string, status string, promotion_state string, importance double")
-    return rows.where("status = 'active' and promotion_state = 'promoted'").orderBy(F.desc("importance"), "memory_id").select("memory_id", "importance")
+    return records.active_memory(rows).select("memory_id", "importance")
 
 
 @query("stale_reason", "select * from (values (1, null), (2, 'last_build_failed'), (3, 'bundle_missing'), (4, 'count_mismatch'), (5, 'model_mismatch'), (6, 'marked_stale')) t(id, reason)")
@@ -521,7 +523,7 @@ def gc_due(spark, sf_dir):
 
 @query("edges_by_source", "select * from (values ('d1', 'd2', 0.5::double), ('d1', 'd3', 0.2::double)) t(source_id, target_id, weight)")
 def edges_by_source(spark, sf_dir):
-    return spark.createDataFrame([("d1", "d2", 0.5), ("d1", "d3", 0.2), ("d2", "d1", 1.0)], "source_id string, target_id string, weight double").where("source_id = 'd1'")
+    return spark.createDataFrame([("d1", "d2", 0.5), ("d1", "d3", 0.2), ("d2", "d1", 1.0)], "source_id string, target_id string, weight double").transform(records.edges_from, "d1")
 
 
 @query("violations", f"with {SQL_DOCS} select count(*) filter (doc_id is null) as no_id, count(*) - count(distinct doc_id) as repeated_ids, count(*) - count(distinct path) as repeated_paths from docs where not is_deleted")
@@ -590,3 +592,6 @@ def debounce_batch(spark, sf_dir):
 def coalesced_rebuilds(spark, sf_dir):
     rows = spark.sql("select * from values (timestamp '2024-01-01 00:00:00', 'moved', 'a.md', 'b.md'), (timestamp '2024-01-01 00:00:00.5', 'modified', 'b.md', null) as t(ts, event_type, path, dest_path)")
     return watch.debounced(watch.split_moves(rows)).select("path", "event_type", "n_events")
+
+
+from docloom.plans import services  # noqa: E402, F401  registers the other queries

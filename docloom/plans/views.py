@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NOW = "2024-04-01 00:00:00"
@@ -28,12 +29,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk for each line that isn't blank; offsets are in code points."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
-    ends = F.aggregate("ls", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    rows = d.withColumn("starts", ends).select("doc_id", "starts", F.posexplode("ls").alias("chunk_index", "text"))
-    start = F.element_at("starts", F.col("chunk_index") + 1)
-    return rows.where(F.trim("text") != "").select("doc_id", "chunk_index", "text", start.alias("char_start"), (start + F.length("text")).alias("char_end"))
+    """One chunk for each line that isn't blank; offsets are in code points. A line's start is a running sum over its own
+    document's lines, so the work is in proportion to the text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "text"))
+    before = W.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(W.unboundedPreceding, -1)
+    rows = d.withColumn("char_start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
+    return rows.where(F.trim("text") != "").select("doc_id", "chunk_index", "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,20 +105,37 @@ def parse_txt(data: bytes) -> Parsed:
     return Parsed(entries, entries[0][0] if entries else None)
 
 
+def _scalar(value: str) -> str:
+    v = value.strip()
+    return v[1:-1].strip() if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v
+
+
+def _several(value: str) -> list[str]:
+    """Tags on one line: a bracketed list is parted by commas, anything else by semicolons if it has any, else by commas."""
+    bracketed = value.startswith("[") and value.endswith("]")
+    mark = "," if bracketed or ";" not in value else ";"
+    return [t for x in (value[1:-1] if bracketed else value).split(mark) if (t := _scalar(x))]
+
+
 def front_matter(lines: list[str]) -> tuple[dict[str, list[str]], int]:
-    """Values by key from a block between two ``---`` lines at the top, and the first line after it."""
+    """category, sensitivity (one value each) and tags from a block between two ``---`` lines at the top, and the first line
+    after it. Keys may be indented; tags may follow as lines that start with a dash."""
     if not lines or lines[0].strip() != "---":
         return {}, 0
-    end = next((k for k, x in enumerate(lines[1:], 1) if x.strip() in ("---", "...")), None)
+    end = next((k for k, x in enumerate(lines[1:], 1) if x.strip() == "---"), None)
     if end is None:
         return {}, 0
-    out, key = {}, None
-    for x in lines[1:end]:
-        if key and (m := re.match(r"\s*-\s+(.*)", x)):
-            out[key].append(m[1].strip(" \"'"))
-        elif m := re.match(r"([A-Za-z_]+)\s*:\s*(.*)", x):
-            key = m[1].lower()
-            out[key] = [v for part in re.split(r"[;,]", m[2].strip().strip("[]")) if (v := part.strip(" \"'"))]
+    out, listed = {}, False
+    for x in filter(str.strip, lines[1:end]):
+        if listed and (m := re.match(r"\s*-\s+(.*)", x)):
+            out["tags"].append(_scalar(m[1]))
+            continue
+        key, colon, value = x.partition(":")
+        key, value, listed = key.strip().lower(), value.strip(), False
+        if colon and key in ("category", "sensitivity"):
+            out[key] = [_scalar(value)]
+        elif colon and key == "tags":
+            out["tags"], listed = _several(value) if value else [], not value
     return out, end + 1
 
 
@@ -194,10 +211,22 @@ def parse_docx(data: bytes) -> Parsed:
         else:
             continue
         out.entries += [(t, " > ".join(above[k] for k in sorted(above)) or None, None) for t in texts if t]
-    out.title = out.entries[0][0] if out.entries else None
+    title, category, tags = core_properties(data)
+    out.title, out.category, out.tags = title or (out.entries[0][0] if out.entries else None), category, tags
     return out
 
 
+def core_properties(data: bytes) -> tuple[str | None, str | None, list[str]]:
+    """Title, category and keywords of a package's core properties, if it has any that can be read."""
+    try:
+        with zipfile.ZipFile(BytesIO(data)) as z:
+            root = ElementTree.fromstring(z.read("docProps/core.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return None, None, []
+    said = {x.tag.rpartition("}")[2]: (x.text or "").strip() for x in root}
+    return said.get("title") or None, said.get("category") or None, _several(said.get("keywords", ""))
+
+
 def parse_pdf(data: bytes) -> Parsed:
     """Text by page, where a PDF library is installed."""
     try:
@@ -212,13 +241,13 @@ def parse_pdf(data: bytes) -> Parsed:
 PARSERS: dict[str, Callable[[bytes], Parsed]] = {"txt": parse_txt, "md": parse_md, "docx": parse_docx, "pdf": parse_pdf}
 
 
-def parse(file_type: str | None, data: bytes | None, parsers: dict[str, Callable[[bytes], Parsed]] = PARSERS) -> dict:
-    """Parse one file; failures are codes, never exceptions. Offsets are into raw_text: raw_text[start:end] is the paragraph."""
+def parse(file_type: str | None, data: bytes | None, parsers: dict[str, Callable[[bytes], Parsed]] = PARSERS, denied: str | None = None) -> dict:
+    """Parse one file; failures are codes, never exceptions; ``denied`` says why there are no bytes. Offsets are into raw_text: raw_text[start:end] is the paragraph."""
     failed = {"title": None, "parse_status": "failed", "raw_text": "", "category": None, "tags": [], "sensitivity": None, "paragraphs": []}
     if file_type not in parsers:
         return failed | {"error_code": "unsupported_format"}
     if data is None:
-        return failed | {"error_code": "io_error"}
+        return failed | {"error_code": denied or "io_error"}
     try:
         got = parsers[file_type](data)
     except ParseError as e:
@@ -237,12 +266,32 @@ def parse(file_type: str | None, data: bytes | None, parsers: dict[str, Callable
     return {"title": normalized(got.title or "").strip() or None, "parse_status": "success", "error_code": None, "raw_text": "\n".join(p["text"] for p in paragraphs), "category": clean(got.category), "tags": tags, "sensitivity": clean(got.sensitivity), "paragraphs": paragraphs}
 
 
+def read_files(listing: DataFrame) -> DataFrame:
+    """``listing`` (path on a mounted folder) with content, and error_code where it can't be read: each file by the task that has its row."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = []
+            for p in f["path"]:
+                try:
+                    with open(p, "rb") as x:
+                        got.append((x.read(), None))
+                except PermissionError:
+                    got.append((None, "permission_denied"))
+                except OSError:
+                    got.append((None, "io_error"))
+            yield f.assign(content=[c for c, _ in got], error_code=[e for _, e in got])
+
+    return listing.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in listing.dtypes) + ", content binary, error_code string")
+
+
 def parsed(files: DataFrame, parsers: dict[str, Callable[[bytes], Parsed]] | None = None) -> DataFrame:
-    """``files``: doc_id, path, file_type, content. One row each, whatever fails."""
+    """``files``: doc_id, path, file_type, content (and error_code, where it could not be read). One row each, whatever fails."""
+    why = F.col("error_code") if "error_code" in files.columns else F.lit(None).cast("string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = re.findall(r"(\w+) (?:long|string|array)", PARSED)
         for f in frames:
-            yield pd.DataFrame([{"doc_id": r.doc_id, "path": r.path, "file_type": r.file_type, **parse(r.file_type, r.content, parsers or PARSERS)} for r in f.itertuples()], columns=names)
+            yield pd.DataFrame([{"doc_id": r.doc_id, "path": r.path, "file_type": r.file_type, **parse(r.file_type, r.content, parsers or PARSERS, r.why)} for r in f.itertuples()], columns=names)
 
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "file_type", "content").mapInPandas(run, PARSED)
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "file_type", "content", why.alias("why")).mapInPandas(run, PARSED)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,16 +16,20 @@ def split_moves(events: DataFrame) -> DataFrame:
     supported = F.lower(F.regexp_extract("dest_path", r"\.([^./]+)$", 1)).isin("txt", "md", "docx", "pdf")
     legs = F.when(F.col("event_type") == "moved", F.filter(F.array(F.struct(F.lit("deleted").alias("t"), F.col("path").alias("p")), F.when(supported, F.struct(F.lit("modified").alias("t"), F.col("dest_path").alias("p")))), lambda x: x.isNotNull()))
     legs = F.coalesce(legs, F.array(F.struct(F.col("event_type").alias("t"), F.col("path").alias("p"))))
-    return events.withColumn("leg", F.explode(legs)).select("ts", F.col("leg.t").alias("event_type"), F.col("leg.p").alias("path"))
+    rows = events.select("*", F.posexplode(legs).alias("step", "leg"))
+    number = F.col("event_id") if "event_id" in events.columns else F.lit(0).cast("long")
+    return rows.select("ts", F.col("leg.t").alias("event_type"), F.col("leg.p").alias("path"), (number * 2 + F.col("step")).alias("sequence"))
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE, late: str = "10 seconds") -> DataFrame:
-    """One row for each run of events on a path less than ``gap`` apart; the last event of the run says what it is.
+    """One row for each run of events on a path less than ``gap`` apart; the last event of the run says what it is (by time,
+    then by sequence, then by name, so that it never depends on the order of arrival).
 
     Works on streams and on tables: session windows close when the watermark passes their end.
     """
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
-    return rows.groupBy(F.session_window("ts", gap), "path").agg(F.max_by("event_type", "ts").alias("event_type"), F.count("*").alias("n_events")).select(
+    rows = events if "sequence" in events.columns else events.withColumn("sequence", F.lit(0).cast("long"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
+    return rows.groupBy(F.session_window("ts", gap), "path").agg(F.max_by("event_type", F.struct("ts", "sequence", "event_type")).alias("event_type"), F.count("*").alias("n_events")).select(
         "path", "event_type", "n_events", F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("due")
     )
 
@@ -38,12 +42,42 @@ def debounced_batch(events: DataFrame, seconds: float = 1.0, key: str = "path",
     return runs.groupBy(key, "run").agg(F.max_by("event_type", F.struct("ts", order)).alias("event_type"), F.count("*").alias("n_events"), F.max("ts").alias("last_ts"))
 
 
-def watch(events: DataFrame, index: Callable[[DataFrame], None], rebuild: Callable[[], None], checkpoint: str, gap: str = DEBOUNCE):
-    """Apply each micro-batch's settled events through ``index`` and rebuild vectors once after it; batches run one at a time."""
+def changes(before: DataFrame, after: DataFrame, ts: Column) -> DataFrame:
+    """The events between two listings (path, file_identity, modified_at, size_bytes): what appeared, changed, moved or went.
+
+    A file whose identity is found under another path has moved; a path is looked at as a move's source or as itself, not both.
+    """
+    old, new = before.alias("o"), after.alias("n")
+    moved = new.join(old, (F.col("n.file_identity") == F.col("o.file_identity")) & (F.col("n.path") != F.col("o.path"))).join(before.alias("b"), F.col("b.path") == F.col("n.path"), "left_anti")
+    moved = moved.join(after.alias("a"), F.col("a.path") == F.col("o.path"), "left_anti").select(F.lit("moved").alias("event_type"), F.col("o.path").alias("path"), F.col("n.path").alias("dest_path"))
+    both = new.join(old, F.col("n.path") == F.col("o.path"), "full_outer")
+    differs = ~F.col("n.modified_at").eqNullSafe(F.col("o.modified_at")) | ~F.col("n.size_bytes").eqNullSafe(F.col("o.size_bytes")) | ~F.col("n.file_identity").eqNullSafe(F.col("o.file_identity"))
+    kind = F.when(F.col("o.path").isNull(), "created").when(F.col("n.path").isNull(), "deleted").when(differs, "modified")
+    rest = both.select(kind.alias("event_type"), F.coalesce("n.path", "o.path").alias("path")).where("event_type is not null")
+    rest = rest.join(moved.select("path").unionByName(moved.select(F.col("dest_path").alias("path"))), "path", "left_anti")
+    return moved.unionByName(rest.withColumn("dest_path", F.lit(None).cast("string"))).select(ts.alias("ts"), "event_type", "path", "dest_path")
+
+
+def removals(settled: DataFrame, docs: DataFrame) -> DataFrame:
+    """Deleted paths with their active document, and the result that is audited: a path without one is not_found, and asks for
+    a rebuild all the same."""
+    active = docs.where("not is_deleted").select("doc_id", "path")
+    gone = settled.where("event_type = 'deleted'").select("path").distinct()
+    return gone.join(active, "path", "left").withColumn("result", F.when(F.col("doc_id").isNull(), "not_found").otherwise("success"))
+
+
+def watch(events: DataFrame, index: Callable[[DataFrame], None], rebuild: Callable[[], bool | None], checkpoint: str, gap: str = DEBOUNCE):
+    """Apply each micro-batch's settled events through ``index`` and rebuild vectors once after it; batches run one at a time.
+
+    A rebuild that finds another one building returns False; it is asked for again with the next batch, whether or not that has events.
+    """
+    owed = [False]
 
     def batch(df: DataFrame, _: int) -> None:
-        if not df.isEmpty():
+        some = not df.isEmpty()
+        if some:
             index(df)
-            rebuild()
+        if some or owed[0]:
+            owed[0] = rebuild() is False
 
     return debounced(split_moves(events), gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
