@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -28,11 +29,19 @@ def mapped(df: DataFrame, f: Callable[[Batches], Batches], schema: str, rows: in
     """``df.mapInArrow``, in slices of at most ``rows`` rows; no setting of the session is touched."""
 
     def run(batches: Batches) -> Batches:
-        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        yield from f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Give back what a task has freed: workers are kept from task to task, and would keep the greatest share that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _own_root: list[str] = []
 
 
@@ -75,11 +84,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Delete scratch tables that nothing reads any more."""
+    """Delete scratch tables that nothing reads any more, and let the driver see that the shuffles behind them can go: executors
+    delete shuffle files only when the driver has collected what refers to them, which it seldom does by itself."""
     for df in frames:
         if path := getattr(df, "_docloom_path", None):
             where, fs = _fs(df.sparkSession, path)
             fs.delete(where, True)
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def joined(rows: DataFrame, facts: DataFrame, on: str | list[str], total: int, how: str = "inner") -> DataFrame:

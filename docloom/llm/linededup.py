@@ -36,7 +36,7 @@ MATCHES = "least(3, n div 3 - n div 5)"
 #: A line is compared with so many of a gram's earliest holders before the rest.
 EARLIEST = 8
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BASES = (_B, np.uint64(0xD1342543DE82EF95))
 #: Variants that a task packs at once.
@@ -165,7 +165,7 @@ def grams(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarr
 
 LINES = "doc_id long, text_key long, line_no int, n int, line binary, k0 long, k1 long, k2 long, k3 long"
 TEXTS = "doc_id long, text_key long, line_no int, line binary, words binary"
-VARIANTS = "line binary, first decimal(38,0), variant binary, place int"
+VARIANTS = "id long, first decimal(38,0), variant binary, place int"
 
 
 def _names(schema: str) -> list[str]:
@@ -223,7 +223,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (batch.column(k).to_pylist() for k in (2, 3))
         ok = [within_one(x.split(b" "), y.split(b" ")) for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["line", "near"])
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["id", "near"])
 
 
 def _dealt(parts: int, column: str):
@@ -288,7 +288,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n)], ["tag", "shared"])
 
 
-GRAMS = "line binary, first decimal(38,0), n int, gram long, blocks int"
+GRAMS = "id long, first decimal(38,0), n int, gram long, blocks int"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (batch.column(k).to_pylist() for k in (1, 2))
         parted = ((x.split(b" "), y.split(b" ")) for x, y in zip(a, b, strict=True))
         ok = [within(x, y, bound(max(len(x), len(y)))) for x, y in parted]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["line"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["id"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -325,39 +325,43 @@ def order_of() -> F.Column:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words of the lines ``wanted`` (line, first), once each."""
+    """(id, first, words) of the lines ``wanted`` (id, line, first), once each."""
     small = wanted.count() <= BROADCAST_ROWS
     texts = mapped(_keyed(docs), _wanted_texts, TEXTS).withColumn("first", order_of())
-    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"], "left_semi").select("line", "first", "words").dropDuplicates(["line"])
+    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"]).select("id", "first", "words").dropDuplicates(["id"])
     return saved(texts, "texts")
 
 
 def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines, the different ones (``held``: by how many rows), and of those that are one edit from an earlier one the earliest such."""
+    """All lines, the different ones (``id``: a number of their own, ``held``: by how many rows), and (id, near) of those that
+    are one edit from an earlier one, with the place of the earliest such."""
     lines = saved(mapped(_keyed(docs), _lines, LINES).withColumn("place", order_of()), "lines")
     keys = [f"k{k}" for k in range(4)]
-    unique = saved(lines.groupBy("line").agg(F.min("place").alias("first"), F.min("n").alias("n"), F.count("*").alias("held"), *[F.min(k).alias(k) for k in keys]), "unique")
-    halves = unique.select("line", F.explode(F.array(*keys)).alias("half")).where("half is not null")
-    half_of = F.xxhash64("line")  # tells lines apart within one group; minima of longs aggregate by hash, those of binaries by sorting
-    shared = halves.groupBy("half").agg(F.min(half_of).alias("a"), F.max(half_of).alias("b"), F.count("*").alias("held")).where("a <> b")
+    unique = lines.groupBy("line").agg(F.min("place").alias("first"), F.min("n").alias("n"), F.count("*").alias("held"), *[F.min(k).alias(k) for k in keys])
+    # Numbers are given once, when the table is written. Minima of numbers aggregate by hash; those of binaries by sorting.
+    unique = saved(unique.withColumn("id", F.monotonically_increasing_id()), "unique")
+    halves = unique.select("id", F.explode(F.array(*keys)).alias("half")).where("half is not null")
+    shared = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("held")).where("a <> b")
     shared = saved(shared.select("half", "held"), "shared")
-    wanted = joined(halves, shared, "half", 4 * unique.count()).select("line").distinct()
-    wanted = saved(wanted.join(unique.select("line", "first"), "line"), "wanted")
+    wanted = joined(halves, shared, "half", 4 * unique.count()).select("id").distinct()
+    wanted = saved(wanted.join(unique.select("id", "line", "first"), "id"), "wanted")
     texts = _texts(docs, wanted)
     rows = saved(mapped(texts, _variants, VARIANTS), "variants")
+    dropped(shared, wanted)
     joint = rows.groupBy("variant").agg(
-        F.min(half_of).alias("a"), F.max(half_of).alias("b"), F.count("*").alias("held"),
+        F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("held"),
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("less"),
     ).where("a <> b").drop("a", "b")
     joint = saved(joint, "met")
     both = saved(joined(rows, joint, "variant", rows.count()), "joint")
+    dropped(rows, joint)
     same = saved(both.where("place >= 0").groupBy("variant", "place").agg(F.min("first").alias("same"), F.count("*").alias("held")), "same")
-    near = joined(both.where("place >= 0"), same, ["variant", "place"], both.count()).select("line", "first", F.least("whole", "same").alias("near"))
-    near = near.unionByName(both.where("place < 0").select("line", "first", F.col("less").alias("near")))
-    near = near.where("near < first").groupBy("line").agg(F.min("near").alias("near"))
-    pairs = near.join(texts.select("line", F.col("words").alias("one")), "line").join(texts.select(F.col("first").alias("near"), F.col("words").alias("other")), "near")
-    near = saved(mapped(pairs.select("line", "near", "one", "other"), _verified, "line binary, near decimal(38,0)"), "near")
-    dropped(rows, both, joint, same, shared, wanted, texts)
+    near = joined(both.where("place >= 0"), same, ["variant", "place"], both.count()).select("id", "first", F.least("whole", "same").alias("near"))
+    near = near.unionByName(both.where("place < 0").select("id", "first", F.col("less").alias("near")))
+    near = near.where("near < first").groupBy("id").agg(F.min("near").alias("near"))
+    pairs = near.join(texts.select("id", F.col("words").alias("one")), "id").join(texts.select(F.col("first").alias("near"), F.col("words").alias("other")), "near")
+    near = saved(mapped(pairs.select("id", "near", "one", "other"), _verified, "id long, near decimal(38,0)"), "near")
+    dropped(both, same, texts)
     return lines, unique, near
 
 
@@ -371,34 +375,36 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
     with a block's earliest holders, and those lines that stay with all, so that large groups are not expanded into all their pairs.
     """
     few = f"n >= {LEAST_SIMILAR} and (n = {LEAST_SIMILAR} or n div 3 - shared <= n div 4)"
-    lines, texts = unique.select("line", "first", "n", F.conv(F.hex(F.substring("line", 1, 4)), 16, 10).cast("long").alias("tag")), None
+    lines, texts = unique.select("id", "line", "first", "n", F.conv(F.hex(F.substring("line", 1, 4)), 16, 10).cast("long").alias("tag")), None
     for _ in range(ROUNDS):
         parts = -(-(lines.where(f"n >= {LEAST_SIMILAR}").agg(F.sum("n")).first()[0] or 0) // PART) or 1
         dealt = mapped(_keyed(docs) if texts is None else texts, _dealt(parts, "text" if texts is None else "words"), "part int, data binary")
         shared = mapped(dealt.repartitionById(parts, "part"), _shared, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
-        old, lines = (lines, texts), saved(lines.join(shared, "tag").where(few).select("line", "first", "n", "tag"), "short_of_blocks")
-        wanted = lines.select("line", "first")
-        texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted, ["line", "first"], "left_semi"), "texts")
+        old, lines = (lines, texts), saved(lines.join(shared, "tag").where(few).select("id", "line", "first", "n", "tag"), "short_of_blocks")
+        wanted = lines.select("id", "line", "first")
+        texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted.select("id"), "id", "left_semi"), "texts")
         dropped(*filter(None, old))
     rows = mapped(texts, _grams, GRAMS)
-    rows = rows.selectExpr("*", "row_number() over (partition by gram order by first, line) as rank", "count(*) over (partition by gram) as holders")
+    # Within a gram the rank tells which line is earlier; lines of one place (rows that share a doc_id) have the same rank.
+    rows = rows.selectExpr("id", "n", "gram", "blocks", "rank() over (partition by gram order by first) as rank", "count(*) over (partition by gram) as holders")
     rows = saved(rows.where("blocks > 0 or holders > 1"), "grams")
     rarest = rows.where("n >= 10 and blocks > 0").selectExpr(
-        "*", "sum(blocks) over (partition by line order by holders, gram rows between unbounded preceding and 1 preceding) as rarer"
+        "*", "sum(blocks) over (partition by id order by holders, gram rows between unbounded preceding and 1 preceding) as rarer"
     ).where(f"coalesce(rarer, 0) < n div 5 + {MATCHES} and holders > 1")
-    a = rarest.selectExpr("gram", "line as a", "first as fa", "n as na", "rank as ra", "blocks", f"{MATCHES} as need")
-    b = rows.where("holders > 1").selectExpr("gram", "line as b", "first as fb", "n as nb", "rank as rb")
-    pairs = a.join(b, "gram").where("fa <> fb and nb <= na and nb >= na - na div 5")
-    pairs = pairs.selectExpr("if(fa > fb, a, b) as line", "if(fa > fb, b, a) as other", "if(fa > fb, rb, ra) as rank", "a", "blocks", "need")
-    one, other = texts.select("line", F.col("words").alias("one")), texts.select(F.col("line").alias("other"), F.col("words").alias("two"))
+    a = saved(rarest.selectExpr("gram", "id as a", "n as na", "rank as ra", "blocks", f"{MATCHES} as need"), "rarest")
+    b = rows.where("holders > 1").selectExpr("gram", "id as b", "n as nb", "rank as rb")
+    pairs = a.join(b, "gram").where("ra <> rb and nb <= na and nb >= na - na div 5")
+    pairs = pairs.selectExpr("if(ra > rb, a, b) as id", "if(ra > rb, b, a) as other", "if(ra > rb, rb, ra) as rank", "a", "blocks", "need")
+    one, other = texts.select("id", F.col("words").alias("one")), texts.select(F.col("id").alias("other"), F.col("words").alias("two"))
     found = []
     for which in (f"rank <= {EARLIEST}", "true"):
         left = pairs.where(which)
         for done in (gone, *found):
-            left = left.join(done.select("line"), "line", "left_anti")
-        left = left.groupBy("line", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
-        left = left.select("line", "other").distinct().join(one, "line").join(other, "other").select("line", "one", "two")
-        found.append(saved(mapped(left, _similar, "line binary").distinct(), "similar"))
+            left = left.join(done.select("id"), "id", "left_anti")
+        left = left.groupBy("id", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
+        left = left.select("id", "other").distinct().join(one, "id").join(other, "other").select("id", "one", "two")
+        found.append(saved(mapped(left, _similar, "id long").distinct(), "similar"))
+    dropped(rows, a, texts, lines)
     return found[0].union(found[1])
 
 
@@ -412,7 +418,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     last; null and empty texts have no lines; a very long line is a line like any other.
     """
     lines, unique, near = _by_one_edit(docs)
-    kept = saved(unique.select("line", "first", "held").join(near, "line", "left"), "kept")
+    kept = saved(unique.select("id", "line", "first", "held").join(near, "id", "left").drop("id"), "kept")
     gone = joined(lines, kept, "line", lines.count()).where("place > first or near is not null")
     best = F.least("first", "near")
     at = F.lit(1 << 31).cast("decimal(11,0)")
@@ -430,8 +436,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     words of the longer one) word edits of an earlier one. A document of which nothing but white space would be left goes; one that lost no line
     stays as it is. Rows that repeat a doc_id and text are treated alike. Null and empty texts stay; so does an empty table."""
     lines, unique, near = _by_one_edit(docs)
-    similar = near.select("line").union(_by_similarity(docs, unique, near)).select("line", F.lit(True).alias("similar"))
-    marked = saved(unique.select("line", "first", "held").join(similar, "line", "left"), "marked")
+    similar = near.select("id").union(_by_similarity(docs, unique, near)).select("id", F.lit(True).alias("similar"))
+    marked = saved(unique.select("id", "line", "first", "held").join(similar, "id", "left").drop("id"), "marked")
     gone = joined(lines, marked, "line", lines.count()).where("place > first or similar").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
     key_, id_, lines_, left_ = (fresh(docs, c) for c in ("text_key", "line_doc", "lines_gone", "text_left"))
     out = docs.withColumns({key_: F.xxhash64(F.col("text").cast("string")), id_: F.col("doc_id").cast("long")})
