@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,27 @@ def occurrences(text: Column, phrase: str) -> Column:
     return ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("long")
 
 
+def size() -> Column:
+    """A chunk's length in trigrams."""
+    return F.greatest(F.lit(0), F.length("text") - 2)
+
+
+def holders(phrases: list[str]) -> list[Column]:
+    """df0, df1, ...: how many chunks hold each phrase."""
+    return [F.count_if(F.lower("text").contains(p)).alias(f"df{k}") for k, p in enumerate(phrases)]
+
+
+def scored(chunks: DataFrame, tree: Node, phrases: list[str], stats: DataFrame) -> DataFrame:
+    """The chunks that match with ``bm25``; ``stats`` is one row of n, avgdl and the phrases' counts."""
+    hits = chunks.where(tree.matches(F.col("text"))).crossJoin(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for k, p in enumerate(phrases):
+        idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+        f = occurrences(F.col("text"), p).cast("double")
+        score = score - F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size() / F.col("avgdl")))
+    return hits.withColumn("bm25", score).select(*chunks.columns, "bm25")
+
+
 def bm25(chunks: DataFrame, query: str) -> DataFrame:
     """Chunks that match, with ``bm25`` (lower is better). Statistics are those of all chunks, whatever is searched later.
 
@@ -157,27 +179,19 @@ def bm25(chunks: DataFrame, query: str) -> DataFrame:
     phrases = list(dict.fromkeys(p.lower() for p in tree.phrases()))
     if not phrases:
         return chunks.where("false").withColumn("bm25", F.lit(0.0))
-    size = F.greatest(F.lit(0), F.length("text") - 2)
-    has = [F.lower("text").contains(p) for p in phrases]
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(size).alias("avgdl"), *[F.count_if(h).alias(f"df{k}") for k, h in enumerate(has)])
-    hits = chunks.where(tree.matches(F.col("text"))).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for k, p in enumerate(phrases):
-        idf = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
-        f = occurrences(F.col("text"), p).cast("double")
-        score = score - F.when(idf > 0, idf).otherwise(F.lit(1e-6)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / F.col("avgdl")))
-    return hits.withColumn("bm25", score).select(*chunks.columns, "bm25")
+    return scored(chunks, tree, phrases, chunks.agg(F.count("*").alias("n"), F.avg(size()).alias("avgdl"), *holders(phrases)))
 
 
-def search(chunks: DataFrame, variants: list[str], k: int, allowed: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, variants: list[str], k: int, allowed: DataFrame | None = None, scores: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """The best (least) score of each chunk over the variants, the first k of each variant and then of all.
 
     ``allowed`` (doc_id) restricts what is found, not the statistics. If a variant breaks the grammar nothing is found.
+    ``scores`` gives a variant's matches by other means than reading all ``chunks``, such as a stored index.
     """
     out = None
     try:
         for v in variants:
-            hits = bm25(chunks, v).select("doc_id", "chunk_index", "bm25")
+            hits = (scores(v) if scores else bm25(chunks, v)).select("doc_id", "chunk_index", "bm25")
             if allowed is not None:
                 hits = hits.join(allowed.select("doc_id"), "doc_id", "left_semi")
             hits = hits.orderBy("bm25", "doc_id", "chunk_index").limit(k)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import answers, chunking, dense, evidence, fusion, lexical, qa, records, states, sync
+from docloom.operators import answers, chunking, dense, evidence, fusion, lexical, postings, qa, records, states, sync
 from docloom.plans import views
 from docloom.plans.views import NOW, SQL_CHUNKS, SQL_DOCS, table
 from docloom.sources import files
@@ -88,6 +88,16 @@ def lex_syntax_error(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+@query("lex_postings", f"""with {SQL_CHUNKS}, hits as (
+ select * from ({bm25_sql(["license", "retiti"], f"{_has('license')} and not {_has('retiti')}")} order by bm25, doc_id, chunk_index limit 36)
+ union all select * from ({bm25_sql(["of the"], _has("of the"))} order by bm25, doc_id, chunk_index limit 36))
+select doc_id, chunk_index, round(min(bm25), 6) as bm25 from hits group by doc_id, chunk_index order by min(bm25), doc_id, chunk_index limit 36""")
+def lex_postings(spark, sf_dir):
+    path = views.scratch_path(spark, "postings")
+    postings.build(views.chunks(spark, sf_dir), path)
+    return postings.search(postings.opened(spark, path), ["license NOT retiti", '"of the"'], 36).select("doc_id", "chunk_index", r6("bm25"))
+
+
 @query("lexicon_expand", "select * from (values ('NLP', ['NLP', '自然语言处理', 'language processing']), ('Roadmap ', ['Roadmap', 'Project Plan', 'milestones', '项目路线图']), ('atlas', ['atlas'])) t(query, variants)")
 def lexicon_expand(spark, sf_dir):
     return spark.createDataFrame([(q, lexical.expand(q)) for q in ("NLP", "Roadmap ", "atlas")], "query string, variants array<string>")
