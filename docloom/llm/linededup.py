@@ -173,12 +173,19 @@ def _names(schema: str) -> list[str]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()
     for batch in batches:
         rows = []
         for doc, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for k, line in enumerate((text or b"").split(b"\n")):
                 if w := line_words(line):
-                    rows.append((doc, text_key, k, len(w), line_key(w), *(half_keys(w) if len(w) >= LEAST_WORDS else (None,) * 4)))
+                    own = line_key(w)
+                    # One row of a line is enough to carry its halves, as the least ones are taken.
+                    halves = (None,) * 4 if len(w) < LEAST_WORDS or own in seen else half_keys(w)
+                    if len(seen) >= MOST_WORDS:
+                        seen.clear()
+                    seen.add(own)
+                    rows.append((doc, text_key, k, len(w), own, *halves))
         cols = list(zip(*rows, strict=True)) or [()] * 9
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], _names(LINES))
@@ -288,22 +295,23 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n)], ["tag", "shared"])
 
 
-GRAMS = "id long, first decimal(38,0), n int, gram long, blocks int"
+GRAMS = "id long, doc long, line_no int, n int, gram long, blocks int"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hash()
     for batch in batches:
-        words = batch.column(2).to_pylist()
+        words = batch.column(3).to_pylist()
         for s, e in _chunks(words, MOST_VARIANTS):
-            found = []
-            for k in range(s, e):
-                w = words[k].split(b" ")
-                g, _, block = grams([w], hashes)
-                g, back = np.unique(g, return_inverse=True)
-                found.append((np.full(len(g), k), np.full(len(g), len(w), np.int32), g.view(np.int64), np.bincount(back[block], minlength=len(g)).astype(np.int32)))
-            at, n, gram, blocks = (np.concatenate(c) for c in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(n), pa.array(gram), pa.array(blocks)], _names(GRAMS))
+            lines = [w.split(b" ") for w in words[s:e]]
+            gram, at, block = grams(lines, hashes)
+            order = np.lexsort((gram, at))
+            gram, at = gram[order], at[order]
+            new = np.flatnonzero((np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(at, prepend=-1) != 0))
+            blocks = np.add.reduceat(block[order].astype(np.int32), new).astype(np.int32)
+            gram, at = gram[new].view(np.int64), at[new]
+            n, at = np.array([len(w) for w in lines], np.int32)[at], at + s
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in range(3)), pa.array(n), pa.array(gram), pa.array(blocks)], _names(GRAMS))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +332,13 @@ def order_of() -> F.Column:
     return (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
+def place_of(column: str) -> tuple[F.Column, F.Column]:
+    """The doc_id (the greatest long for null) and line number that make up a place; the place of nothing is null and null."""
+    at = F.lit(1 << 31).cast("decimal(11,0)")
+    doc = F.floor(F.col(column) / at).cast("decimal(20,0)")
+    return doc.cast("long").alias("doc"), (F.col(column) - doc * at).cast("int").alias("line_no")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, first, words) of the lines ``wanted`` (id, line, first), once each."""
     small = wanted.count() <= BROADCAST_ROWS
@@ -384,9 +399,13 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
         wanted = lines.select("id", "line", "first")
         texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted.select("id"), "id", "left_semi"), "texts")
         dropped(*filter(None, old))
-    rows = mapped(texts, _grams, GRAMS)
+    # Places go in as two plain numbers: there are many grams, and wide decimals are slow to pass, shuffle and sort.
+    rows = mapped(texts.select("id", *place_of("first"), "words"), _grams, GRAMS)
     # Within a gram the rank tells which line is earlier; lines of one place (rows that share a doc_id) have the same rank.
-    rows = rows.selectExpr("id", "n", "gram", "blocks", "rank() over (partition by gram order by first) as rank", "count(*) over (partition by gram) as holders")
+    rows = rows.selectExpr(
+        "id", "n", "gram", "blocks", "rank() over (partition by gram order by doc, line_no) as rank",
+        "count(*) over (partition by gram order by doc, line_no rows between unbounded preceding and unbounded following) as holders",
+    )
     rows = saved(rows.where("blocks > 0 or holders > 1"), "grams")
     rarest = rows.where("n >= 10 and blocks > 0").selectExpr(
         "*", "sum(blocks) over (partition by id order by holders, gram rows between unbounded preceding and 1 preceding) as rarer"
@@ -420,13 +439,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines, unique, near = _by_one_edit(docs)
     kept = saved(unique.select("id", "line", "first", "held").join(near, "id", "left").drop("id"), "kept")
     gone = joined(lines, kept, "line", lines.count()).where("place > first or near is not null")
-    best = F.least("first", "near")
-    at = F.lit(1 << 31).cast("decimal(11,0)")
-    doc = F.floor(best / at).cast("decimal(20,0)")
+    gone = gone.withColumn("best", F.least("first", "near"))
+    doc, line_no = place_of("best")
     return gone.select(
-        "doc_id", "text_key", "line_no",
-        F.when(doc < F.lit((1 << 63) - 1).cast("decimal(20,0)"), doc.cast("long")).alias("kept_doc_id"),
-        (best - doc * at).cast("int").alias("kept_line_no"), F.when(F.coalesce(F.col("near") < F.col("first"), F.lit(False)), 1).otherwise(0).alias("edits"),
+        "doc_id", "text_key", "line_no", F.when(doc < (1 << 63) - 1, doc).alias("kept_doc_id"),
+        line_no.alias("kept_line_no"), F.when(F.coalesce(F.col("near") < F.col("first"), F.lit(False)), 1).otherwise(0).alias("edits"),
     )
 
 
