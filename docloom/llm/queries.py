@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, embeddings, langid, linededup, packing, simhash, tokencount, toxicity, urlfilter, warc
+from docloom.llm import conversations, decontam, embeddings, importance, langid, linededup, packing, pieces, simhash, tokencount, toxicity, urlfilter, warc
 from docloom.llm._common import table
 
 
@@ -54,6 +54,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": op6_langid,
     "op10_url_filters": op10_url_filters,
     "op9_token_counts": op9_token_counts,
+    "op11_importance": op11_importance,
+    "op12_conversations": op12_conversations,
+    "op13_pieces": op13_pieces,
 }
 _LINES = """
 words as (
@@ -76,6 +91,8 @@ uniq as (select w, min(place) as first from lines group by w)
 """
 ORACLE: dict[str, str] = {
     "op10_url_filters": urlfilter.oracle(),
+    "op11_importance": importance.oracle(),
+    "op12_conversations": conversations.oracle(),
     "op4_line_dedup": f"""
 with {_LINES},
 variants as (

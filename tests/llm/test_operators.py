@@ -329,7 +329,7 @@ def test_same_as_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         df = queries.QUERIES[name](spark, sf)
