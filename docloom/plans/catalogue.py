@@ -93,9 +93,32 @@ def lex_syntax_error(spark, sf_dir):
  union all select * from ({bm25_sql(["of the"], _has("of the"))} order by bm25, doc_id, chunk_index limit 36))
 select doc_id, chunk_index, round(min(bm25), 6) as bm25 from hits group by doc_id, chunk_index order by min(bm25), doc_id, chunk_index limit 36""")
 def lex_postings(spark, sf_dir):
-    path = views.scratch_path(spark, "postings")
-    postings.build(views.chunks(spark, sf_dir), path)
-    return postings.search(postings.opened(spark, path), ["license NOT retiti", '"of the"'], 36).select("doc_id", "chunk_index", r6("bm25"))
+    index = postings.build(views.chunks(spark, sf_dir), views.scratch_path(spark, "postings"))
+    return postings.search(index, ["license NOT retiti", '"of the"'], 36).select("doc_id", "chunk_index", r6("bm25"))
+
+
+_UPDATED_SQL = f"""{SQL_CHUNKS.replace("chunks as (", "old as (")},
+chunks as (
+  select doc_id, chunk_index, case when doc_id % 7 = 3 then 'license ' || text else text end as text, char_start, char_end from old where doc_id % 5 <> 1 and not (doc_id % 7 = 2 and chunk_index % 2 = 0)
+  union all select doc_id + 1000000, chunk_index, 'retiti ' || text, char_start, char_end from old where doc_id % 11 = 4)"""
+
+
+@query("postings_update", f"""with {_UPDATED_SQL}, hits as (
+ select * from ({bm25_sql(["license", "retiti"], f"{_has('license')} and not {_has('retiti')}")} order by bm25, doc_id, chunk_index limit 200)
+ union all select * from ({bm25_sql(["retiti"], _has("retiti"))} order by bm25, doc_id, chunk_index limit 200))
+select doc_id, chunk_index, round(min(bm25), 6) as bm25 from hits group by doc_id, chunk_index order by min(bm25), doc_id, chunk_index limit 200""")
+def postings_update(spark, sf_dir):
+    """An index brought up to date in three steps (documents go, chunks go and change, new ones come) with a merge between them,
+    searched; the SQL searches the tables as they are afterwards."""
+    chunks = views.chunks(spark, sf_dir)
+    index = postings.build(chunks, views.scratch_path(spark, "postings"))
+    index = postings.updated(index, gone=chunks.where("doc_id % 5 = 1").select("doc_id").distinct())
+    changed = chunks.where("doc_id % 7 = 3 and doc_id % 5 <> 1").withColumn("text", F.concat(F.lit("license "), "text"))
+    index = postings.updated(index, changed, chunks.where("doc_id % 7 = 2 and chunk_index % 2 = 0").select("doc_id", "chunk_index"))
+    index = postings.merged(index)
+    new = chunks.where("doc_id % 11 = 4").withColumn("doc_id", F.col("doc_id") + 1000000).withColumn("text", F.concat(F.lit("retiti "), "text"))
+    index = postings.updated(index, new)
+    return postings.search(index, ["license NOT retiti", "retiti"], 200).select("doc_id", "chunk_index", r6("bm25"))
 
 
 @query("lexicon_expand", "select * from (values ('NLP', ['NLP', '自然语言处理', 'language processing']), ('Roadmap ', ['Roadmap', 'Project Plan', 'milestones', '项目路线图']), ('atlas', ['atlas'])) t(query, variants)")
