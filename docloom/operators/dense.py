@@ -30,14 +30,16 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, probes: list[list[float]], k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(doc_id, distance): the k nearest of each probe, and over probes the least distance. Always exact."""
+    """The k nearest of each probe, and over probes the least distance. Always exact. ``vectors`` are those of documents (doc_id,
+    embedding) or of chunks (doc_id, chunk_index, embedding); the result has the same key, and distance."""
+    key = [c for c in ("doc_id", "chunk_index") if c in vectors.columns]
     if allowed is not None:
         vectors = vectors.join(allowed.select("doc_id"), "doc_id", "left_semi")
     out = None
     for p in probes:
-        got = vectors.select("doc_id", distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in p])).alias("distance")).orderBy("distance", "doc_id").limit(k)
+        got = vectors.select(*key, distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in p])).alias("distance")).orderBy("distance", *key).limit(k)
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("doc_id").agg(F.min("distance").alias("distance"))
+    return out.groupBy(*key).agg(F.min("distance").alias("distance"))
 
 
 def tokens(docs: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:

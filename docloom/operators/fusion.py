@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import dense, lexical
+from docloom.operators import dense, lexical, postings
 
 LEX, DENSE, FRESH, DECAY = 0.55, 0.35, 0.10, 0.023
 TOP_K, NEGLIGIBLE = 12, 0.01
@@ -72,18 +72,33 @@ def fused(lex: DataFrame, near: DataFrame, docs: DataFrame, now: Column, k: int
     return rows.withColumn("score", LEX * F.col("lex") + DENSE * F.col("dense") + FRESH * F.col("fresh")).orderBy(F.desc("score"), "doc_id", "chunk_index").limit(k or TOP_K)
 
 
-def hybrid_search(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, query: str, probes: list[list[float]] | dense.Embedder, now: Column, top_k: int = 0, where: Filter | None = None) -> DataFrame:
-    """The whole plan: expand, pre-filter, search both channels for three times the results asked for, fuse, cite. ``probes`` are
-    vectors, or the embedder that makes them from the query and what it expands to."""
+def first_chunks(chunks: DataFrame, hits: DataFrame) -> DataFrame:
+    """Hits on documents as hits on each document's first chunk; a document without chunks has nothing to show."""
+    first = chunks.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("chunk_index").alias("chunk_index"))
+    return hits.join(first, "doc_id").select("doc_id", "chunk_index", "distance")
+
+
+def hybrid_search(docs: DataFrame, chunks: DataFrame | postings.Postings, vectors: DataFrame, query: str, probes: list[list[float]] | dense.Embedder, now: Column, top_k: int = 0, where: Filter | None = None) -> DataFrame:
+    """The whole plan: expand, pre-filter, search both channels for three times the results asked for, fuse, cite.
+
+    ``chunks`` is a table, which is scanned, or a stored index, of which only matches are read. ``vectors`` are those of chunks; vectors
+    of whole documents stand for each document's first chunk, whatever its number. ``probes`` are vectors, or the embedder that makes
+    them from the query and what it expands to.
+    """
     k = 3 * (top_k or TOP_K)
     variants = lexical.expand(query)
     if isinstance(probes, dense.Embedder):
         probes = [probes.embed_query(docs.sparkSession, v) for v in variants]
     allowed = where.apply(docs) if where else None
-    lex = lexical.min_max(lexical.search(chunks, variants, k, allowed)).select("doc_id", "chunk_index", "lex")
-    near = dense.nearest(vectors, probes, k, allowed).select("doc_id", F.lit(0).alias("chunk_index"), "distance")
+    stored = isinstance(chunks, postings.Postings)
+    hits = postings.search(chunks, variants, k, allowed) if stored else lexical.search(chunks, variants, k, allowed)
+    lex = lexical.min_max(hits).select("doc_id", "chunk_index", "lex")
+    near = dense.nearest(vectors, probes, k, allowed)
+    if "chunk_index" not in near.columns:
+        near = first_chunks(chunks.chunks if stored else chunks, near)
     top = fused(lex, near, docs.drop("text"), now, top_k)
-    return F.broadcast(top).join(chunks.select("doc_id", "chunk_index", "text", "char_start", "char_end"), ["doc_id", "chunk_index"]).select(
+    texts = postings.texts(chunks, top) if stored else chunks
+    return F.broadcast(top).join(texts.select("doc_id", "chunk_index", "text", "char_start", "char_end"), ["doc_id", "chunk_index"]).select(
         "doc_id", "chunk_index", "score", "lex", "dense", "fresh", "total_candidates", "display_path", F.col("chunk_index").alias("paragraph"),
         F.concat_ws("-", "char_start", "char_end").alias("char_range"), tx.preview(F.col("text"), 120).alias("quote"), tx.preview(F.col("text"), 200).alias("summary"),
-    )
+    ).orderBy(F.desc("score"), "doc_id", "chunk_index").limit(top_k or TOP_K)

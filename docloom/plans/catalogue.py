@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import answers, chunking, dense, evidence, fusion, lexical, postings, qa, records, states, sync
+from docloom.operators import answers, chunking, dense, evidence, fusion, lexical, postings, qa, records, states, sync, vector_index
 from docloom.plans import views
-from docloom.plans.views import NOW, SQL_CHUNKS, SQL_DOCS, table
+from docloom.plans.views import NOW, SQL_CHUNK_VECTORS, SQL_CHUNKS, SQL_DOCS, table
 from docloom.sources import files
 from docloom.streaming import watch
 
@@ -129,6 +129,9 @@ def lexicon_expand(spark, sf_dir):
 # --- dense and fusion -------------------------------------------------------------------------------------------------
 
 
+_DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::double * {b}[i]::double))"
+
+
 def near_sql(vec_id: int, where: str = "true", k: int = 36) -> str:
     dot = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::double * {b}[i]::double))"
     return f"""select e.vec_id as doc_id, 1 - {dot('e.embedding', 'p.embedding')} / (sqrt({dot('e.embedding', 'e.embedding')}) * sqrt({dot('p.embedding', 'p.embedding')})) as distance
@@ -151,36 +154,82 @@ def dense_variants_min(spark, sf_dir):
     return dense.nearest(views.vectors(spark, sf_dir), [views.probe(spark, sf_dir, k) for k in (0, 1)], 36).select("doc_id", r6("distance"))
 
 
+_KNN_SQL = """select q.vec_id as query, e.vec_id as doc_id, 1 - {dot} / (sqrt({ee}) * sqrt({qq})) as distance, row_number() over (partition by q.vec_id order by 1 - {dot} / (sqrt({ee}) * sqrt({qq})), e.vec_id) as r
+ from embeddings e, embeddings q where q.vec_id % 50 = 0""".format(dot=_DOT("e.embedding", "q.embedding"), ee=_DOT("e.embedding", "e.embedding"), qq=_DOT("q.embedding", "q.embedding"))
+
+
+def _dense_index(spark, sf_dir):
+    vectors = views.vectors(spark, sf_dir)
+    return vector_index.build(vectors, views.scratch_path(spark, "vectors")), vectors.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "embedding")
+
+
+@query("dense_index", "select count(*) as queries, true as recalled, true as pruned from embeddings where vec_id % 50 = 0")
+def dense_index(spark, sf_dir):
+    """Of all vectors indexed, whether the index gives 95 % of the ten true neighbours of every fiftieth, reading a part of its files for one query."""
+    index, asked = _dense_index(spark, sf_dir)
+    got = vector_index.recall(vector_index.search(index, asked, 10), vector_index.exact(views.vectors(spark, sf_dir), asked, 10))
+    first = index.nearest_lists(vector_index.unit([asked.first().embedding], index.model.dim)[0], index.probes)[0].tolist()
+    return got.select("queries", (F.col("recall") >= 0.95).alias("recalled"), F.lit(index.files(first) < index.files()).alias("pruned"))
+
+
+@query("dense_index_whole", f"select query, doc_id, round(distance, 6) + 0.0::double as distance from ({_KNN_SQL}) where r <= 10")
+def dense_index_whole(spark, sf_dir):
+    """All lists read and all codes refined, after vectors have gone and come back: the true neighbours."""
+    index, asked = _dense_index(spark, sf_dir)
+    vectors = views.vectors(spark, sf_dir)
+    index = vector_index.updated(index, gone=vectors.where("doc_id % 3 = 0"))
+    index = vector_index.updated(index, vectors.where("doc_id % 3 = 0"))
+    return vector_index.search(index, asked, 10, probes=vector_index.MOST_LISTS, refined=200).select("query", "doc_id", r6("distance"))
+
+
 @query("freshness", f"with {SQL_DOCS} select doc_id, round(exp(-0.023::double * greatest(date_diff('day', modified_at, timestamp '{NOW}'), 0)), 6) as fresh from docs")
 def freshness(spark, sf_dir):
     return views.docs(spark, sf_dir).select("doc_id", F.round(fusion.freshness(fusion.age(F.col("modified_at"), F.lit(NOW))), 6).alias("fresh"))
 
 
-FUSED_SQL = f"""near as ({near_sql(0)}),
-cands as (select coalesce(l.doc_id, n.doc_id) as doc_id, coalesce(l.chunk_index, 0) as chunk_index, coalesce(l.lex, 0) as lex, greatest(0, 1 - coalesce(n.distance, 2.0)) as dense
- from lex l full outer join near n on l.doc_id = n.doc_id and l.chunk_index = 0),
-scored as (select b.*, exp(-0.023::double * greatest(date_diff('day', d.modified_at, timestamp '{NOW}'), 0)) as fresh, d.display_path from cands b join docs d on b.doc_id = d.doc_id where b.lex >= 0.01 or b.dense >= 0.01),
+#: Of both channels' 36 best chunks: what one lacks counts as nothing; those that neither finds worth a hundredth go.
+FUSED_SQL = f"""{SQL_CHUNK_VECTORS},
+near as (
+  select v.doc_id, v.chunk_index, 1 - {_DOT("v.embedding", "p.embedding")} / (sqrt({_DOT("v.embedding", "v.embedding")}) * sqrt({_DOT("p.embedding", "p.embedding")})) as distance
+  from chunk_vectors v, (select embedding from embeddings where vec_id = 0) p order by distance, doc_id, chunk_index limit 36),
+cands as (select doc_id, chunk_index, coalesce(lex, 0) as lex, greatest(0, 1 - coalesce(distance, 2.0)) as dense from lex full outer join near using (doc_id, chunk_index)),
+scored as (select b.*, exp(-0.023::double * greatest(date_diff('day', d.modified_at, timestamp '{NOW}'), 0)) as fresh, d.display_path from cands b join docs d using (doc_id) where b.lex >= 0.01 or b.dense >= 0.01),
 top as (select *, 0.55::double * lex + 0.35::double * dense + 0.1::double * fresh as score from scored order by score desc, doc_id, chunk_index limit 12)"""
 
 
 @query("fusion_outer", f"with {SQL_DOCS}, {SQL_CHUNKS}, {LEX_SQL}, {FUSED_SQL} select doc_id, chunk_index, round(score, 6) as score, round(lex, 6) as lex, round(dense, 6) as dense, round(fresh, 6) as fresh from top")
 def fusion_outer(spark, sf_dir):
     lex = lexical.min_max(lexical.search(views.chunks(spark, sf_dir), ["retiti"], 36)).select("doc_id", "chunk_index", "lex")
-    near = dense.nearest(views.vectors(spark, sf_dir), [views.probe(spark, sf_dir, 0)], 36).withColumn("chunk_index", F.lit(0))
+    near = dense.nearest(views.chunk_vectors(spark, sf_dir), [views.probe(spark, sf_dir, 0)], 36)
     return fusion.fused(lex, near, views.docs(spark, sf_dir).drop("text"), F.lit(NOW)).select("doc_id", "chunk_index", *map(r6, ("score", "lex", "dense", "fresh")))
 
 
 _PREVIEW = lambda n: f"case when length(c.text) > {n} then trim(replace(substr(c.text, 1, {n}), chr(10), ' '), ' ') || '...' else trim(replace(c.text, chr(10), ' '), ' ') end"
 
 
-@query("hybrid_search", f"""with {SQL_DOCS}, {SQL_CHUNKS}, {LEX_SQL}, {FUSED_SQL}
+_HYBRID_SQL = f"""with {SQL_DOCS}, {SQL_CHUNKS}, {LEX_SQL}, {FUSED_SQL}
 select t.doc_id, t.chunk_index, round(score, 6) as score, round(lex, 6) as lex, round(dense, 6) as dense, round(fresh, 6) as fresh, display_path, t.chunk_index as paragraph,
- c.char_start || '-' || c.char_end as char_range, {_PREVIEW(120)} as quote, {_PREVIEW(200)} as summary from top t join chunks c on t.doc_id = c.doc_id and t.chunk_index = c.chunk_index""")
-def hybrid_search(spark, sf_dir):
-    got = fusion.hybrid_search(views.docs(spark, sf_dir), views.chunks(spark, sf_dir), views.vectors(spark, sf_dir), "retiti", [views.probe(spark, sf_dir, 0)], F.lit(NOW))
+ c.char_start || '-' || c.char_end as char_range, {_PREVIEW(120)} as quote, {_PREVIEW(200)} as summary from top t join chunks c on t.doc_id = c.doc_id and t.chunk_index = c.chunk_index"""
+
+
+def _hybrid(spark, sf_dir, chunks):
+    got = fusion.hybrid_search(views.docs(spark, sf_dir), chunks, views.chunk_vectors(spark, sf_dir), "retiti", [views.probe(spark, sf_dir, 0)], F.lit(NOW))
     return got.select("doc_id", "chunk_index", *map(r6, ("score", "lex", "dense", "fresh")), "display_path", "paragraph", "char_range", "quote", "summary")
 
 
+@query("hybrid_search", _HYBRID_SQL)
+def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir, views.chunks(spark, sf_dir))
+
+
+@query("hybrid_indexed", _HYBRID_SQL)
+def hybrid_indexed(spark, sf_dir):
+    """The same through a stored index, of which a document has been put anew."""
+    chunks = views.chunks(spark, sf_dir)
+    index = postings.build(chunks, views.scratch_path(spark, "postings"))
+    return _hybrid(spark, sf_dir, postings.updated(index, chunks.where("doc_id % 10 = 0")))
+
+
 # --- filters ------------------------------------------------------------------------------------------------------------
 
 

@@ -62,6 +62,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
 
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, chunk_index, embedding): vectors 2d and 2d + 1 are those of document d's first two chunks, as far as it has them."""
+    c = chunks(spark, sf_dir).select("doc_id", "chunk_index")
+    c = c.withColumn("k", F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index")) - 1).where("k < 2")
+    return table(spark, sf_dir, "embeddings").join(c, F.col("vec_id") == F.col("doc_id") * 2 + F.col("k")).select("doc_id", "chunk_index", "embedding")
+
+
 def probe(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding
 
@@ -79,3 +86,6 @@ SQL_CHUNKS = """raw_lines as (
 placed as (
   select *, coalesce(sum(length(text) + 1) over (partition by doc_id order by chunk_index rows between unbounded preceding and 1 preceding), 0)::int as char_start from raw_lines),
 chunks as (select doc_id, chunk_index, text, char_start, char_start + length(text)::int as char_end from placed where trim(text, ' ') <> '')"""
+SQL_CHUNK_VECTORS = """chunk_vectors as (
+  select c.doc_id, c.chunk_index, e.embedding
+  from embeddings e join (select doc_id, chunk_index, row_number() over (partition by doc_id order by chunk_index) - 1 as k from chunks) c on e.vec_id = c.doc_id * 2 + c.k and c.k < 2)"""
