@@ -670,6 +670,31 @@ def debounce_batch(spark, sf_dir):
     return watch.debounced_batch(table(spark, sf_dir, "events"), 3600.0, "user_id").select("user_id", "run", "event_type", "n_events")
 
 
+_MOVES_SQL = """leg as (
+  select ts, event_id, 'u' || user_id || '.md' as path, case when event_type = 'purchase' then 'from' else event_type end as kind, case when event_type = 'purchase' then 'u' || (user_id + 1) % 40 || case when event_id % 3 = 0 then '.bin' else '.md' end end as other from events
+  union all select ts, event_id, 'u' || (user_id + 1) % 40 || case when event_id % 3 = 0 then '.bin' else '.md' end, 'to', 'u' || user_id || '.md' from events where event_type = 'purchase'),
+ahead as (
+  select *, case when kind = 'from' then lead(ts) over (partition by path, other, kind = 'from' order by ts, event_id, kind) else lead(ts) over (partition by path order by ts, event_id, kind, other nulls first) end as nxt from leg),
+settled as (select path, case kind when 'from' then 'moved' else kind end as event_type, other as dest_path, ts from ahead where kind <> 'to' and (nxt is null or epoch_us(nxt) - epoch_us(ts) > 1800000000))"""
+
+
+def _moves(spark, sf_dir):
+    moved = F.col("event_type") == "purchase"
+    dest = F.concat(F.lit("u"), (F.col("user_id") + 1) % 40, F.when(F.col("event_id") % 3 == 0, ".bin").otherwise(".md"))
+    return table(spark, sf_dir, "events").select("ts", "event_id", F.concat(F.lit("u"), "user_id", F.lit(".md")).alias("path"), F.when(moved, "moved").otherwise(F.col("event_type")).alias("event_type"), F.when(moved, dest).alias("dest_path"))
+
+
+@query("debounce_moves", f"with {_MOVES_SQL} select path, event_type, dest_path, epoch_us(ts) as us from settled")
+def debounce_moves(spark, sf_dir):
+    return watch.settled_table(_moves(spark, sf_dir), 1800).select("path", "event_type", "dest_path", F.unix_micros("ts").alias("us"))
+
+
+@query("moves_to_apply", f"""with {_MOVES_SQL} select path, event_type, count(*) as n from (
+ select path, case event_type when 'moved' then 'deleted' else event_type end as event_type from settled union all select dest_path, 'moved' from settled where event_type = 'moved' and dest_path like '%.md') group by all""")
+def moves_to_apply(spark, sf_dir):
+    return watch.to_apply(watch.settled_table(_moves(spark, sf_dir), 1800)).groupBy("path", "event_type").agg(F.count("*").alias("n"))
+
+
 @query("coalesced_rebuilds", "select * from (values ('a.md', 'deleted', 1::bigint), ('b.md', 'modified', 2::bigint)) t(path, event_type, n_events)")
 def coalesced_rebuilds(spark, sf_dir):
     rows = spark.sql("select * from values (timestamp '2024-01-01 00:00:00', 'moved', 'a.md', 'b.md'), (timestamp '2024-01-01 00:00:00.5', 'modified', 'b.md', null) as t(ts, event_type, path, dest_path)")
