@@ -130,7 +130,7 @@ def subject_terms(c: Column) -> Column:
 def lines(c: Column) -> Column:
     """Short units of a text: its lines, stripped of blanks and dashes, parted after full stops and semicolons."""
     trimmed = F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(x, r"^[ \-\t]+|[ \-\t]+$", ""))
-    parts = F.flatten(F.transform(trimmed, lambda x: F.transform(F.split(x, r"(?<=[。！？!?；;])\s*"), F.trim)))
+    parts = F.flatten(F.transform(trimmed, lambda x: F.transform(F.split(x, r"(?<=[。！？!?；;])\s*"), lambda y: F.trim(y))))
     return F.filter(parts, lambda x: x != "")
 
 

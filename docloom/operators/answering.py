@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import answers, qa
+from docloom.operators import answers, dense, fusion, lexical, postings, qa
+from docloom.operators import evidence as around
 
 KINDS = ("decision", "risk", "todo")
 MOST_CHECKED = 5
@@ -199,3 +200,40 @@ def answer(items: DataFrame, question: str) -> DataFrame:
         found = _ranked(found, F.desc("match"), "item", "position")
         conflicts, notes = conflicting(lines, p) if p.keys else None, F.array(F.when(F.col("n_lines") > 1, NOTE_MANY).otherwise(NOTE_ONE))
     return result(of, found, notes, conflicts)
+
+
+def evidence(docs: DataFrame, chunks: DataFrame | postings.Postings, p: Plan, now: Column, vectors: DataFrame | None = None, probes: list[list[float]] | None = None, top_k: int = 0, where: fusion.Filter | None = None) -> DataFrame:
+    """What a search for a question's subject (else its terms) finds, as items with the chunks next to each hit as preview.
+
+    Each word is a search of its own, and the best of them count. Without vectors the search is lexical.
+    """
+    words = [t for t in (p.subject or p.terms) if len(t) >= lexical.SHORTEST]
+    k = 3 * (top_k or fusion.TOP_K)
+    allowed = (where or fusion.Filter()).apply(docs)
+    stored = isinstance(chunks, postings.Postings)
+    table = chunks.chunks if stored else chunks
+    if words:
+        hits = postings.search(chunks, words, k, allowed) if stored else lexical.search(chunks, words, k, allowed)
+    else:
+        hits = table.where("false").select("doc_id", "chunk_index", F.lit(0.0).alias("bm25"))
+    none = table.where("false").select("doc_id", "chunk_index", F.lit(0.0).alias("distance"))
+    near = dense.nearest(vectors, probes, k, allowed) if vectors is not None and probes else none
+    found = fusion.fused(lexical.min_max(hits).select("doc_id", "chunk_index", "lex"), near, docs.drop("text"), now, top_k)
+    spans = F.broadcast(found.select("doc_id", "chunk_index", "score", "title", F.col("display_path").alias("path"), "modified_at"))
+    rows = spans.join(table.select("doc_id", "chunk_index", "char_start", "char_end", "text"), ["doc_id", "chunk_index"])
+    hits = rows.select("doc_id", "chunk_index", "char_start", "char_end", F.lit(None).cast("int").alias("page_no"), tx.preview(F.col("text"), 120).alias("quote"))
+    paragraphs = table.select("doc_id", F.col("chunk_index").alias("index"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.lit(None).cast("int").alias("page_no"))
+    shown = around.stored_previews(hits, paragraphs, docs.select("doc_id", F.col("text").alias("raw_text")))
+    return rows.drop("text", "char_start", "char_end").join(shown.select("doc_id", "chunk_index", "preview"), ["doc_id", "chunk_index"])
+
+
+def ask(docs: DataFrame, chunks: DataFrame | postings.Postings, question: str, now: Column, vectors: DataFrame | None = None, probes: list[list[float]] | None = None, top_k: int = 0, where: fusion.Filter | None = None) -> DataFrame:
+    """From a question to its answer: (result_type, answer, lines, citations, checked, evidence). ``docs`` has title, display_path, text and
+    modified_at beside doc_id; a table of chunks is scanned, a stored index read by its postings. ``evidence`` are the
+    items in which the answer's keys are stated about its subject."""
+    p = plan(docs.sparkSession, question)
+    found = evidence(docs, chunks, p, now, vectors, probes, top_k, where)
+    # A search's few results, which every step below reads again: they are fetched once, so that it is made once.
+    of = docs.sparkSession.createDataFrame(found.collect(), found.schema)
+    told = fact_rows(units(bundle(of, p.subject)), p.keys).agg(F.array_sort(F.collect_set(F.struct("doc_id", "chunk_index"))).alias("evidence"))
+    return answer(of, question).crossJoin(told)  # one row each

@@ -75,9 +75,51 @@ def previews(hits: DataFrame, parsed: DataFrame, around: int = 1) -> DataFrame:
         rows = rows.withColumn("first", F.when((F.col("first") > 0) & same(F.col("first") - 1), F.col("first") - 1).otherwise(F.col("first")))
         rows = rows.withColumn("last", F.when((F.col("last") + 1 < F.size("paragraphs")) & same(F.col("last") + 1), F.col("last") + 1).otherwise(F.col("last")))
     has = F.coalesce(F.size("paragraphs") > 0, F.lit(False))
-    start = F.when(has, F.get("paragraphs", F.col("first"))["start"]).otherwise(F.greatest(F.lit(0), F.col("char_start") - CONTEXT))
-    end = F.when(has, F.get("paragraphs", F.col("last"))["end"]).otherwise(F.least(F.length("raw_text"), F.col("char_end") + CONTEXT))
-    rows = rows.withColumns({"slice_start": start, "slice_end": end})
+    return _shown(rows, has, F.get("paragraphs", F.col("first"))["start"], F.get("paragraphs", F.col("last"))["end"])
+
+
+def at_place(hits: DataFrame, spans: DataFrame, place: str, low: str, high: str, bin_chars: int) -> DataFrame:
+    """``hits`` with the columns of the one span of their document that holds ``place``. Both meet by (document, bin of characters): a span
+    stands in every bin that it touches, so what is joined grows with the text and not with pairs."""
+    looked = hits.withColumn("bin", (F.col(place) / bin_chars).cast("int"))
+    binned = spans.where(F.col(high) > F.col(low)).withColumn("bin", F.explode(F.sequence((F.col(low) / bin_chars).cast("int"), ((F.col(high) - 1) / bin_chars).cast("int"))))
+    return looked.join(binned, ["doc_id", "bin"]).where((F.col(low) <= F.col(place)) & (F.col(place) < F.col(high))).drop("bin")
+
+
+def stored_previews(hits: DataFrame, paragraphs: DataFrame, texts: DataFrame, around: int = 1, bin_chars: int = 4096) -> DataFrame:
+    """What ``previews`` gives, from paragraphs as a table (doc_id, index, start, end, page_no) and texts (doc_id, raw_text).
+
+    The first paragraph of a hit is the one that holds its start, counting the gap before each as its own, and the last is the one
+    that holds its last character, counting the gap behind; each is looked up by place, and knows its neighbours. Only
+    paragraphs of documents with hits are looked at, and no document's paragraphs are gathered.
+    """
+    named = hits.select("doc_id", "chunk_index", "char_start", "char_end", F.col("page_no").alias("hit_page"), "quote").withColumn("hit", F.monotonically_increasing_id())
+    w = W.partitionBy("doc_id").orderBy("index")
+    p = paragraphs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "index", "start", "end", "page_no")
+    neighbours = {}
+    for k in range(1, around + 1):
+        neighbours |= {f"s{k}": F.lag("start", k).over(w), f"p{k}": F.lag("page_no", k).over(w), f"e{k}": F.lead("end", k).over(w), f"q{k}": F.lead("page_no", k).over(w)}
+    p = p.withColumns(neighbours | {"since": F.coalesce(F.lag("end").over(w), F.lit(0)), "until": F.coalesce(F.lead("start").over(w), F.col("end"))})
+    whole = p.groupBy("doc_id").agg(F.max("end").alias("doc_end"))
+    places = named.join(whole, "doc_id").withColumns({"from_": F.least(F.col("char_start"), F.col("doc_end") - 1), "to_": F.least(F.greatest(F.col("char_end") - 1, F.col("char_start")), F.col("doc_end") - 1)})
+    first = at_place(places.select("doc_id", "hit", "from_"), p, "from_", "since", "end", bin_chars).select("hit", F.struct(*p.columns).alias("a"))
+    last = at_place(places.select("doc_id", "hit", "to_"), p, "to_", "start", "until", bin_chars).select("hit", F.struct(*p.columns).alias("b"))
+    rows = named.join(first, "hit", "left").join(last, "hit", "left").join(texts.select("doc_id", "raw_text"), "doc_id", "left")
+    rows = rows.withColumn("b", F.when(F.col("b.index") >= F.col("a.index"), F.col("b")).otherwise(F.col("a")))
+    start, end, back, on = F.col("a.start"), F.col("b.end"), F.lit(True), F.lit(True)
+    same = lambda c: F.col("hit_page").isNull() | F.col(c).eqNullSafe(F.col("hit_page"))
+    for k in range(1, around + 1):
+        back, on = back & F.col(f"a.s{k}").isNotNull() & same(f"a.p{k}"), on & F.col(f"b.e{k}").isNotNull() & same(f"b.q{k}")
+        start, end = F.when(back, F.col(f"a.s{k}")).otherwise(start), F.when(on, F.col(f"b.e{k}")).otherwise(end)
+    return _shown(rows, F.col("a").isNotNull(), start, end)
+
+
+def _shown(rows: DataFrame, has: Column, start: Column, end: Column) -> DataFrame:
+    """The text from start to end, or around the hit where it has no paragraph, and what to highlight in it."""
+    rows = rows.withColumns({
+        "slice_start": F.when(has, start).otherwise(F.greatest(F.lit(0), F.col("char_start") - CONTEXT)),
+        "slice_end": F.when(has, end).otherwise(F.least(F.length("raw_text"), F.col("char_end") + CONTEXT)),
+    })
     text = F.expr("substring(raw_text, slice_start + 1, slice_end - slice_start)")
     none = F.coalesce(F.length(text), F.lit(0)) == 0
     clamp = lambda c: F.least(F.greatest(F.col(c), F.col("slice_start")), F.col("slice_end")) - F.col("slice_start")

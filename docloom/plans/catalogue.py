@@ -390,60 +390,6 @@ def doc_bundle(spark, sf_dir):
 
 # --- question answering -----------------------------------------------------------------------------------------------
 
-QUESTIONS = [("谁是 Borealis 的负责人", "fact"), ("请对比 Borealis 两版预算", "compare"), ("Borealis 上线时间的时间轴", "timeline"), ("Borealis 定下了哪些决策", "summary"), ("列出 Borealis 的供应商", "fact_list"), ("汇总 Borealis", "summary"), ("Borealis 合同号多少", "fact")]
-LINES = [
-    (1, "2024-01-01 00:00:00", 0, "项目负责人：陈立"), (1, "2024-01-01 00:00:00", 1, "发布时间：2024-03-01"), (2, "2024-01-05 00:00:00", 0, "发布时间：2024-04-15"),
-    (2, "2024-01-05 00:00:00", 1, "决策：改用列式存储"), (3, "2024-01-03 00:00:00", 0, "Meridian 项目负责人是周宁，月底接手"), (3, "2024-01-03 00:00:00", 1, "风险: 接口延期"),
-    (3, "2024-01-03 00:00:00", 2, "需要补齐文档"), (4, "2024-01-07 00:00:00", 0, "发布时间：2024-03-01"), (4, "2024-01-07 00:00:00", 1, "随便一行"),
-]
-FACTS = [(1, 0, "owner", "陈立"), (1, 1, "publish_time", "2024-03-01"), (2, 0, "publish_time", "2024-04-15"), (2, 1, "decision", "改用列式存储"), (3, 0, "owner", "周宁"), (3, 1, "risk", "接口延期"), (4, 0, "publish_time", "2024-03-01")]
-_FACT_SQL = "facts as (select * from (values " + ", ".join(f"({d}, {p}, '{k}', '{v}')" for d, p, k, v in FACTS) + ") t(doc_id, position, key, value)), lines as (select * from (values " + ", ".join(f"({d}, timestamp '{m}', {p}, '{t}')" for d, m, p, t in LINES) + ") t(doc_id, modified_at, position, line)), rows_ as (select f.*, l.modified_at, l.line from facts f join lines l using (doc_id, position)), firsts as (select * from rows_ qualify row_number() over (partition by key, value order by modified_at, doc_id, position) = 1)"
-
-
-def _lines(spark) -> DataFrame:
-    return spark.createDataFrame([(d, datetime.fromisoformat(m), p, t) for d, m, p, t in LINES], "doc_id int, modified_at timestamp, position int, line string").withColumn("modified_at", F.element_at(F.create_map(*[x for d, m in sorted({(d, m) for d, m, _, _ in LINES}) for x in (F.lit(d), F.expr(f"timestamp '{m}'"))]), F.col("doc_id")))
-
-
-@query("intent", "select * from (values " + ", ".join(f"('{q}', '{i}')" for q, i in QUESTIONS) + ") t(question, intent)")
-def intent(spark, sf_dir):
-    return spark.createDataFrame([(q,) for q, _ in QUESTIONS], "question string").withColumn("intent", qa.intent(F.col("question")))
-
-
-@query("fact_lines", f"with {_FACT_SQL} select doc_id, position, key, value from facts where not (doc_id = 3 and position = 0)")
-def fact_lines(spark, sf_dir):
-    return _lines(spark).withColumn("f", qa.fact_line(F.col("line"))).where("f is not null").select("doc_id", "position", "f.key", "f.value")
-
-
-@query("natural_facts", f"with {_FACT_SQL} select doc_id, position, key, value from facts")
-def natural_facts(spark, sf_dir):
-    return qa.fact_rows(_lines(spark)).select("doc_id", "position", "key", "value")
-
-
-@query("conflicts", f"with {_FACT_SQL}, many as (select key, count(*) as n_values from firsts group by key having count(*) > 1) select key, (row_number() over (partition by key order by modified_at, doc_id, position))::int as rank, value, doc_id, n_values from firsts join many using (key)")
-def conflicts(spark, sf_dir):
-    return qa.conflicts(qa.fact_rows(_lines(spark)))
-
-
-@query("fact_list", f"with {_FACT_SQL} select key, value, doc_id from firsts order by key, modified_at, value limit 6")
-def fact_list(spark, sf_dir):
-    return qa.fact_list(qa.fact_rows(_lines(spark)))
-
-
-@query("compare", f"with {_FACT_SQL} select count(distinct value) as n_values, count(distinct doc_id) as n_docs, true as comparable from rows_ where key = 'publish_time'")
-def compare(spark, sf_dir):
-    return qa.comparable(qa.fact_rows(_lines(spark)), "publish_time")
-
-
-@query("timeline", f"with {_FACT_SQL} select modified_at, value, doc_id from firsts where key = 'publish_time' order by modified_at, doc_id limit 6")
-def timeline(spark, sf_dir):
-    return qa.timeline(qa.fact_rows(_lines(spark)), "publish_time")
-
-
-@query("insights", "select * from (values ('decision', '改用列式存储', 2), ('risk', '接口延期', 3), ('todo', '需要补齐文档', 3)) t(kind, text, doc_id)")
-def insights(spark, sf_dir):
-    return qa.insights(_lines(spark))
-
-
 @query("summary_lines", """with r as (select conv_id as item, turn as position, text as line, row_number() over (partition by conv_id order by turn) as rn from conversations where text is not null)
 select item, position, line from r where rn <= 2 order by 1.0 / (1 + item) desc, item, position limit 6""")
 def summary_lines(spark, sf_dir):
@@ -451,11 +397,6 @@ def summary_lines(spark, sf_dir):
     return qa.summary(c.select(F.col("conv_id").alias("item"), (F.lit(1.0) / (1 + F.col("conv_id"))).alias("item_score"), F.col("turn").alias("position"), F.col("text").alias("line")))
 
 
-@query("citation_check", "select * from (values (1, true), (2, false)) t(claim_id, valid)")
-def citation_check(spark, sf_dir):
-    return qa.cited(spark.createDataFrame([(1, 2, "改用列式存储"), (2, 2, "沿用行式存储")], "claim_id int, doc_id int, text string"), _lines(spark))
-
-
 @query("answers_rendered", """with d as (select doc_id, n_chars >= 500 as enough, list_transform(string_split(text, chr(10))[1:2], lambda x: '- ' || x) as said, source, lang from documents where text is not null and source is not null and lang is not null)
 select doc_id, case when enough then 'answered' else 'insufficient_evidence' end as result_type,
 case when enough then concat_ws(chr(10), '结论：', array_to_string(said, chr(10)), '', '依据：', '1. 来源：' || source, '', '不确定性：', '- ' || lang)
@@ -468,15 +409,6 @@ def answers_rendered(spark, sf_dir):
     return answers.rendered(rows).select("doc_id", "result_type", "answer")
 
 
-@query("conflict_rendered", "select 'conflict' as result_type, concat_ws(chr(10), '发现冲突信息，暂不输出单一结论。', '', '冲突来源 A：', '- 2024-03-01', '- 来源：1', '', '冲突来源 B：', '- 2024-04-15', '- 来源：2', '', '建议：', '- 由用户确认哪个版本为最新', '- 或查看时间更晚、级别更高的记录', '- 若后续接入记忆，记忆可能陈旧或错误') as answer")
-def conflict_rendered(spark, sf_dir):
-    said = qa.conflicts(qa.fact_rows(_lines(spark))).where("key = 'publish_time'")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("value").alias("summary"), F.col("doc_id").cast("string").alias("label"))))
-    none = F.lit(None).cast("array<string>")
-    rows = said.agg(ordered.alias("conflicts")).select(F.transform("conflicts", lambda x: F.struct(x["summary"].alias("summary"), x["label"].alias("label"))).alias("conflicts"), *[none.alias(c) for c in ("lines", "sources", "notes", "checked")])
-    return answers.rendered(rows).select("result_type", "answer")
-
-
 @query("summary_pages", """with r as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) as rn from conversations where text is not null)
 select conv_id, '# c' || conv_id || chr(10) || chr(10) || '## 摘要' || chr(10) || any_value(text) filter (rn = 1) || chr(10) || chr(10) || '## 引用' || chr(10) || string_agg(rn || '. `' || role || '` @' || turn || ' — ' || substr(text, 1, 20) || '|', chr(10) order by rn) || chr(10) as page from r where rn <= 2 group by conv_id""")
 def summary_pages(spark, sf_dir):
@@ -701,4 +633,4 @@ def coalesced_rebuilds(spark, sf_dir):
     return watch.debounced(watch.split_moves(rows)).select("path", "event_type", "n_events")
 
 
-from docloom.plans import services  # noqa: E402, F401  registers the other queries
+from docloom.plans import ledger, services  # noqa: E402, F401  register the other queries

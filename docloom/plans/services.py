@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,52 +14,6 @@ from docloom.streaming import watch
 
 # --- answering ------------------------------------------------------------------------------------------------------------
 
-ITEMS = [
-    (1, 0, "北辰计划", "p/1.md", 0.9, datetime(2024, 1, 2), "Borealis 项目负责人：陈立\n发布时间：2024-05-01\n决策：改用列式存储"),
-    (2, 0, "北辰修订", "p/2.md", 0.8, datetime(2024, 2, 3), "Borealis 发布时间：2024-06-15\n风险：接口延期"),
-    (3, 0, "子午计划", "p/3.md", 0.7, datetime(2024, 3, 4), "Meridian 项目负责人：周宁\n待办：补齐文档"),
-]
-ASKED = [
-    ("Borealis 项目负责人是谁？", "answered", ["Borealis 项目负责人：陈立"]),
-    ("Borealis 发布时间是什么？", "conflict", None),
-    ("Borealis 有哪些发布时间？", "answered", ["发布时间：2024-05-01", "Borealis 发布时间：2024-06-15"]),
-    ("比较 Borealis 发布时间的版本差异", "answered", ["北辰计划：发布时间 = 2024-05-01", "北辰修订：Borealis 发布时间 = 2024-06-15"]),
-    ("Borealis 发布时间时间线", "answered", ["2024-01-02：发布时间：2024-05-01", "2024-02-03：Borealis 发布时间：2024-06-15"]),
-    ("Borealis 有哪些决策和风险？", "answered", ["决策：改用列式存储", "风险：接口延期"]),
-    ("总结 Borealis", "answered", ["Borealis 项目负责人：陈立", "发布时间：2024-05-01", "Borealis 发布时间：2024-06-15", "风险：接口延期", "Meridian 项目负责人：周宁", "待办：补齐文档"]),
-    ("Polaris 合同编号是多少？", "insufficient_evidence", []),
-]
-
-
-def _items(spark) -> DataFrame:
-    return spark.createDataFrame(ITEMS, "doc_id int, chunk_index int, title string, path string, score double, modified_at timestamp, preview string")
-
-
-@query("qa_answer", "select * from (values " + ", ".join(f"('{q}', '{t}', {('[' + ', '.join(repr(x) for x in said) + ']::varchar[]') if t != 'conflict' else 'null::varchar[]'})" for q, t, said in ASKED) + ") t(question, result_type, lines)")
-def qa_answer(spark, sf_dir):
-    out = None
-    for q, *_ in ASKED:
-        got = answering.answer(_items(spark), q).select(F.lit(q).alias("question"), "result_type", F.when(F.col("result_type") != "conflict", F.col("lines")).alias("lines"))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-@query("qa_conflict", "select 'conflict' as result_type, concat_ws(chr(10), '发现冲突信息，暂不输出单一结论。', '', '冲突来源 A：', '- 发布时间：2024-05-01', '- 来源：北辰计划（p/1.md）', '', '冲突来源 B：', '- Borealis 发布时间：2024-06-15', '- 来源：北辰修订（p/2.md）', '', '建议：', '- 由用户确认哪个版本为最新', '- 或查看时间更晚、级别更高的记录', '- 若后续接入记忆，记忆可能陈旧或错误') as answer")
-def qa_conflict(spark, sf_dir):
-    return answering.answer(_items(spark), ASKED[1][0]).select("result_type", "answer")
-
-
-@query("qa_bundle", "select 3::bigint as source_count, [1, 2, 3]::int[] as doc_ids, 1::bigint as decision, 1::bigint as risk, 1::bigint as todo")
-def qa_bundle(spark, sf_dir):
-    lines = answering.units(answering.bundle(_items(spark)))
-    return answering.bundle_docs(_items(spark)).crossJoin(answering.insight_counts(answering.insight_lines(lines, answering.KINDS)))
-
-
-@query("subject_terms", "select * from (values (0, ['borealis']), (1, ['北辰']), (2, ['plan', 'release'])) t(id, terms)")
-def subject_terms(spark, sf_dir):
-    rows = spark.createDataFrame([(0, "Borealis 项目负责人是谁？"), (1, "北辰的预算"), (2, "a release plan, 10")], "id int, s string")
-    return rows.select("id", tx.subject_terms(F.col("s")).alias("terms"))
-
 
 @query("summary_bundle", """with c as (select doc_id as item, 1.0::double / (1 + doc_id) as score, line, p from (
   select doc_id, unnest(l) as line, unnest(range(len(l))) as p from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' -' || chr(9))), lambda x: x <> '') as l from documents where not regexp_matches(text, '[。！？!?；;]')))),
@@ -84,12 +36,9 @@ def _hits(spark, sf_dir) -> DataFrame:
 select n.doc_id, chunk_index, substr(d.text, s + 1, e - s) as preview, (char_start - s)::int as highlight_start, (char_end - s)::int as highlight_end from n join documents d on n.doc_id = d.doc_id where contains(lower(n.text), 'retiti')""")
 def evidence_preview(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    place = F.struct("chunk_index", F.col("char_start").alias("start"), F.col("char_end").alias("end"))
-    paragraphs = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("p"))
-    paragraphs = paragraphs.select("doc_id", F.transform("p", lambda x, k: F.struct(k.alias("index"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("int").alias("page_no"))).alias("paragraphs"))
-    parsed = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text")).join(paragraphs, "doc_id")
+    paragraphs = chunks.select("doc_id", F.col("chunk_index").alias("index"), F.col("char_start").alias("start"), F.col("char_end").alias("end"), F.lit(None).cast("int").alias("page_no"))
     hits = _hits(spark, sf_dir).select("doc_id", "chunk_index", "char_start", "char_end", F.lit(None).cast("int").alias("page_no"), tx.preview(F.col("text"), 120).alias("quote"))
-    return evidence.previews(hits, parsed)
+    return evidence.stored_previews(hits, paragraphs, table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text")))
 
 
 @query("evidence_located", f"""with {SQL_DOCS}, {SQL_CHUNKS}, t as (select doc_id, 0 as chunk_index from documents union all select doc_id, 100000 from documents where doc_id % 3 = 0)

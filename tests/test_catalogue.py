@@ -8,7 +8,7 @@ import pytest
 from docloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation supplier events documents embeddings pages benchmark labels conversations".split()
+TABLES = "nation customer orders supplier events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,9 @@
 
 import io
 import os
+import random
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docloom import settings
 from docloom.operators import answering, dense, evidence, ingest, lexical, qa, records
-from docloom.plans import services
 from docloom.sources import files
 from docloom.streaming import watch
 
@@ -130,11 +131,12 @@ def test_facts_are_cited_by_key_and_value(spark):
 
 
 def test_answers_stay_with_their_subject(spark):
-    items = services._items(spark)
-    got = answering.answer(items, "Meridian 项目负责人是谁？").first()
-    assert got.lines == ["Meridian 项目负责人：周宁"] and [tuple(c) for c in got.citations] == [(3, 0)] and len(got.checked) == 3
+    rows = [(1, 0, "Kestrel plan", "p/1.md", 0.9, datetime(2024, 1, 2), "Kestrel 负责人：陈立\nKestrel 预算：10"), (2, 0, "Heron plan", "p/2.md", 0.7, datetime(2024, 3, 4), "Heron 负责人：周宁")]
+    items = spark.createDataFrame(rows, "doc_id int, chunk_index int, title string, path string, score double, modified_at timestamp, preview string")
+    got = answering.answer(items, "Heron 的负责人？").first()
+    assert got.lines == ["Heron 负责人：周宁"] and [tuple(c) for c in got.citations] == [(2, 0)] and len(got.checked) == 2
     assert answering.answer(items, "总结一下").first().result_type == "answered"
-    assert answering.answer(items.where("false"), "Borealis 项目负责人是谁？").first().result_type == "insufficient_evidence"
+    assert answering.answer(items.where("false"), "Kestrel 预算").first().result_type == "insufficient_evidence"
 
 
 def test_preview_scopes_and_fallbacks(spark):
@@ -146,6 +148,30 @@ def test_preview_scopes_and_fallbacks(spark):
     got = {(r.doc_id, r.chunk_index): (r.preview, r.highlight_start, r.highlight_end) for r in evidence.previews(hits, parsed).collect()}
     assert got[1, 0] == ("one\ntwo", 4, 7) and got[1, 1] == ("one\ntwo\nthree", 4, 7)
     assert got[2, 0] == ("x" * 330, 160, 170) and got[3, 0] == ("quote", 0, 5) and got[1, 2][0] == "three\nfour"
+    table = parsed.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
+    for size in (1, 3, 4096):
+        stored = evidence.stored_previews(hits, table, parsed.select("doc_id", "raw_text"), bin_chars=size).collect()
+        assert {(r.doc_id, r.chunk_index): (r.preview, r.highlight_start, r.highlight_end) for r in stored} == got
+
+
+def test_stored_paragraphs_give_the_same_previews(spark):
+    rng, parsed, hits = random.Random(3), [], []
+    for d in range(30):
+        at, p = rng.randint(0, 3), []
+        for k in range(rng.randint(1, 9)):
+            end = at + rng.randint(1, 12)
+            p.append({"index": k, "start": at, "end": end, "page_no": k // 3})
+            at = end + rng.randint(0, 3)
+        parsed.append((d, "".join(rng.choice("abcde") for _ in range(at + 4)), p))
+        for k in range(12):
+            start = rng.randint(0, at + 3)
+            hits.append((d, k, start, start + rng.randint(0, 20), rng.choice([None, 0, 1, 2]), "q"))
+    parsed = spark.createDataFrame(parsed, "doc_id int, raw_text string, paragraphs array<struct<index:int,start:int,end:int,page_no:int>>")
+    hits = spark.createDataFrame(hits, "doc_id int, chunk_index int, char_start int, char_end int, page_no int, quote string")
+    table = parsed.select("doc_id", F.explode("paragraphs").alias("p")).select("doc_id", "p.*")
+    for around in (0, 1, 2):
+        want, got = evidence.previews(hits, parsed, around), evidence.stored_previews(hits, table, parsed, around, bin_chars=7)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_rebuild_is_owed_while_one_is_running(spark, tmp_path):
