@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import answering, dense, evidence, ingest, records, sync
+from docloom.operators import answering, dense, evidence, ingest, postings, records, sync
 from docloom.plans import views
 from docloom.plans.catalogue import ORACLE, QUERIES, near_sql, query, r6  # noqa: F401
 from docloom.plans.views import NOW, SQL_CHUNKS, SQL_DOCS, table
+from docloom.sources import charset
 from docloom.streaming import watch
 
 # --- answering ------------------------------------------------------------------------------------------------------------
@@ -241,15 +242,44 @@ def artifact_reconciled(spark, sf_dir):
     return records.reconciled(_artifacts(spark, sf_dir), now).select("artifact_name", "status", "last_reason", "active_build_token")
 
 
-@query("golden_top10", "select 6::bigint as n, 6::bigint as n_passed, true as passed from (" + " union all ".join(f"(select {k} as c, * from ({near_sql(k, k=10)}))" for k in range(5)) + ") h having count(*) filter (h.doc_id = h.c) = 5")
+_SIZE = "greatest(0, length(text) - 2)"
+
+
+@query("golden_top10", f"""with {SQL_CHUNKS},
+cases as (
+  select doc_id as case_id, doc_id as due, lower(substr(text, 6, 24)) as phrase from chunks where doc_id % 50 = 0 and length(text) >= 30 qualify row_number() over (partition by doc_id order by chunk_index) = 1
+  union all select -1, null, 'no text has these words'),
+stats as (select count(*) as n, avg({_SIZE}) as avgdl from chunks),
+hits as (select case_id, doc_id, chunk_index, text, (length(lower(text)) - length(replace(lower(text), phrase, ''))) / 24 as f, count(*) over (partition by case_id) as df from chunks join cases on contains(lower(text), phrase)),
+scored as (select case_id, doc_id, chunk_index, greatest(1e-6, ln((n - df + 0.5::double) / (df + 0.5::double))) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * {_SIZE} / avgdl)) as score from hits, stats),
+best as (select * from scored qualify row_number() over (partition by case_id order by score desc, doc_id, chunk_index) <= 10),
+per as (select c.case_id, case when any_value(due) is null then coalesce(max(score), 0) < 0.3 else coalesce(bool_or(b.doc_id = due), false) end as ok from cases c left join best b using (case_id) group by c.case_id)
+select count(*) as n, count(*) filter (ok) as n_passed, count(*) filter (ok) >= 0.9 * count(*) as passed from per""")
 def golden_top10(spark, sf_dir):
-    vectors, hits = views.vectors(spark, sf_dir), None
-    for k in range(5):
-        got = dense.nearest(vectors, [views.probe(spark, sf_dir, k)], 10).select(F.lit(k).alias("case_id"), "doc_id", (1 - F.col("distance")).alias("score"))
-        hits = got if hits is None else hits.unionByName(got)
-    hits = hits.withColumn("rank", F.row_number().over(sync.W.partitionBy("case_id").orderBy(F.desc("score"), "doc_id")))
-    cases = spark.createDataFrame([(k, k) for k in range(5)] + [(99, None)], "case_id int, doc_id long")
-    return records.golden(hits, cases)
+    """Of every fiftieth document a passage of its first long line is asked for, all in one plan, and one that nothing holds: how many find their document among ten."""
+    chunks = views.chunks(spark, sf_dir)
+    index = postings.build(chunks, views.scratch_path(spark, "postings"))
+    long = chunks.where("doc_id % 50 = 0 and length(text) >= 30").groupBy("doc_id").agg(F.min_by("text", "chunk_index").alias("text"))
+    cases = long.select(F.col("doc_id").alias("case_id"), "doc_id", F.substring("text", 6, 24).alias("text"))
+    cases = cases.unionByName(spark.createDataFrame([(-1, None, "no text has these words")], "case_id long, doc_id long, text string"))
+    hits = postings.search_many(index, cases, 10).withColumn("score", -F.col("bm25"))
+    return records.golden(hits.select("case_id", "doc_id", "rank", "score"), cases.select("case_id", "doc_id"))
+
+
+_WAYS = ["utf-8", "utf-8 with a mark", "iso-8859-1", "utf-16 with a mark", "utf-16, low byte first"]
+
+
+@query("charset_read", "select way, lang, count(*) as n, count(*) filter (way <> 'iso-8859-1' or not regexp_matches(text, '[^\\x{00}-\\x{FF}]')) as n_back from documents, (values " + ", ".join(f"('{w}')" for w in _WAYS) + ") t(way) where text <> '' group by way, lang")
+def charset_read(spark, sf_dir):
+    """Every document encoded in five ways and read back without being told which."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    mark = lambda x: F.unhex(F.lit(x))
+    made = [F.encode("text", "UTF-8"), F.concat(mark("EFBBBF"), F.encode("text", "UTF-8")), F.encode("text", "ISO-8859-1"), F.concat(mark("FEFF"), F.encode("text", "UTF-16BE")), F.concat(mark("FFFE"), F.encode("text", "UTF-16LE"))]
+    made[2] = F.when(F.col("text").rlike("[^\\x00-\\xFF]"), F.lit(None)).otherwise(made[2])
+    ways = F.array(*[F.struct(F.lit(w).alias("way"), m.alias("content")) for w, m in zip(_WAYS, made, strict=True)])
+    rows = docs.select("doc_id", "lang", F.sha2("text", 256).alias("due"), F.explode(ways).alias("x")).select("doc_id", "lang", "due", "x.way", "x.content")
+    back = charset.texts(rows)
+    return back.groupBy("way", "lang").agg(F.count("*").alias("n"), F.count_if(F.sha2("text", 256) == F.col("due")).alias("n_back"))
 
 
 @query("redact_nested", "select doc_id, 'token=[REDACTED]' as said, ['api_key:[REDACTED]', source] as many from documents")

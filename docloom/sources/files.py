@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.charset import decoded
+
 from docloom.functions import text as tx
 
 TYPES = {"txt": "txt", "md": "md", "docx": "docx", "pdf": "pdf"}
@@ -69,16 +71,6 @@ def scan(spark: SparkSession, root: str, rules: ExcludeRules | None = None, recu
     return decisions(rows, rules or ExcludeRules()).withColumn("hash_sha256", F.sha2("content", 256))
 
 
-def decoded(data: bytes) -> str:
-    """UTF-8, with or without a mark; else the first East Asian encoding that fits; else UTF-8 with replacements."""
-    for encoding in ("utf-8-sig", "gb18030", "gbk", "big5", "euc-kr", "shift_jis"):
-        try:
-            return data.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("utf-8", "replace")
-
-
 def normalized(text: str) -> str:
     wide = {c + 0xFEE0: chr(c) for c in range(33, 127) if chr(c).isalnum()} | {0x3000: " "}
     text = re.sub(r"[ \f\v\r]+", " ", unicodedata.normalize("NFC", text).translate(wide))
