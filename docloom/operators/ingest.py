@@ -16,7 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
-from docloom.operators import sync
+from docloom.operators import chunking, sync
+from docloom.sources import files
+from docloom.sources.versions import Manifest, Store
 
 LISTING = "path string, relative_path string, size_bytes long, created_at timestamp, modified_at timestamp, file_identity string, error string"
 # Fields of a source whose change makes its documents be indexed anew, and those that may be changed.
@@ -179,3 +181,49 @@ def renumbered(chunks: DataFrame) -> DataFrame:
 def active_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """What an index is rebuilt from: chunks of documents that are not deleted."""
     return chunks.join(docs.where("not is_deleted").select("doc_id"), "doc_id", "left_semi")
+
+
+AUDIT = "timestamp timestamp, actor string, operation string, target_type string, target_id string, result string, detail_json string, trace_id string"
+CHUNKS = "doc_id string, chunk_index int, text string, char_start int, char_end int, page_no int, paragraph_start int, paragraph_end int, heading_path string, token_estimate int"
+_TYPES = {"source_config_rev": "int", "size_bytes": "long", "modified_at": "timestamp", "indexed_at": "timestamp", "tags": "array<string>", "is_deleted": "boolean"}
+DOCUMENTS = ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in DOCUMENT)
+FACTS = ["title", "parse_status", "category", "tags", "sensitivity"]
+
+
+def parsed_once(store: Store, contents: DataFrame | None = None, config: dict | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """A ``parse`` for ``incremental``: files are read (from ``contents``: path, content; else from their mounted folder), parsed and chunked by the
+    tasks that have them, once: what comes of it is written, and facts, chunks, audit and counts all read that."""
+
+    def parse(todo: DataFrame) -> tuple[DataFrame, DataFrame]:
+        spark = store.spark
+        named = spark.read.parquet(store.written(todo.select("doc_id", "path", "file_type").withColumn("row", F.monotonically_increasing_id()), "todo"))
+        rows = named.select(F.col("row").alias("doc_id"), "path", "file_type")
+        if contents is not None:
+            rows = rows.join(contents.select("path", "content"), "path", "left").withColumn("error_code", F.when(F.col("content").isNull(), "io_error"))
+        else:
+            rows = files.read_files(rows)
+        parsed = spark.read.parquet(store.written(files.parsed(rows), "parsed"))
+        made = spark.read.parquet(store.written(chunking.chunks(parsed, **(config or {})), "made"))
+        of = named.select("row", F.col("doc_id").alias("name"))
+        facts = parsed.join(of, F.col("doc_id") == F.col("row")).select(F.col("name").alias("doc_id"), *FACTS)
+        return facts, made.join(of, F.col("doc_id") == F.col("row")).drop("doc_id", "row").withColumnRenamed("name", "doc_id")
+
+    return parse
+
+
+def committed_run(store: Store, scanned: DataFrame, now: Column, trace: str, contents: DataFrame | None = None, errors: list[str] | None = None, force: bool = False, config: dict | None = None, vectors: Callable[[DataFrame], str] | None = None) -> Manifest:
+    """One incremental run over the generation that is current, committed as the next: documents, chunks and audit together.
+
+    Readers see all of a run or nothing; of two runs from the same generation one gets ``Conflict``. ``vectors`` makes
+    a bundle of the active chunks and returns its folder; it is part of the same generation, so that vectors never lag behind.
+    """
+    spark, base = store.spark, store.latest()
+    table = lambda name, schema: spark.read.schema(schema).parquet(base.tables[name]) if name in base.tables else spark.createDataFrame([], schema)
+    docs, chunks, logs = table("documents", DOCUMENTS), table("chunks", CHUNKS), table("audit", AUDIT)
+    run = incremental(docs, chunks, scanned, parsed_once(store, contents, config), now, trace, errors, force)
+    tables = {"documents": store.written(run.docs.select(*DOCUMENT), "documents"), "chunks": store.written(run.chunks, "chunks"), "audit": store.written(logs.unionByName(tx.redacted_rows(run.audit)), "audit")}
+    counts = {r.status: r.n for r in run.counts.collect()}  # a row for each status
+    if vectors is not None:
+        written = spark.read.parquet(tables["documents"])
+        tables["vectors"] = vectors(active_chunks(spark.read.parquet(tables["chunks"]), written))
+    return store.commit(base, base.tables | tables, base.facts | {"run": trace, "counts": counts})
