@@ -33,8 +33,6 @@ MOST_WORDS, MOST_HELD, PART = 100_000, 500_000, 1_000_000
 ROUNDS = 2
 #: Blocks that must be met, in SQL: whatever the d edits, so many of d + so many are whole.
 MATCHES = "least(3, n div 3 - n div 5)"
-#: A line is compared with so many of a gram's earliest holders before the rest.
-EARLIEST = 8
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -146,6 +144,13 @@ class _Hash(dict):
         return got
 
 
+def single(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' words in the place of runs, all of which count."""
+    n = np.array([len(w) for w in lines], np.int64)
+    g = np.array([hashes[x] for w in lines for x in w], np.uint64)
+    return g, np.repeat(np.arange(len(n)), n), np.ones(len(g), bool)
+
+
 def grams(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The lines' runs of three words: their keys, the numbers of their lines, and whether they are blocks (start at 0, 3, 6 ...).
 
@@ -233,8 +238,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["id", "near"])
 
 
-def _dealt(parts: int, column: str):
-    """Grams by part, packed: 40 bits (the last: is it a block), and the line's tag of 32 bits."""
+def _dealt(parts: int, column: str, runs=grams):
+    """Grams by part, packed: 40 bits (the last: is it a block), and the line's tag of 32 bits.
+
+    A gram that a task meets in several lines is settled there: their blocks are counted as shared (``kind`` 1: tag and count), and
+    only two of the tags are passed on, so that what is dealt of a gram grows with the tasks and not with its holders.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, held, size = _Hash(), set(), [], 0
@@ -242,12 +251,25 @@ def _dealt(parts: int, column: str):
         def flushed():
             g, tag, block = (np.concatenate(x) for x in zip(*held, strict=True))
             part = ((g >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            value = ((g & np.uint64((1 << 39) - 1)) << np.uint64(1) | block.astype(np.uint64))[order]
-            part, tag = part[order], tag[order]
+            gram = g & np.uint64((1 << 39) - 1)
+            order = np.lexsort((tag, gram, part))
+            part, gram, tag, block = part[order], gram[order], tag[order], block[order]
+            new = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(gram, prepend=~gram[:1]) != 0))
+            size = np.diff(new, append=len(gram))
+            several = tag[new] != tag[new + size - 1]  # sorted by tag within a gram
+            of_several = np.repeat(several, size)
+            tags, n = np.unique(tag[of_several & block], return_counts=True)
+            ends = np.zeros(len(gram), bool)
+            ends[new[several]] = ends[(new + size - 1)[several]] = True
+            block &= ~of_several
+            kept = ends | ~of_several
+            part, gram, tag, block = part[kept], gram[kept], tag[kept], block[kept]
+            value = gram << np.uint64(1) | block.astype(np.uint64)
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
             data = [value[i:j].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() + tag[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["part", "data"])
+            told = np.stack([tags, n.astype(np.uint32)], 1).tobytes()
+            own = int(part[0])
+            return pa.RecordBatch.from_arrays([pa.array([*part[cuts[:-1]].tolist(), own], pa.int32()), pa.array([0] * len(data) + [1], pa.int32()), pa.array([*data, told], pa.binary())], ["part", "kind", "data"])
 
         for batch in batches:
             lines, tags = [], []
@@ -261,7 +283,7 @@ def _dealt(parts: int, column: str):
                         lines.append(w)
                         tags.append(int.from_bytes(k[:4], "big"))
             if lines:
-                g, line, block = grams(lines, hashes)
+                g, line, block = runs(lines, hashes)
                 held.append((g, np.array(tags, np.uint32)[line], block))
                 size += len(g)
             if size >= MOST_HELD:
@@ -277,7 +299,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many blocks of a tag are also in lines of other tags, by part."""
     values, tags = [], []
     for batch in batches:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for part, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if kind:
+                told = np.frombuffer(data, np.uint32).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(told[:, 0].astype(np.int64)), pa.array(told[:, 1].astype(np.int64))], ["tag", "shared"])
+                continue
             n = len(data) // 9
             v = np.zeros((n, 8), np.uint8)
             v[:, :5] = np.frombuffer(data, np.uint8, 5 * n).reshape(n, 5)
@@ -295,13 +321,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n)], ["tag", "shared"])
 
 
-GRAMS = "id long, doc long, line_no int, n int, gram long, blocks int"
+GRAMS = "id long, n int, gram long, blocks int"
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hash()
     for batch in batches:
-        words = batch.column(3).to_pylist()
+        words = batch.column(1).to_pylist()
         for s, e in _chunks(words, MOST_VARIANTS):
             lines = [w.split(b" ") for w in words[s:e]]
             gram, at, block = grams(lines, hashes)
@@ -311,7 +337,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = np.add.reduceat(block[order].astype(np.int32), new).astype(np.int32)
             gram, at = gram[new].view(np.int64), at[new]
             n, at = np.array([len(w) for w in lines], np.int32)[at], at + s
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in range(3)), pa.array(n), pa.array(gram), pa.array(blocks)], _names(GRAMS))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(n), pa.array(gram), pa.array(blocks)], _names(GRAMS))
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,51 +406,71 @@ def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return lines, unique, near
 
 
-def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataFrame:
-    """The lines (of ten words or more) that go, besides ``gone``, for an earlier one at most a fifth of the longer one's words away.
+def _short(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines (id, first, n, tag) that can have a partner beyond one edit, and their texts.
 
     Of any d + 1 disjoint blocks of three words of a line, one is whole in every line within d edits of it. The longer line
     of n words has d at most n // 5; a line's longest partner has at most 5/4 of its words, so d is at most n // 4 as seen
-    from the shorter one, and a line with more blocks than that which no other line holds has no partner. The few that
-    are left are compared if one holds k of the longer one's d + k rarest blocks (k is 3, or as many as there are): first
-    with a block's earliest holders, and those lines that stay with all, so that large groups are not expanded into all their pairs.
+    from the shorter one, and a line with more blocks than that which no other line holds has no partner. Of a line's words at most
+    n // 5 are not in its partner, whichever is longer, as a longer one spends edits on its own words; so the
+    same holds for words.
     """
-    few = f"n >= {LEAST_SIMILAR} and (n = {LEAST_SIMILAR} or n div 3 - shared <= n div 4)"
     lines, texts = unique.select("id", "line", "first", "n", F.conv(F.hex(F.substring("line", 1, 4)), 16, 10).cast("long").alias("tag")), None
-    for _ in range(ROUNDS):
+    blocks = f"n >= {LEAST_SIMILAR} and (n = {LEAST_SIMILAR} or n div 3 - shared <= n div 4)"
+    for runs, few in [(grams, blocks)] * ROUNDS + [(single, f"n >= {LEAST_SIMILAR} and n - shared <= n div 5")]:
         parts = -(-(lines.where(f"n >= {LEAST_SIMILAR}").agg(F.sum("n")).first()[0] or 0) // PART) or 1
-        dealt = mapped(_keyed(docs) if texts is None else texts, _dealt(parts, "text" if texts is None else "words"), "part int, data binary")
+        dealt = mapped(_keyed(docs) if texts is None else texts, _dealt(parts, "text" if texts is None else "words", runs), "part int, kind int, data binary")
         shared = mapped(dealt.repartitionById(parts, "part"), _shared, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
         old, lines = (lines, texts), saved(lines.join(shared, "tag").where(few).select("id", "line", "first", "n", "tag"), "short_of_blocks")
         wanted = lines.select("id", "line", "first")
         texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted.select("id"), "id", "left_semi"), "texts")
         dropped(*filter(None, old))
-    # Places go in as two plain numbers: there are many grams, and wide decimals are slow to pass, shuffle and sort.
-    rows = mapped(texts.select("id", *place_of("first"), "words"), _grams, GRAMS)
-    # Within a gram the rank tells which line is earlier; lines of one place (rows that share a doc_id) have the same rank.
-    rows = rows.selectExpr(
-        "id", "n", "gram", "blocks", "rank() over (partition by gram order by doc, line_no) as rank",
-        "count(*) over (partition by gram order by doc, line_no rows between unbounded preceding and unbounded following) as holders",
-    )
-    rows = saved(rows.where("blocks > 0 or holders > 1"), "grams")
-    rarest = rows.where("n >= 10 and blocks > 0").selectExpr(
-        "*", "sum(blocks) over (partition by id order by holders, gram rows between unbounded preceding and 1 preceding) as rarer"
-    ).where(f"coalesce(rarer, 0) < n div 5 + {MATCHES} and holders > 1")
-    a = saved(rarest.selectExpr("gram", "id as a", "n as na", "rank as ra", "blocks", f"{MATCHES} as need"), "rarest")
-    b = rows.where("holders > 1").selectExpr("gram", "id as b", "n as nb", "rank as rb")
-    pairs = a.join(b, "gram").where("ra <> rb and nb <= na and nb >= na - na div 5")
-    pairs = pairs.selectExpr("if(ra > rb, a, b) as id", "if(ra > rb, b, a) as other", "if(ra > rb, rb, ra) as rank", "a", "blocks", "need")
-    one, other = texts.select("id", F.col("words").alias("one")), texts.select(F.col("id").alias("other"), F.col("words").alias("two"))
-    found = []
-    for which in (f"rank <= {EARLIEST}", "true"):
-        left = pairs.where(which)
-        for done in (gone, *found):
-            left = left.join(done.select("id"), "id", "left_anti")
-        left = left.groupBy("id", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
-        left = left.select("id", "other").distinct().join(one, "id").join(other, "other").select("id", "one", "two")
-        found.append(saved(mapped(left, _similar, "id long").distinct(), "similar"))
-    dropped(rows, a, texts, lines)
-    return found[0].union(found[1])
+    return lines, texts
+
+
+def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataFrame:
+    """The lines (of ten words or more) that go, besides ``gone``, for an earlier one at most a fifth of the longer one's words away.
+
+    Lines are compared if one holds k of the longer one's d + k rarest blocks (k is 3, or as many as there are). First each with one
+    line only: of the earliest holders of its blocks the one that it shares most with, which is where most of a group of
+    copies go. Then pairs are made for those lines alone that stay. So a group of copies costs as many comparisons as it has
+    lines; lines that share blocks and words with many others and are near none of them are compared with all of these.
+    """
+    lines, texts = _short(docs, unique)
+    # Numbered in the order of their places, so that the least number is the earliest.
+    numbered = saved(lines.select("id", "first").repartitionByRange("first").sortWithinPartitions("first").withColumn("at", F.monotonically_increasing_id()), "numbered")
+    out = numbered.join(gone.select("id"), "id", "left_semi").select("at")
+    texts_ = saved(texts.join(numbered.select("id", "at"), "id").select("at", "first", "words"), "texts")
+    dropped(texts, lines)
+    rows = saved(mapped(texts_.select("at", "words"), _grams, GRAMS), "grams")
+    facts = rows.groupBy("gram").agg(F.min("id").alias("earliest"), F.count("*").alias("held")).where("held > 1")
+    facts = saved(facts.withColumn("holders", F.col("held")), "holders")
+    met = saved(joined(rows, facts, "gram", rows.count()), "met")  # id, n, gram, blocks, earliest, holders
+    dropped(rows, facts)
+    one, other = texts_.selectExpr("at as id", "first as one_first", "words as one"), texts_.selectExpr("at as other", "first as other_first", "words as two")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs (id, other), the ids that are as near; lines of one place (rows that share a doc_id) are not before each other."""
+        both = pairs.join(one, "id").join(other, "other").where("other_first < one_first").select("id", "one", "two")
+        return saved(mapped(both, _similar, "id long").distinct(), "similar")
+
+    star = met.where("blocks > 0 and earliest < id").groupBy("id", "earliest").agg(F.sum("blocks").alias("n"))
+    star = star.groupBy("id").agg(F.max_by("earliest", F.struct("n", -F.col("earliest"))).alias("other")).join(out.select(F.col("at").alias("id")), "id", "left_anti")
+    first = near(star)
+    keep = saved(numbered.select(F.col("at").alias("id")).join(out.select(F.col("at").alias("id")).union(first), "id", "left_anti"), "keep")
+    lone = "n div 3 - sum(blocks) over (partition by id)"
+    rarer = "coalesce(sum(blocks) over (partition by id order by holders, gram rows between unbounded preceding and 1 preceding), 0)"
+    rarest = met.where("n >= 10 and blocks > 0").selectExpr("*", f"{lone} + {rarer} as before").where(f"before < n div 5 + {MATCHES}")
+    a = saved(rarest.selectExpr("gram", "id as a", "n as na", "blocks", f"{MATCHES} as need"), "rarest")
+    b = met.selectExpr("gram", "id as b", "n as nb")
+    alike = "nb <= na and nb >= na - na div 5"
+    later_a = a.join(keep.withColumnRenamed("id", "a"), "a", "left_semi").join(b, "gram").where(f"b < a and {alike}").selectExpr("a as id", "b as other", "a", "blocks", "need")
+    later_b = b.join(keep.withColumnRenamed("id", "b"), "b", "left_semi").join(a, "gram").where(f"a < b and {alike}").selectExpr("b as id", "a as other", "a", "blocks", "need")
+    pairs = later_a.unionByName(later_b).groupBy("id", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
+    rest = near(pairs.select("id", "other").distinct())
+    found = saved(first.union(rest).withColumnRenamed("id", "at").join(numbered.select("id", "at"), "at").select("id"), "gone")
+    dropped(met, a, keep, texts_, numbered, first, rest)
+    return found
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -459,7 +505,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     key_, id_, lines_, left_ = (fresh(docs, c) for c in ("text_key", "line_doc", "lines_gone", "text_left"))
     out = docs.withColumns({key_: F.xxhash64(F.col("text").cast("string")), id_: F.col("doc_id").cast("long")})
     out = out.alias("d").join(gone.alias("g"), F.col(f"d.{id_}").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{key_}") == F.col("g.text_key")), "left").select("d.*", F.col("g.lines").alias(lines_))
-    left = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda x, k: ~F.array_contains(F.col(lines_), k)), "\n")
+    # Parted once, as a variable; what stays is found by hash, so that a text of very many lines is gone through once.
+    kept = lambda c: F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col(lines_)), lambda k: F.get(c, k))
+    left = F.array_join(F.transform(F.array(F.split(F.col("text"), "\n", -1)), kept)[0], "\n")
     whole = F.col(lines_).isNull()
     out = out.withColumn(left_, F.when(whole, F.col("text")).otherwise(left)).where(whole | F.col(left_).rlike(r"\S"))
     made = {"text": F.col(left_)}

@@ -190,6 +190,48 @@ def test_edit_bound_follows_the_length(spark):
     assert len(gone) > 100
 
 
+def test_like_lines_cost_as_many_comparisons_as_lines(spark, monkeypatch):
+    """Lines that share most words and are near none, and copies with an edit or two: each is compared a few times."""
+    counts, kept = [], linededup.saved
+
+    def saved(df, name):
+        out = kept(df, name)
+        if name == "similar":
+            counts.append(compared.value)
+        return out
+
+    compared = spark.sparkContext.accumulator(0)
+    plain = linededup._similar
+
+    def counting(batches):
+        def told():
+            for b in batches:
+                compared.add(b.num_rows)
+                yield b
+
+        yield from plain(told())
+
+    monkeypatch.setattr(linededup, "_similar", counting)
+    monkeypatch.setattr(linededup, "saved", saved)
+    core = [f"c{k}" for k in range(40)]
+    for n in (60, 120):
+        before = compared.value
+        own = [" ".join([*core[:30], *(f"own{i}x{k}" for k in range(10))]) for i in range(n)]
+        assert linededup.deduplicated(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")).count() == n
+        assert compared.value - before <= 3 * n
+        before = compared.value
+        rng = random.Random(n)
+        copies = []
+        for _ in range(n):
+            w = list(core)
+            for k in rng.sample(range(40), 3):
+                w[k] = f"z{rng.randrange(9)}"
+            copies.append(" ".join(w))
+        # Each differs from the first in at most six words, which is within eight.
+        assert linededup.deduplicated(spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")).count() == 1
+        assert compared.value - before <= 3 * n
+
+
 def test_variants_meet_within_one_edit():
     rng = random.Random(7)
     for _ in range(300):
