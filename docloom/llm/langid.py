@@ -116,15 +116,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 30, rate: float = 2
     return LanguageModel(languages, code, full, b, trust / trust.mean())
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, learn=None) -> LanguageModel:
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, learn=None, sample_chars: int | None = SAMPLE_CHARS) -> LanguageModel:
     """Learn from text and non-null lang of the rows that ``learn`` admits (a Column; by default crc32 of doc_id mod 4 is not 2).
 
     The sample is bounded: of each language the ``rows_per_language`` rows first by a hash of doc_id, among texts of at
-    most ``SAMPLE_CHARS`` characters. Languages come from the data; more than ``MOST_LANGUAGES`` raise ValueError.
+    most ``sample_chars`` characters, the bound of the sample's bytes (None: any length). Texts of any length are predicted whole. Languages come from the data; more than ``MOST_LANGUAGES`` raise ValueError.
     """
     learn = learn if learn is not None else ~held_out(F.col("doc_id"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= SAMPLE_CHARS))
+    rows = rows.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows if sample_chars is None else rows.where(F.length("text") <= sample_chars)
     # The least hashes of each language are kept as (hash, id) pairs while aggregating; texts are fetched for those alone.
     cut = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(cut) > MOST_LANGUAGES:
