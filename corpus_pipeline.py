@@ -21,22 +21,26 @@ from docloom.llm._common import saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; null, empty and letterless texts go, repeated rows are treated alike."""
+    """Documents whose language is told; null, empty and letterless texts go, repeated rows are treated alike, very long texts are judged
+    whole, a tie of codewords is ambiguous, and columns with other names come along."""
     return langid.accepted(docs, langid.fit(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their repeated lines; null and empty texts stay, one that loses all its lines goes."""
+    """Documents less their repeated lines; null and empty texts stay, one that loses all its lines goes, a very long one is a document like any
+    other, and columns with other names come along."""
     return linededup.deduplicated(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; null and empty texts are one, rows that share only an id are different documents."""
+    """One document of each component; null and empty texts are one, rows that share only an id are different documents, very long texts
+    count whole, and columns with other names come along."""
     return simhash.one_of_each(docs, radius=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; null and empty texts hold none."""
+    """Documents that hold no benchmark item; null and empty texts hold none, very long texts are searched whole, repeated rows are treated
+    alike, and columns with other names come along."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
