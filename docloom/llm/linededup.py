@@ -13,6 +13,7 @@ line's earliest partner, and no group is ever expanded into pairs or gathered in
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -439,14 +440,14 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
     lines, texts = _short(docs, unique)
     # Numbered in the order of their places, so that the least number is the earliest.
     numbered = saved(lines.select("id", "first").repartitionByRange("first").sortWithinPartitions("first").withColumn("at", F.monotonically_increasing_id()), "numbered")
-    out = numbered.join(gone.select("id"), "id", "left_semi").select("at")
+    out = numbered.join(gone.select("id"), "id", "left_semi").selectExpr("at as id")
     texts_ = saved(texts.join(numbered.select("id", "at"), "id").select("at", "first", "words"), "texts")
     dropped(texts, lines)
-    rows = saved(mapped(texts_.select("at", "words"), _grams, GRAMS), "grams")
-    facts = rows.groupBy("gram").agg(F.min("id").alias("earliest"), F.count("*").alias("held")).where("held > 1")
+    blocks = saved(mapped(texts_.select("at", "words"), _grams, GRAMS).where("blocks > 0"), "blocks")
+    facts = blocks.groupBy("gram").agg(F.min("id").alias("earliest"), F.count("*").alias("held")).where("held > 1")
     facts = saved(facts.withColumn("holders", F.col("held")), "holders")
-    met = saved(joined(rows, facts, "gram", rows.count()), "met")  # id, n, gram, blocks, earliest, holders
-    dropped(rows, facts)
+    met = saved(joined(blocks, facts, "gram", blocks.count(), "left"), "met")  # id, n, gram, blocks, earliest, holders
+    dropped(blocks, facts)
     one, other = texts_.selectExpr("at as id", "first as one_first", "words as one"), texts_.selectExpr("at as other", "first as other_first", "words as two")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -454,23 +455,29 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
         both = pairs.join(one, "id").join(other, "other").where("other_first < one_first").select("id", "one", "two")
         return saved(mapped(both, _similar, "id long").distinct(), "similar")
 
-    star = met.where("blocks > 0 and earliest < id").groupBy("id", "earliest").agg(F.sum("blocks").alias("n"))
-    star = star.groupBy("id").agg(F.max_by("earliest", F.struct("n", -F.col("earliest"))).alias("other")).join(out.select(F.col("at").alias("id")), "id", "left_anti")
+    star = met.where("earliest < id").groupBy("id", "earliest").agg(F.sum("blocks").alias("n"))
+    star = star.groupBy("id").agg(F.max_by("earliest", F.struct("n", -F.col("earliest"))).alias("other")).join(out, "id", "left_anti")
     first = near(star)
-    keep = saved(numbered.select(F.col("at").alias("id")).join(out.select(F.col("at").alias("id")).union(first), "id", "left_anti"), "keep")
-    lone = "n div 3 - sum(blocks) over (partition by id)"
-    rarer = "coalesce(sum(blocks) over (partition by id order by holders, gram rows between unbounded preceding and 1 preceding), 0)"
-    rarest = met.where("n >= 10 and blocks > 0").selectExpr("*", f"{lone} + {rarer} as before").where(f"before < n div 5 + {MATCHES}")
-    a = saved(rarest.selectExpr("gram", "id as a", "n as na", "blocks", f"{MATCHES} as need"), "rarest")
-    b = met.selectExpr("gram", "id as b", "n as nb")
-    alike = "nb <= na and nb >= na - na div 5"
-    later_a = a.join(keep.withColumnRenamed("id", "a"), "a", "left_semi").join(b, "gram").where(f"b < a and {alike}").selectExpr("a as id", "b as other", "a", "blocks", "need")
-    later_b = b.join(keep.withColumnRenamed("id", "b"), "b", "left_semi").join(a, "gram").where(f"a < b and {alike}").selectExpr("b as id", "a as other", "a", "blocks", "need")
-    pairs = later_a.unionByName(later_b).groupBy("id", "other", "a").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
-    rest = near(pairs.select("id", "other").distinct())
-    found = saved(first.union(rest).withColumnRenamed("id", "at").join(numbered.select("id", "at"), "at").select("id"), "gone")
-    dropped(met, a, keep, texts_, numbered, first, rest)
-    return found
+    keep = saved(numbered.selectExpr("at as id").join(out.union(first), "id", "left_anti"), "keep")
+    # Of the longer line any d + k blocks will do, as long as none is left out for the other line's sake; the rarest make the fewest pairs.
+    before = "coalesce(sum(blocks) over (partition by id order by coalesce(holders, 1), gram rows between unbounded preceding and 1 preceding), 0)"
+    a = met.where("n >= 10").selectExpr("*", f"{before} as before").where(f"before < n div 5 + {MATCHES}")
+    a = saved(a.selectExpr("gram", "id as a", "n as na", "blocks", f"{MATCHES} as need"), "rarest")
+    dropped(met)
+    runs = lambda of: mapped(of.select("at", "words"), _grams, GRAMS).selectExpr("gram", "id as b", "n as nb")
+    alike, stays = "nb <= na and nb >= na - na div 5", keep.select("id")
+    later = [
+        a.join(stays.withColumnRenamed("id", "a"), "a", "left_semi").join(runs(texts_), "gram").where(f"b < a and {alike}").selectExpr("a as id", "b as other", "blocks", "need"),
+        a.join(runs(texts_.join(stays.withColumnRenamed("id", "at"), "at", "left_semi")), "gram").where(f"a < b and {alike}").selectExpr("b as id", "a as other", "blocks", "need"),
+    ]
+    found = [first]
+    for pairs in later:
+        pairs = pairs.groupBy("id", "other").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
+        found.append(near(pairs.select("id", "other")))
+        dropped(pairs)
+    out = saved(functools.reduce(DataFrame.union, found).withColumnRenamed("id", "at").join(numbered.select("id", "at"), "at").select("id").distinct(), "gone")
+    dropped(a, keep, texts_, numbered, *found)
+    return out
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
