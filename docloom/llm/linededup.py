@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm._common import dropped, fresh, joined, mapped, saved
@@ -29,11 +30,13 @@ LEAST_WORDS = 5
 #: Fewest words of a line that may be two edits from one of ten.
 LEAST_SIMILAR = 8
 #: Most words whose hashes a worker keeps; grams that it packs at once; grams a part should hold.
-MOST_WORDS, MOST_HELD, PART = 100_000, 500_000, 1_000_000
+MOST_WORDS, MOST_HELD, PART = 60_000, 250_000, 500_000
 #: How often lines that others rule out are put aside; each time the rest hold fewer blocks in common.
 ROUNDS = 2
 #: Blocks that must be met, in SQL: whatever the d edits, so many of d + so many are whole.
-MATCHES = "least(3, n div 3 - n div 5)"
+MATCHES = "least(8, n div 3 - n div 5)"
+#: Lines that each line is compared with before pairs are made.
+FIRST = 6
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -432,8 +435,8 @@ def _short(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataFrame:
     """The lines (of ten words or more) that go, besides ``gone``, for an earlier one at most a fifth of the longer one's words away.
 
-    Lines are compared if one holds k of the longer one's d + k rarest blocks (k is 3, or as many as there are). First each with one
-    line only: of the earliest holders of its blocks the one that it shares most with, which is where most of a group of
+    Lines are compared if one holds k of the longer one's d + k rarest blocks (k is 8, or as many as there are). First each with a
+    few lines only: of the earliest holders of its blocks those that it shares most with, which is where most of a group of
     copies go. Then pairs are made for those lines alone that stay. So a group of copies costs as many comparisons as it has
     lines; lines that share blocks and words with many others and are near none of them are compared with all of these.
     """
@@ -456,8 +459,9 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
         return saved(mapped(both, _similar, "id long").distinct(), "similar")
 
     star = met.where("earliest < id").groupBy("id", "earliest").agg(F.sum("blocks").alias("n"))
-    star = star.groupBy("id").agg(F.max_by("earliest", F.struct("n", -F.col("earliest"))).alias("other")).join(out, "id", "left_anti")
-    first = near(star)
+    best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "earliest"))
+    star = star.join(out, "id", "left_anti").withColumn("turn", best).where(F.col("turn") <= FIRST)
+    first = near(star.select("id", F.col("earliest").alias("other")))
     keep = saved(numbered.selectExpr("at as id").join(out.union(first), "id", "left_anti"), "keep")
     # Of the longer line any d + k blocks will do, as long as none is left out for the other line's sake; the rarest make the fewest pairs.
     before = "coalesce(sum(blocks) over (partition by id order by coalesce(holders, 1), gram rows between unbounded preceding and 1 preceding), 0)"
