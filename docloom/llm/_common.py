@@ -73,11 +73,11 @@ def _fs(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
+def saved(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here. ``codec``: where not the session's."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
     return out

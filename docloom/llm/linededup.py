@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm._common import dropped, fresh, joined, mapped, saved
+from docloom.llm import _common
+from docloom.llm._common import dropped, fresh, joined, mapped
 
 #: Lines of fewer words have no edits to spare (one edit in five is a similarity of 0.8): only equal ones can repeat.
 LEAST_WORDS = 5
@@ -45,6 +46,11 @@ _BASES = (_B, np.uint64(0xD1342543DE82EF95))
 MOST_VARIANTS = 200_000
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """These tables are many at once, so they are packed more tightly than others."""
+    return _common.saved(df, name, "zstd")
+
+
 def key(*parts: bytes) -> int:
     return xxhash.xxh64_intdigest(b"\x00".join(parts), 17) - (1 << 63)
 
