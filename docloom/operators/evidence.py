@@ -91,9 +91,11 @@ def stored_previews(hits: DataFrame, paragraphs: DataFrame, texts: DataFrame, ar
 
     The first paragraph of a hit is the one that holds its start, counting the gap before each as its own, and the last is the one
     that holds its last character, counting the gap behind; each is looked up by place, and knows its neighbours. Only
-    paragraphs of documents with hits are looked at, and no document's paragraphs are gathered.
+    paragraphs of documents with hits are looked at, and no document's paragraphs are gathered. What is looked up comes back to the
+    hits by the place itself: numbers given to rows would differ between the reads of ``hits``.
     """
-    named = hits.select("doc_id", "chunk_index", "char_start", "char_end", F.col("page_no").alias("hit_page"), "quote").withColumn("hit", F.monotonically_increasing_id())
+    place = ["doc_id", "char_start", "char_end"]
+    named = hits.select("doc_id", "chunk_index", "char_start", "char_end", F.col("page_no").alias("hit_page"), "quote")
     w = W.partitionBy("doc_id").orderBy("index")
     p = paragraphs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "index", "start", "end", "page_no")
     neighbours = {}
@@ -101,10 +103,10 @@ def stored_previews(hits: DataFrame, paragraphs: DataFrame, texts: DataFrame, ar
         neighbours |= {f"s{k}": F.lag("start", k).over(w), f"p{k}": F.lag("page_no", k).over(w), f"e{k}": F.lead("end", k).over(w), f"q{k}": F.lead("page_no", k).over(w)}
     p = p.withColumns(neighbours | {"since": F.coalesce(F.lag("end").over(w), F.lit(0)), "until": F.coalesce(F.lead("start").over(w), F.col("end"))})
     whole = p.groupBy("doc_id").agg(F.max("end").alias("doc_end"))
-    places = named.join(whole, "doc_id").withColumns({"from_": F.least(F.col("char_start"), F.col("doc_end") - 1), "to_": F.least(F.greatest(F.col("char_end") - 1, F.col("char_start")), F.col("doc_end") - 1)})
-    first = at_place(places.select("doc_id", "hit", "from_"), p, "from_", "since", "end", bin_chars).select("hit", F.struct(*p.columns).alias("a"))
-    last = at_place(places.select("doc_id", "hit", "to_"), p, "to_", "start", "until", bin_chars).select("hit", F.struct(*p.columns).alias("b"))
-    rows = named.join(first, "hit", "left").join(last, "hit", "left").join(texts.select("doc_id", "raw_text"), "doc_id", "left")
+    places = named.select(*place).distinct().join(whole, "doc_id").withColumns({"from_": F.least(F.col("char_start"), F.col("doc_end") - 1), "to_": F.least(F.greatest(F.col("char_end") - 1, F.col("char_start")), F.col("doc_end") - 1)})
+    first = at_place(places.select(*place, "from_"), p, "from_", "since", "end", bin_chars).select(*place, F.struct(*p.columns).alias("a"))
+    last = at_place(places.select(*place, "to_"), p, "to_", "start", "until", bin_chars).select(*place, F.struct(*p.columns).alias("b"))
+    rows = named.join(first, place, "left").join(last, place, "left").join(texts.select("doc_id", "raw_text"), "doc_id", "left")
     rows = rows.withColumn("b", F.when(F.col("b.index") >= F.col("a.index"), F.col("b")).otherwise(F.col("a")))
     start, end, back, on = F.col("a.start"), F.col("b.end"), F.lit(True), F.lit(True)
     same = lambda c: F.col("hit_page").isNull() | F.col(c).eqNullSafe(F.col("hit_page"))
