@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,17 +33,30 @@ ASKED, NEIGHBOURS, TARGET = 200, 10, 0.97
 MOST_REFINED = 640
 #: Queries of one pass over the lists, and deletions that are broadcast; more are joined by shuffle.
 BLOCK, BROADCAST_ROWS = 1024, 500_000
+#: Most keys of codes to be refined that are broadcast.
+BROADCAST_KEYS = 200_000
 #: The list of what has no direction: null, zero or not finite vectors, and those of another length. It is never read.
 NOWHERE = -1
+#: Rows whose distances from all centres are in memory at once.
+ROWS = 4096
+
+
+def _near(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest centre of each row, half its squared distance less half the row's own), a block of rows at a time."""
+    near, gap, own = np.zeros(len(x), np.int64), np.zeros(len(x)), (at**2).sum(1) / 2
+    for s in range(0, len(x), ROWS):
+        d = own - x[s : s + ROWS] @ at.T
+        near[s : s + ROWS] = d.argmin(1)
+        gap[s : s + ROWS] = d.min(1)
+    return near, gap
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """Lloyd's rounds from rows drawn at random; a centre that loses all its rows takes one of the farthest."""
     at = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(np.float64)
     for _ in range(ROUNDS):
-        gap = (at**2).sum(1) - 2 * x @ at.T
-        near = gap.argmin(1)
-        far = np.argsort(-gap[np.arange(len(x)), near])
+        near, gap = _near(x, at)
+        far = np.argsort(-gap)
         for c, n in enumerate(np.bincount(near, minlength=len(at))):
             at[c] = x[near == c].mean(0) if n else x[far[c % len(far)]]
     return at.astype(np.float32)
@@ -64,14 +78,14 @@ class Model:
     def fit(cls, x: np.ndarray, lists: int, parts: int, seed: int) -> Model:
         rng = np.random.default_rng(seed)
         centres = _means(x, lists, rng)
-        rest = x - centres[(x @ centres.T - (centres**2).sum(1) / 2).argmax(1)]
+        rest = x - centres[_near(x, centres)[0]]
         return cls(centres, [_means(rest[:, r], VALUES, rng) for r in np.array_split(np.arange(x.shape[1]), min(parts, x.shape[1]))])
 
     def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, code) of unit vectors."""
-        near = (x @ self.centres.T - (self.centres**2).sum(1) / 2).argmax(1)
+        near = _near(x, self.centres)[0]
         rest = x - self.centres[near]
-        codes = [((b**2).sum(1) - 2 * rest[:, r] @ b.T).argmin(1) for r, b in zip(self.runs(), self.books, strict=True)]
+        codes = [_near(rest[:, r], b)[0] for r, b in zip(self.runs(), self.books, strict=True)]
         return near, np.stack(codes, 1).astype(np.uint8)
 
     def dumped(self) -> bytes:
@@ -182,9 +196,13 @@ def build(vectors: DataFrame, path: str, lists: int | None = None, parts: int =
     spark, key = vectors.sparkSession, [c for c in ("doc_id", "chunk_index") if c in vectors.columns]
     store, total = Store(spark, path), vectors.count()
     some = vectors.where("embedding is not null").select("embedding")
-    drawn = (some.sample(fraction=min(1.0, 1.2 * sample / total), seed=seed) if total > sample else some).limit(sample).collect()
-    dim = max((len(r.embedding) for r in drawn), default=1)
-    x, good = unit([r.embedding for r in drawn], dim)
+    drawn = (some.sample(fraction=min(1.0, 1.2 * sample / total), seed=seed) if total > sample else some).limit(sample).toArrow()
+    # Columns of numbers: as Python's objects the sample would take eight times as much of the driver's memory.
+    dim = max(pc.max(pc.list_value_length(drawn.column(0))).as_py() or 0, 1) if len(drawn) else 1
+    parts_ = [unit(b.column(0).to_pylist(), dim) for b in drawn.to_batches(max_chunksize=ROWS)]
+    x = np.concatenate([u for u, _ in parts_]) if parts_ else np.zeros((0, dim), np.float32)
+    good = np.concatenate([g for _, g in parts_]) if parts_ else np.zeros(0, bool)
+    del drawn, parts_
     x = x[good] if good.any() else np.eye(1, dim, dtype=np.float32)
     model = Model.fit(x, min(lists or max(1, int(total**0.5)), MOST_LISTS, len(x)), parts, seed)
     folder = store.written(spark.createDataFrame([(model.dumped(),)], "model binary"), "model")
@@ -240,8 +258,6 @@ def updated(index: VectorIndex, put: DataFrame | None = None, gone: DataFrame |
 
 def _ranked(model: Model, queries: np.ndarray, probed: list[set[int]], key: list[str], keep: int):
     """In each task: the ``keep`` best codes of each query among the rows that it sees, by looked-up inner products."""
-    tables = [queries[:, r] @ b.T for r, b in zip(model.runs(), model.books, strict=True)]
-    near = queries @ model.centres.T
     of_list: dict[int, np.ndarray] = {}
     for q, lists in enumerate(probed):
         for c in lists:
@@ -249,11 +265,13 @@ def _ranked(model: Model, queries: np.ndarray, probed: list[set[int]], key: list
     of_list = {c: np.array(qs) for c, qs in of_list.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.float32), []) for _ in queries]
+        tables = [queries[:, r] @ b.T for r, b in zip(model.runs(), model.books, strict=True)]  # made here: they are much more than what they are made of
+        near = queries @ model.centres.T
+        best = [(np.zeros(0, np.float32), np.zeros((0, len(key) + 1), np.int64)) for _ in queries]
         for batch in batches:
             held = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             codes = np.frombuffer(b"".join(batch.column(len(key)).to_pylist()), np.uint8).reshape(-1, len(model.books))
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(len(key))), strict=True))
+            names = np.stack([*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(key))), held.astype(np.int64)], 1)
             for c in np.unique(held):
                 qs, at = of_list.get(int(c)), np.flatnonzero(held == c)
                 if qs is None:
@@ -261,12 +279,12 @@ def _ranked(model: Model, queries: np.ndarray, probed: list[set[int]], key: list
                 s = near[qs, c][:, None] + sum(t[qs][:, codes[at, m]] for m, t in enumerate(tables))
                 for q, row in zip(qs, s, strict=True):
                     top = np.argpartition(-row, min(keep, len(row)) - 1)[:keep]
-                    scores, ids = np.concatenate([best[q][0], row[top]]), best[q][1] + [(names[at[k]], int(c)) for k in top]
+                    scores, ids = np.concatenate([best[q][0], row[top]]), np.concatenate([best[q][1], names[at[top]]])
                     order = np.argsort(-scores, kind="stable")[:keep]
-                    best[q] = scores[order], [ids[k] for k in order]
-        rows = [(q, float(s), name, c) for q, (scores, ids) in enumerate(best) for s, (name, c) in zip(scores, ids, strict=True)]
-        cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float32()), pa.array([r[3] for r in rows], pa.int32())]
-        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([r[2][k] for r in rows]).cast(pa.int64()) for k in range(len(key)))], ["q", "approx", "list", *key])
+                    best[q] = scores[order], ids[order]
+        for q, (scores, ids) in enumerate(best):
+            cols = [pa.array(np.full(len(scores), q, np.int32)), pa.array(scores.astype(np.float32)), pa.array(ids[:, -1].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(ids[:, k]) for k in range(len(key)))], ["q", "approx", "list", *key])
 
     return run
 
@@ -286,8 +304,9 @@ def _block(index: VectorIndex, queries: list[tuple], k: int, probes: int, refine
     found = codes.select(*key, "code", "list").mapInArrow(_ranked(index.model, x, probed, key, k * refined), "q int, approx float, list int, " + ", ".join(f"{c} long" for c in key))
     w = W.partitionBy("q").orderBy(F.desc("approx"), *key)
     best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k * refined).drop("rank", "approx")
-    # At most BLOCK x k x refined keys: broadcast, so that the lists' vectors stay where they are.
-    rows = vectors.join(F.broadcast(best.join(F.broadcast(asked), "q")), ["list", *key])
+    # At most BLOCK x k x refined keys. Few are broadcast, without their queries' vectors; else the lists' vectors are dealt out with them.
+    few = len(queries) * k * refined <= BROADCAST_KEYS
+    rows = vectors.join(F.broadcast(best) if few else best.hint("shuffle_hash"), ["list", *key]).join(F.broadcast(asked), "q")
     rows = rows.withColumn("distance", dense.distance(F.col("embedding"), F.col("probe")))
     w = W.partitionBy("query").orderBy("distance", *key)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", *key, "distance")
