@@ -91,7 +91,12 @@ def dropped(*frames: DataFrame) -> None:
             where, fs = _fs(df.sparkSession, path)
             fs.delete(where, True)
     if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
+        unreferenced(frames[0].sparkSession)
+
+
+def unreferenced(spark: SparkSession) -> None:
+    """Let the driver see which shuffles nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def joined(rows: DataFrame, facts: DataFrame, on: str | list[str], total: int, how: str = "inner") -> DataFrame:

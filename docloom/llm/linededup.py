@@ -47,8 +47,11 @@ MOST_VARIANTS = 200_000
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """These tables are many at once, so they are packed more tightly than others."""
-    return _common.saved(df, name, "zstd")
+    """These tables are many at once, so they are packed more tightly than others. What was shuffled for one goes before the next is made:
+    the shuffles of two neighbouring steps together take several times the disk of the input."""
+    out = _common.saved(df, name, "zstd")
+    _common.unreferenced(df.sparkSession)
+    return out
 
 
 def key(*parts: bytes) -> int:
@@ -379,8 +382,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, first, words) of the lines ``wanted`` (id, line, first), once each."""
     small = wanted.count() <= BROADCAST_ROWS
     texts = mapped(_keyed(docs), _wanted_texts, TEXTS).withColumn("first", order_of())
-    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"]).select("id", "first", "words").dropDuplicates(["id"])
-    return saved(texts, "texts")
+    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"]).dropDuplicates(["line", "first"])  # as joined, so not shuffled again
+    return saved(texts.select("id", "first", "words"), "texts")
 
 
 def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -417,7 +420,7 @@ def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _short(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines (id, first, n, tag) that can have a partner beyond one edit, and their texts.
+    """The lines (id, first, n, tag) that can have a partner beyond one edit, and the texts of these and of some others.
 
     Of any d + 1 disjoint blocks of three words of a line, one is whole in every line within d edits of it. The longer line
     of n words has d at most n // 5; a line's longest partner has at most 5/4 of its words, so d is at most n // 4 as seen
@@ -432,9 +435,11 @@ def _short(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
         dealt = mapped(_keyed(docs) if texts is None else texts, _dealt(parts, "text" if texts is None else "words", runs), "part int, kind int, data binary")
         shared = mapped(dealt.repartitionById(parts, "part"), _shared, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
         old, lines = (lines, texts), saved(lines.join(shared, "tag").where(few).select("id", "line", "first", "n", "tag"), "short_of_blocks")
-        wanted = lines.select("id", "line", "first")
-        texts = _texts(docs, wanted) if texts is None else saved(texts.join(wanted.select("id"), "id", "left_semi"), "texts")
-        dropped(*filter(None, old))
+        dropped(old[0])
+        if runs is single:  # the last: it rules out few lines, whose texts the caller's join leaves out
+            break
+        texts = _texts(docs, lines.select("id", "line", "first")) if texts is None else saved(texts.join(lines.select("id"), "id", "left_semi"), "texts")
+        dropped(*filter(None, old[1:]))
     return lines, texts
 
 
@@ -467,7 +472,9 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
     star = met.where("earliest < id").groupBy("id", "earliest").agg(F.sum("blocks").alias("n"))
     best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "earliest"))
     star = star.join(out, "id", "left_anti").withColumn("turn", best).where(F.col("turn") <= FIRST)
-    first = near(star.select("id", F.col("earliest").alias("other")))
+    star = saved(star.select("id", F.col("earliest").alias("other")), "star")
+    first = near(star)
+    dropped(star)
     keep = saved(numbered.selectExpr("at as id").join(out.union(first), "id", "left_anti"), "keep")
     # Of the longer line any d + k blocks will do, as long as none is left out for the other line's sake; the rarest make the fewest pairs.
     before = "coalesce(sum(blocks) over (partition by id order by coalesce(holders, 1), gram rows between unbounded preceding and 1 preceding), 0)"
@@ -481,9 +488,10 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
         a.join(runs(texts_.join(stays.withColumnRenamed("id", "at"), "at", "left_semi")), "gram").where(f"a < b and {alike}").selectExpr("b as id", "a as other", "blocks", "need"),
     ]
     found = [first]
-    for pairs in later:
+    for pairs in later:  # written first: the grams that were shuffled for them are gone when their texts are
         pairs = pairs.groupBy("id", "other").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
-        found.append(near(pairs.select("id", "other")))
+        pairs = saved(pairs.select("id", "other"), "pairs")
+        found.append(near(pairs))
         dropped(pairs)
     out = saved(functools.reduce(DataFrame.union, found).withColumnRenamed("id", "at").join(numbered.select("id", "at"), "at").select("id").distinct(), "gone")
     dropped(a, keep, texts_, numbered, *found)
