@@ -190,20 +190,26 @@ DOCUMENTS = ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in DOCUMENT)
 FACTS = ["title", "parse_status", "category", "tags", "sensitivity"]
 
 
-def parsed_once(store: Store, contents: DataFrame | None = None, config: dict | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+def parsed_once(store: Store, contents: DataFrame | None = None, config: dict | None = None, folders: list[str] | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
     """A ``parse`` for ``incremental``: files are read (from ``contents``: path, content; else from their mounted folder), parsed and chunked by the
-    tasks that have them, once: what comes of it is written, and facts, chunks, audit and counts all read that."""
+    tasks that have them, once: what comes of it is written, and facts, chunks, audit and counts all read that. ``folders`` gets what was
+    written, to be deleted when these have been made."""
 
     def parse(todo: DataFrame) -> tuple[DataFrame, DataFrame]:
-        spark = store.spark
-        named = spark.read.parquet(store.written(todo.select("doc_id", "path", "file_type").withColumn("row", F.monotonically_increasing_id()), "todo"))
+        spark, folders_ = store.spark, [] if folders is None else folders
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            folders_.append(store.written(df, name))
+            return spark.read.parquet(folders_[-1])
+
+        named = written(todo.select("doc_id", "path", "file_type").withColumn("row", F.monotonically_increasing_id()), "todo")
         rows = named.select(F.col("row").alias("doc_id"), "path", "file_type")
         if contents is not None:
             rows = rows.join(contents.select("path", "content"), "path", "left").withColumn("error_code", F.when(F.col("content").isNull(), "io_error"))
         else:
             rows = files.read_files(rows)
-        parsed = spark.read.parquet(store.written(files.parsed(rows), "parsed"))
-        made = spark.read.parquet(store.written(chunking.chunks(parsed, **(config or {})), "made"))
+        parsed = written(files.parsed(rows), "parsed")
+        made = written(chunking.chunks(parsed, **(config or {})), "made")
         of = named.select("row", F.col("doc_id").alias("name"))
         facts = parsed.join(of, F.col("doc_id") == F.col("row")).select(F.col("name").alias("doc_id"), *FACTS)
         return facts, made.join(of, F.col("doc_id") == F.col("row")).drop("doc_id", "row").withColumnRenamed("name", "doc_id")
@@ -216,14 +222,18 @@ def committed_run(store: Store, scanned: DataFrame, now: Column, trace: str, con
 
     Readers see all of a run or nothing; of two runs from the same generation one gets ``Conflict``. ``vectors`` makes
     a bundle of the active chunks and returns its folder; it is part of the same generation, so that vectors never lag behind.
+    Parsed texts and new chunks are written on the way and deleted when the run ends, committed or not.
     """
-    spark, base = store.spark, store.latest()
+    spark, base, folders = store.spark, store.latest(), []
     table = lambda name, schema: spark.read.schema(schema).parquet(base.tables[name]) if name in base.tables else spark.createDataFrame([], schema)
     docs, chunks, logs = table("documents", DOCUMENTS), table("chunks", CHUNKS), table("audit", AUDIT)
-    run = incremental(docs, chunks, scanned, parsed_once(store, contents, config), now, trace, errors, force)
-    tables = {"documents": store.written(run.docs.select(*DOCUMENT), "documents"), "chunks": store.written(run.chunks, "chunks"), "audit": store.written(logs.unionByName(tx.redacted_rows(run.audit)), "audit")}
-    counts = {r.status: r.n for r in run.counts.collect()}  # a row for each status
-    if vectors is not None:
-        written = spark.read.parquet(tables["documents"])
-        tables["vectors"] = vectors(active_chunks(spark.read.parquet(tables["chunks"]), written))
-    return store.commit(base, base.tables | tables, base.facts | {"run": trace, "counts": counts})
+    try:
+        run = incremental(docs, chunks, scanned, parsed_once(store, contents, config, folders), now, trace, errors, force)
+        tables = {"documents": store.written(run.docs.select(*DOCUMENT), "documents"), "chunks": store.written(run.chunks, "chunks"), "audit": store.written(logs.unionByName(tx.redacted_rows(run.audit)), "audit")}
+        counts = {r.status: r.n for r in run.counts.collect()}  # a row for each status
+        if vectors is not None:
+            written = spark.read.parquet(tables["documents"])
+            tables["vectors"] = vectors(active_chunks(spark.read.parquet(tables["chunks"]), written))
+        return store.commit(base, base.tables | tables, base.facts | {"run": trace, "counts": counts})
+    finally:
+        store.removed(folders)

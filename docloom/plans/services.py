@@ -168,6 +168,7 @@ def incremental_files(spark, sf_dir):
     later = later.withColumn("path", F.coalesce("onto", "path")).withColumn("text", F.when(F.col("n") % 10 == 4, F.concat(F.lit("Anew "), "text")).when(F.col("n") % 10 == 8, F.concat(F.lit("no zip "), "text")).otherwise(F.col("text")))
     kind = F.when(F.col("n") % 10 == 8, "docx").otherwise(F.regexp_extract("path", "([a-z]+)$", 1))
     run(later.withColumn("file_type", kind).drop("onto"), "second")
+    store.pruned(keep=1, grace=0.0)  # this folder has one writer, and nothing reads the first run any more
     first = store.table("chunks").groupBy("doc_id").agg(F.min_by("text", "chunk_index").startswith("Anew ").alias("anew"))
     got = store.table("documents").join(first, "doc_id", "left")
     return got.select(F.regexp_replace("file_identity", "id:", "f").alias("file"), "path", "is_deleted", "parse_status", F.when(F.col("anew"), "new").when(~F.col("anew"), "old").otherwise("none").alias("chunks"))

@@ -76,10 +76,18 @@ class Store:
         return f"{self.root}/data/{name}-{uuid.uuid4().hex}"
 
     def written(self, df: DataFrame, name: str) -> str:
+        """Written to a new folder. Executors delete what was shuffled for it once the driver has collected what refers to it."""
         path = self.folder(name)
         df.write.parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         return path
 
+    def removed(self, folders: list[str]) -> None:
+        """Delete folders that no manifest names and nothing reads any more."""
+        for path in folders:
+            where, fs = self._path(path)
+            fs.delete(where, True)
+
     def commit(self, base: Manifest, tables: dict[str, str], facts: dict | None = None) -> Manifest:
         """The generation after ``base``. Conflict if there is one already."""
         new = Manifest(base.generation + 1, tables, facts or {}, time.time())
