@@ -30,16 +30,20 @@ CAPACITY = 2048
 ROUNDS, RAISE, REST = 12, 2e-3, 0.06
 #: The same, where no pattern fills a sequence any more.
 SPARE = 0.1
-#: Most words that a worker keeps encoded.
-MOST_WORDS = 300_000
+#: Most words that a worker keeps encoded before they become the older half of what it keeps.
+MOST_WORDS = 150_000
+#: Below this, lower case maps letter to letter and every text is in composed form.
+PLAIN = "\u0130"
 #: Pieces of a length that one task numbers, at least, and most shares of the numbering beyond one a length.
 TURN, MOST_SHARES = 500, 65_536
 
+_PACKED = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder(dict):
-    """Little-endian ids of the words between white space, each encoded when first seen.
+    """Little-endian ids of the words between white space, each encoded when first seen. When full, the words become the older half; of
+    these, those that are used again come along.
 
     The vocabulary's pre-tokens never span white space, and its normalisation (composed form, lower case) never looks
     across it, so a text's ids are those of its words in turn.
@@ -51,24 +55,28 @@ class WordEncoder(dict):
         self.model = self.library.model.tokenize
         special = [regex.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
         self.marks = regex.compile("|".join(special) or r"(?!)").search
+        self.older: dict[str, bytes] = {}
         self.letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MOST_WORDS:
+            self.older = dict(self)
             self.clear()
         core = word[:-1]
-        if word[-1:] in (".", ",") and core.isalpha():
+        if (got := self.older.get(word)) is not None:
+            pass
+        elif word[-1:] in (".", ",") and core.isalpha():
             got = self[core] + self[word[-1]]
         elif not word.isalnum() and self.marks(word):
             got = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            plain = word.lower() if word.isascii() else self.library.normalizer.normalize_str(word)
+            plain = word.lower() if word.isascii() or max(word) < PLAIN else self.library.normalizer.normalize_str(word)
             ids: list[int] = []
             for piece in (plain,) if plain.isalpha() else _PRETOKEN.findall(plain):
                 if not piece.isascii():
                     piece = "".join(map(self.letters.__getitem__, piece.encode()))
                 ids += [t.id for t in self.model(piece)]
-            got = struct.pack(f"<{len(ids)}I", *ids)
+            got = _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else struct.pack(f"<{len(ids)}I", *ids)
         if len(word) < 64:
             self[word] = got
         return got
