@@ -31,6 +31,8 @@ from docloom.llm._common import fresh, id_and_text, mapped
 MARK = "▁"
 #: Words and pairs that a worker keeps before it starts afresh, and the longest word that is kept.
 MOST_WORDS, MOST_PAIRS, LONGEST_KEPT = 120_000, 500_000, 48
+#: The longest text whose table is a list.
+LONGEST_LIST = 4096
 _PARTS = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -111,7 +113,8 @@ class PrefixTable:
 
     def tokens(self, text: str) -> list[int]:
         """Fill the table of last tokens from left to right, then follow it backwards."""
-        last, size = array("q", bytes(8 * len(text))), bytearray(len(text))
+        # A list is read faster than an array, but takes more memory.
+        last, size = [0] * len(text) if len(text) <= LONGEST_LIST else array("q", bytes(8 * len(text))), bytearray(len(text))
         pairs, done = self.pairs, -1  # every place up to ``done`` is filled
         for end, (token, n) in self.automaton.iter(text):
             if size[end]:
@@ -122,7 +125,8 @@ class PrefixTable:
             if at < 0 or (known := pairs.get((last[at] << 16) + token)) or known is None and self.may_follow(last[at], token):
                 last[end], size[end] = token, n
                 done = end
-        self._unknown(text, last, size, done + 1, len(text))
+        if done < len(text) - 1:
+            self._unknown(text, last, size, done + 1, len(text))
         out, at = [], len(text) - 1
         while at >= 0:
             out.append(last[at])
@@ -131,7 +135,7 @@ class PrefixTable:
         return out
 
     @staticmethod
-    def _unknown(text: str, last: array, size: bytearray, start: int, end: int) -> None:
+    def _unknown(text: str, last: array | list[int], size: bytearray, start: int, end: int) -> None:
         for k in range(start, end):
             if not size[k]:
                 last[k], size[k] = -1 - ord(text[k]), 1
