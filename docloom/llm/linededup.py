@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm import _common
-from docloom.llm._common import dropped, fresh, joined, mapped
+from docloom.llm._common import dropped, fresh, mapped
 
 #: Lines of fewer words have no edits to spare (one edit in five is a similarity of 0.8): only equal ones can repeat.
 LEAST_WORDS = 5
@@ -54,6 +54,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks if it has at most BROADCAST_ROWS rows: what it is joined with is not shuffled then."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def joined(rows: DataFrame, facts: DataFrame, on: str | list[str], total: int, how: str = "inner") -> DataFrame:
+    """``_common.joined``, but facts of at most BROADCAST_ROWS rows are all looked up where the rows are."""
+    if facts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts.drop("held")), on, how)
+    return _common.joined(rows, facts, on, total, how)
+
+
 def key(*parts: bytes) -> int:
     return xxhash.xxh64_intdigest(b"\x00".join(parts), 17) - (1 << 63)
 
@@ -380,9 +392,8 @@ def place_of(column: str) -> tuple[F.Column, F.Column]:
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, first, words) of the lines ``wanted`` (id, line, first), once each."""
-    small = wanted.count() <= BROADCAST_ROWS
     texts = mapped(_keyed(docs), _wanted_texts, TEXTS).withColumn("first", order_of())
-    texts = texts.join(F.broadcast(wanted) if small else wanted, ["line", "first"]).dropDuplicates(["line", "first"])  # as joined, so not shuffled again
+    texts = texts.join(small(wanted), ["line", "first"]).dropDuplicates(["line", "first"])  # as joined, so not shuffled again
     return saved(texts.select("id", "first", "words"), "texts")
 
 
@@ -397,11 +408,11 @@ def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     halves = unique.select("id", F.explode(F.array(*keys)).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("held")).where("a <> b")
     shared = saved(shared.select("half", "held"), "shared")
-    wanted = joined(halves, shared, "half", 4 * unique.count()).select("id").distinct()
-    wanted = saved(wanted.join(unique.select("id", "line", "first"), "id"), "wanted")
+    ids = saved(joined(halves, shared, "half", 4 * unique.count()).select("id").distinct(), "ids")
+    wanted = saved(unique.select("id", "line", "first").join(small(ids), "id"), "wanted")
     texts = _texts(docs, wanted)
     rows = saved(mapped(texts, _variants, VARIANTS), "variants")
-    dropped(shared, wanted)
+    dropped(shared, ids, wanted)
     joint = rows.groupBy("variant").agg(
         F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("held"),
         F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("less"),
@@ -412,10 +423,11 @@ def _by_one_edit(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     same = saved(both.where("place >= 0").groupBy("variant", "place").agg(F.min("first").alias("same"), F.count("*").alias("held")), "same")
     near = joined(both.where("place >= 0"), same, ["variant", "place"], both.count()).select("id", "first", F.least("whole", "same").alias("near"))
     near = near.unionByName(both.where("place < 0").select("id", "first", F.col("less").alias("near")))
-    near = near.where("near < first").groupBy("id").agg(F.min("near").alias("near"))
-    pairs = near.join(texts.select("id", F.col("words").alias("one")), "id").join(texts.select(F.col("first").alias("near"), F.col("words").alias("other")), "near")
-    near = saved(mapped(pairs.select("id", "near", "one", "other"), _verified, "id long, near decimal(38,0)"), "near")
-    dropped(both, same, texts)
+    # Written first: a table whose size is known is sent to the texts, where these would be shuffled twice.
+    near = saved(near.where("near < first").groupBy("id").agg(F.min("near").alias("near")), "found")
+    pairs = texts.select("id", F.col("words").alias("one")).join(small(near), "id").join(texts.select(F.col("first").alias("near"), F.col("words").alias("other")), "near")
+    found, near = near, saved(mapped(pairs.select("id", "near", "one", "other"), _verified, "id long, near decimal(38,0)"), "near")
+    dropped(both, same, texts, found)
     return lines, unique, near
 
 
@@ -498,6 +510,11 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
     return out
 
 
+def _kept(unique: DataFrame, near: DataFrame) -> DataFrame:
+    """(line, first, held, near) of the lines that have a row to lose: a line of one row goes only for one near it."""
+    return unique.select("id", "line", "first", "held").join(small(near), "id", "left").drop("id").where("held > 1 or near is not null")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """One row for each line that goes: (doc_id, text_key, line_no, kept_doc_id, kept_line_no, edits).
 
@@ -508,7 +525,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     last; null and empty texts have no lines; a very long line is a line like any other.
     """
     lines, unique, near = _by_one_edit(docs)
-    kept = saved(unique.select("id", "line", "first", "held").join(near, "id", "left").drop("id"), "kept")
+    kept = saved(_kept(unique, near), "kept")
     gone = joined(lines, kept, "line", lines.count()).where("place > first or near is not null")
     gone = gone.withColumn("best", F.least("first", "near"))
     doc, line_no = place_of("best")
@@ -525,7 +542,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     stays as it is. Rows that repeat a doc_id and text are treated alike. Null and empty texts stay; so does an empty table."""
     lines, unique, near = _by_one_edit(docs)
     similar = near.select("id").union(_by_similarity(docs, unique, near)).select("id", F.lit(True).alias("similar"))
-    marked = saved(unique.select("id", "line", "first", "held").join(similar, "id", "left").drop("id"), "marked")
+    marked = unique.select("id", "line", "first", "held").join(small(similar), "id", "left").drop("id").where("held > 1 or similar")
+    marked = saved(marked, "marked")
     gone = joined(lines, marked, "line", lines.count()).where("place > first or similar").groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("lines"))
     key_, id_, lines_, left_ = (fresh(docs, c) for c in ("text_key", "line_doc", "lines_gone", "text_left"))
     out = docs.withColumns({key_: F.xxhash64(F.col("text").cast("string")), id_: F.col("doc_id").cast("long")})
