@@ -34,10 +34,12 @@ LEAST_SIMILAR = 8
 MOST_WORDS, MOST_HELD, PART = 60_000, 250_000, 500_000
 #: How often lines that others rule out are put aside; each time the rest hold fewer blocks in common.
 ROUNDS = 2
-#: Blocks that must be met, in SQL: whatever the d edits, so many of d + so many are whole.
-MATCHES = "least(8, n div 3 - n div 5)"
 #: Lines that each line is compared with before pairs are made.
 FIRST = 6
+#: Most runs whose counts are sent to the tasks that choose among runs; words that are chosen from at once.
+MOST_OFTEN, PIECE = 100_000, 400
+#: Bits of a gram as dealt (the others tell its cell), and a length at least 1.25 times another is at most one class further.
+GRAM_BITS, LENGTHS = 30, np.log(1.2501)
 #: Most candidate lines whose keys are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -169,15 +171,18 @@ class _Hash(dict):
         return got
 
 
-def single(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def single(lines: list[list[bytes]], hashes: _Hash) -> Runs:
     """The lines' words in the place of runs, all of which count."""
     n = np.array([len(w) for w in lines], np.int64)
     g = np.array([hashes[x] for w in lines for x in w], np.uint64)
-    return g, np.repeat(np.arange(len(n)), n), np.ones(len(g), bool)
+    return g, np.repeat(np.arange(len(n)), n), np.ones(len(g), bool), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def grams(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lines' runs of three words: their keys, the numbers of their lines, and whether they are blocks (start at 0, 3, 6 ...).
+def grams(lines: list[list[bytes]], hashes: _Hash) -> Runs:
+    """The lines' runs of three words: their keys, the numbers of their lines, whether they are blocks (start at 0, 3, 6 ...), and their places.
 
     The shortest lines have too few blocks, and all their runs count as such.
     """
@@ -190,7 +195,18 @@ def grams(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarr
     line = np.repeat(np.arange(len(n)), n)[:-2]
     at = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[:-2]
     whole = at <= n[line] - 3
-    return g[whole], line[whole], ((at % 3 == 0) | (n[line] == LEAST_SIMILAR))[whole]
+    return g[whole], line[whole], ((at % 3 == 0) | (n[line] == LEAST_SIMILAR))[whole], at[whole]
+
+
+def cells(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cell of a run at ``at`` in a line of ``n`` words: six bits of length, three of place.
+
+    Of two lines within the bound, the longer has at most 5/4 of the other's words, and what is whole in both has places that are, as shares
+    of their lines, at most a fifth apart: with x edits before it and y after it, (1 - share) * x + share * y at most, of na // 5 in all.
+    So in either respect the cells are equal or neighbours. No length is at either end of its range, and no place.
+    """
+    length = np.clip((np.log(np.maximum(n, LEAST_SIMILAR)) / LENGTHS).astype(np.int64) - 8, 1, 62)
+    return (length << 3 | at * 5 // n + 1).astype(np.uint64)
 
 
 LINES = "doc_id long, text_key long, line_no int, n int, line binary, k0 long, k1 long, k2 long, k3 long"
@@ -264,9 +280,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(parts: int, column: str, runs=grams):
-    """Grams by part, packed: 40 bits (the last: is it a block), and the line's tag of 32 bits.
+    """Grams by part, packed: 40 bits (30 of the gram, 9 of its cell, and whether it is a block), and the line's tag of 32 bits.
 
-    A gram that a task meets in several lines is settled there: their blocks are counted as shared (``kind`` 1: tag and count), and
+    A gram that a task meets in several lines, in one cell, is settled there: their blocks are counted as shared (``kind`` 1: tag and count), and
     only two of the tags are passed on, so that what is dealt of a gram grows with the tasks and not with its holders.
     """
 
@@ -274,9 +290,9 @@ def _dealt(parts: int, column: str, runs=grams):
         hashes, seen, held, size = _Hash(), set(), [], 0
 
         def flushed():
-            g, tag, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            g, tag, block, cell = (np.concatenate(x) for x in zip(*held, strict=True))
             part = ((g >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
-            gram = g & np.uint64((1 << 39) - 1)
+            gram = (g & np.uint64((1 << GRAM_BITS) - 1)) << np.uint64(9) | cell
             order = np.lexsort((tag, gram, part))
             part, gram, tag, block = part[order], gram[order], tag[order], block[order]
             new = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(gram, prepend=~gram[:1]) != 0))
@@ -308,8 +324,8 @@ def _dealt(parts: int, column: str, runs=grams):
                         lines.append(w)
                         tags.append(int.from_bytes(k[:4], "big"))
             if lines:
-                g, line, block = runs(lines, hashes)
-                held.append((g, np.array(tags, np.uint32)[line], block))
+                g, line, block, at = runs(lines, hashes)
+                held.append((g, np.array(tags, np.uint32)[line], block, cells(np.array([len(w) for w in lines])[line], at)))
                 size += len(g)
             if size >= MOST_HELD:
                 yield flushed()
@@ -321,7 +337,7 @@ def _dealt(parts: int, column: str, runs=grams):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many blocks of a tag are also in lines of other tags, by part."""
+    """How many blocks of a tag are also in lines of other tags, in the same cell or one beside it, by part."""
     values, tags = [], []
     for batch in batches:
         for part, kind, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -339,30 +355,181 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(value)
         value, tag = value[order], tag[order]
         new = np.flatnonzero(np.diff(value >> np.uint64(1), prepend=np.uint64(1 << 63)))
-        many = np.minimum.reduceat(tag, new) != np.maximum.reduceat(tag, new)
-        many = np.repeat(many, np.diff(new, append=len(value)))
+        here, least, most = value[new] >> np.uint64(1), np.minimum.reduceat(tag, new), np.maximum.reduceat(tag, new)
+        low, high = least.copy(), most.copy()
+        for step in (1, 7, 8, 9):  # to the cells after this one; from each of these to this one
+            at = np.searchsorted(here, here + np.uint64(step))
+            one = np.flatnonzero(here[np.minimum(at, len(here) - 1)] == here + np.uint64(step))
+            other = at[one]
+            low[one], high[one] = np.minimum(low[one], least[other]), np.maximum(high[one], most[other])
+            low[other], high[other] = np.minimum(low[other], least[one]), np.maximum(high[other], most[one])
+        many = np.repeat(low != high, np.diff(new, append=len(value)))
         # A line met in several tasks is counted as often: too many shared blocks lose nothing.
         got, n = np.unique(tag[many & (value & np.uint64(1) == 1)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(got.astype(np.int64)), pa.array(n)], ["tag", "shared"])
 
 
-GRAMS = "id long, n int, gram long, blocks int"
+HELD = "gram long, held long, earliest long"
+CHOSEN = "gram long, a long, na int, low int, high int, left_low int, left_high int, a0 long, a1 long"
+MARKS = "gram long, b long, nb int, least int, most int, b0 long, b1 long"
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hash()
-    for batch in batches:
-        words = batch.column(1).to_pylist()
-        for s, e in _chunks(words, MOST_VARIANTS):
-            lines = [w.split(b" ") for w in words[s:e]]
-            gram, at, block = grams(lines, hashes)
-            order = np.lexsort((gram, at))
-            gram, at = gram[order], at[order]
-            new = np.flatnonzero((np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(at, prepend=-1) != 0))
-            blocks = np.add.reduceat(block[order].astype(np.int32), new).astype(np.int32)
-            gram, at = gram[new].view(np.int64), at[new]
-            n, at = np.array([len(w) for w in lines], np.int32)[at], at + s
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(n), pa.array(gram), pa.array(blocks)], _names(GRAMS))
+def _marks(lines: list[list[bytes]], hashes: _Hash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' words and runs of three words: keys, numbers of lines, places."""
+    (g, line, _, at), (h, line_, _, at_) = single(lines, hashes), grams(lines, hashes)
+    return np.concatenate([g, h]), np.concatenate([line, line_]), np.concatenate([at, at_])
+
+
+def odd_words(lines: list[list[bytes]], hashes: _Hash) -> np.ndarray:
+    """For each line and each of 128 classes of words, as bits of two longs: has it an odd number of words of the class? A word replaced changes two bits
+    at most, one added or taken away one: so d edits between lines that differ by x in length change at most 2 * d - x."""
+    g, line, _, _ = single(lines, hashes)
+    odd = np.bincount(line * 128 + (g >> np.uint64(57)).astype(np.int64), minlength=128 * len(lines)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
+
+
+def _in(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    return bits[(gram >> np.uint64(6)).astype(np.int64) % len(bits)] >> (gram & np.uint64(63)) & np.uint64(1) == 1
+
+
+def _marked(bits=None):
+    """Each word and run of three words of a line once, with its first and last places there; only those of ``_bits``, where given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hash()
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            for s, e in _chunks(words, MOST_VARIANTS):
+                lines = [w.split(b" ") for w in words[s:e]]
+                gram, line, at = _marks(lines, hashes)
+                if bits:
+                    some = _in(bits.value, gram)
+                    gram, line, at = gram[some], line[some], at[some]
+                order = np.lexsort((at, gram, line))
+                gram, line, at = gram[order], line[order], at[order]
+                new = np.flatnonzero((np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(line, prepend=-1) != 0))
+                last = np.append(new[1:], len(gram))[: len(new)] - 1
+                n = np.array([len(w) for w in lines], np.int32)[line[new]]
+                odd = odd_words(lines, hashes)[line[new]]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), batch.column(0).take(pa.array(line[new] + s)), pa.array(n), pa.array(at[new].astype(np.int32)), pa.array(at[last].astype(np.int32)), *map(pa.array, odd.T)], _names(MARKS))
+
+    return run
+
+
+def _only(bits):
+    """The rows whose gram, the first column, is one of ``_bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    return run
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By how many lines each word and run of three words is held, and the least of these, added up for many lines at once."""
+    held, size = [], 0
+
+    def flushed():
+        gram, line = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((line, gram))
+        gram, line = gram[order], line[order]
+        new = np.flatnonzero(np.diff(gram, prepend=~gram[:1]) != 0)
+        return pa.RecordBatch.from_arrays([pa.array(gram[new]), pa.array(np.diff(new, append=len(gram))), pa.array(line[new])], _names(HELD))
+
+    for batch in _marked()(batches):
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= 4 * MOST_HELD:
+            yield flushed()
+            held, size = [], 0
+    if held:
+        yield flushed()
+
+
+def disjoint(word: np.ndarray, run: np.ndarray, n: np.ndarray, m: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each row of ``n`` words, ``m`` words and runs of three words that don't overlap and cost least together.
+
+    ``word`` and ``run`` hold costs by place. Returned from the last to the first, as (row, how many are before it, place, is it a run).
+    """
+    never, width = 1 << 40, int(m.max()) + 1
+    best = np.full((word.shape[1] + 1, len(n), width), never, np.int64)
+    best[:, :, 0] = 0
+    for p in range(1, len(best)):
+        np.minimum(best[p - 1, :, 1:], best[p - 1, :, :-1] + word[:, p - 1, None], out=best[p, :, 1:])
+        if p >= 3:
+            np.minimum(best[p, :, 1:], best[p - 3, :, :-1] + run[:, p - 3, None], out=best[p, :, 1:])
+    out, at, left = [], n.copy(), m.copy()
+    for p in range(len(best) - 1, 0, -1):
+        row = np.flatnonzero((at == p) & (left > 0))
+        j = left[row]
+        now = best[p, row, j]
+        skip = best[p - 1, row, j] == now
+        one = ~skip & (best[p - 1, row, j - 1] + word[row, p - 1] == now)
+        at[row] -= np.where(skip | one, 1, 3)
+        row, one = row[~skip], one[~skip]
+        left[row] -= 1
+        out.append((row, left[row], np.where(one, p - 1, p - 3), ~one))
+    return out
+
+
+def _chosen(often):
+    """Of each line of ten words or more its d + 1 words or runs of three that don't overlap and are held by the fewest lines, d being ``bound``.
+
+    ``often`` has the keys that many lines hold, in order, and by how many; any other choice would find the same. Whatever the d edits, for some i the i-th (from 0) is
+    whole with i edits before it (fewer only if i is 0) and at most d - i after it: so its place is at most i from that in the other line, and as counted from the end
+    at most d - i. What is chosen twice in a line is one row, with the bounds of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (keys, counts) = _Hash(), often.value
+
+        def cost(gram: np.ndarray, other: int) -> np.ndarray:
+            if not len(keys):
+                return np.full(len(gram), other, np.int64)
+            at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+            return np.where(keys[at] == gram, 2 * counts[at], other)
+
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            rows, odd = [], np.zeros((len(words), 2), np.int64)
+            for s, e in _chunks(words, MOST_VARIANTS):
+                which = [k for k in range(s, e) if words[k].count(b" ") >= 9]
+                if not which:
+                    continue
+                lines = [words[k].split(b" ") for k in which]
+                (g, _, _, _), (h, _, _, _) = single(lines, hashes), grams(lines, hashes)
+                odd[which] = odd_words(lines, hashes)
+                n = np.array([len(w) for w in lines])
+                word_at, run_at = np.cumsum(n) - n, np.cumsum(n - 2) - (n - 2)
+                word, runs, d = cost(g, 3), cost(h, 2), n // 5
+                # Pieces (line, from, to), those of like lengths together; each has its share of the line's choices.
+                pieces = [(k, c, min(c + PIECE, n[k])) for k in range(len(n)) for c in range(0, n[k], PIECE)]
+                pieces = np.array(sorted(pieces, key=lambda x: x[2] - x[1]))
+                for c in range(0, len(pieces), 64):
+                    line, start, end = pieces[c : c + 64].T
+                    size, many = end - start, d[line] + 1
+                    before = many * start // n[line]
+                    m = many * end // n[line] - before
+                    costs = np.full((2, len(line), int(size.max())), 1 << 40, np.int64)
+                    for k in range(len(line)):
+                        own = runs[run_at[line[k]] + start[k] : run_at[line[k]] + end[k] - 2]
+                        costs[0, k, : size[k]] = word[word_at[line[k]] + start[k] : word_at[line[k]] + end[k]]
+                        costs[1, k, : len(own)] = own
+                    row, turn, at, is_run = (np.concatenate(x) for x in zip(*disjoint(*costs, size, m), strict=True))
+                    k, at, turn = line[row], at + start[row], turn + before[row]
+                    gram = np.where(is_run, h[np.minimum(run_at[k] + at, len(h) - 1)], g[word_at[k] + at])
+                    rows.append((gram, np.array(which)[k], n[k], at - turn, at + turn, n[k] - at - (d[k] - turn), n[k] - at + (d[k] - turn)))
+            if not rows:
+                continue
+            gram, line, n, *bounds = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((gram, line))
+            gram, line, n, bounds = gram[order], line[order], n[order], [x[order] for x in bounds]
+            new = np.flatnonzero((np.diff(gram, prepend=~gram[:1]) != 0) | (np.diff(line, prepend=-1) != 0))
+            bounds = [f.reduceat(x, new).astype(np.int32) for f, x in zip([np.minimum, np.maximum] * 2, bounds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), batch.column(0).take(pa.array(line[new])), pa.array(n[new].astype(np.int32)), *map(pa.array, [*bounds, *odd[line[new]].T])], _names(CHOSEN))
+
+    return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,13 +622,35 @@ def _short(docs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines, texts
 
 
+def _often(facts: DataFrame):
+    """The keys that the most lines hold, in order, and by how many, sent to the tasks: at most MOST_OFTEN, as they only make a choice cheaper."""
+    power = F.floor(F.log2("held"))
+    least, many = 0, 0
+    for p, n in sorted(facts.groupBy(power.alias("p")).count().collect(), reverse=True):
+        if (many := many + n) > MOST_OFTEN:
+            least = p + 1
+            break
+    rows = facts.where(power >= least).select("gram", "held").toArrow()
+    keys, counts = rows.column("gram").to_numpy().view(np.uint64), rows.column("held").to_numpy()
+    order = np.argsort(keys)
+    return facts.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
+
+
+def _bits(rows: DataFrame):
+    """A bit for each gram of ``rows``, 8 MB sent to the tasks. Others may share it: it only leaves out what no join would find."""
+    words = rows.groupBy(F.expr(f"cast(shiftrightunsigned(gram, 6) % {1 << 20} as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(gram & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << 20, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(bits)
+
+
 def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataFrame:
     """The lines (of ten words or more) that go, besides ``gone``, for an earlier one at most a fifth of the longer one's words away.
 
-    Lines are compared if one holds k of the longer one's d + k rarest blocks (k is 8, or as many as there are). First each with a
-    few lines only: of the earliest holders of its blocks those that it shares most with, which is where most of a group of
+    Lines are compared if one holds, near its place, one of the words and runs chosen of the longer one (``_chosen``). First each with a
+    few lines only: of the earliest holders of what it has chosen those that it shares most with, which is where most of a group of
     copies go. Then pairs are made for those lines alone that stay. So a group of copies costs as many comparisons as it has
-    lines; lines that share blocks and words with many others and are near none of them are compared with all of these.
+    lines, and a passage or word that many lines hold costs none where their own words tell them apart.
     """
     lines, texts = _short(docs, unique)
     # Numbered in the order of their places, so that the least number is the earliest.
@@ -469,11 +658,14 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
     out = numbered.join(gone.select("id"), "id", "left_semi").selectExpr("at as id")
     texts_ = saved(texts.join(numbered.select("id", "at"), "id").select("at", "first", "words"), "texts")
     dropped(texts, lines)
-    blocks = saved(mapped(texts_.select("at", "words"), _grams, GRAMS).where("blocks > 0"), "blocks")
-    facts = blocks.groupBy("gram").agg(F.min("id").alias("earliest"), F.count("*").alias("held")).where("held > 1")
-    facts = saved(facts.withColumn("holders", F.col("held")), "holders")
-    met = saved(joined(blocks, facts, "gram", blocks.count(), "left"), "met")  # id, n, gram, blocks, earliest, holders
-    dropped(blocks, facts)
+    plain = texts_.select("at", "words")
+    facts = saved(mapped(plain, _held, HELD).groupBy("gram").agg(F.sum("held").alias("held"), F.min("earliest").alias("earliest")).where("held > 1").select(*_names(HELD)), "holders")
+    chosen = saved(mapped(plain, _chosen(_often(facts)), CHOSEN), "chosen")
+    total, old = facts.agg(F.sum("held")).first()[0] or 0, facts
+    facts = saved(mapped(old, _only(_bits(chosen)), HELD), "held")
+    dropped(old)
+    met = saved(joined(chosen, facts, "gram", total), "met")  # what no other line holds is left out
+    dropped(chosen, facts)
     one, other = texts_.selectExpr("at as id", "first as one_first", "words as one"), texts_.selectExpr("at as other", "first as other_first", "words as two")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -481,30 +673,27 @@ def _by_similarity(docs: DataFrame, unique: DataFrame, gone: DataFrame) -> DataF
         both = pairs.join(one, "id").join(other, "other").where("other_first < one_first").select("id", "one", "two")
         return saved(mapped(both, _similar, "id long").distinct(), "similar")
 
-    star = met.where("earliest < id").groupBy("id", "earliest").agg(F.sum("blocks").alias("n"))
-    best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "earliest"))
-    star = star.join(out, "id", "left_anti").withColumn("turn", best).where(F.col("turn") <= FIRST)
-    star = saved(star.select("id", F.col("earliest").alias("other")), "star")
-    first = near(star)
-    dropped(star)
-    keep = saved(numbered.selectExpr("at as id").join(out.union(first), "id", "left_anti"), "keep")
-    # Of the longer line any d + k blocks will do, as long as none is left out for the other line's sake; the rarest make the fewest pairs.
-    before = "coalesce(sum(blocks) over (partition by id order by coalesce(holders, 1), gram rows between unbounded preceding and 1 preceding), 0)"
-    a = met.where("n >= 10").selectExpr("*", f"{before} as before").where(f"before < n div 5 + {MATCHES}")
-    a = saved(a.selectExpr("gram", "id as a", "n as na", "blocks", f"{MATCHES} as need"), "rarest")
-    dropped(met)
-    runs = lambda of: mapped(of.select("at", "words"), _grams, GRAMS).selectExpr("gram", "id as b", "n as nb")
-    alike, stays = "nb <= na and nb >= na - na div 5", keep.select("id")
-    later = [
-        a.join(stays.withColumnRenamed("id", "a"), "a", "left_semi").join(runs(texts_), "gram").where(f"b < a and {alike}").selectExpr("a as id", "b as other", "blocks", "need"),
-        a.join(runs(texts_.join(stays.withColumnRenamed("id", "at"), "at", "left_semi")), "gram").where(f"a < b and {alike}").selectExpr("b as id", "a as other", "blocks", "need"),
-    ]
-    found = [first]
-    for pairs in later:  # written first: the grams that were shuffled for them are gone when their texts are
-        pairs = pairs.groupBy("id", "other").agg(F.sum("blocks").alias("blocks"), F.max("need").alias("need")).where("blocks >= need")
-        pairs = saved(pairs.select("id", "other"), "pairs")
-        found.append(near(pairs))
-        dropped(pairs)
+    found, keep = [], saved(numbered.selectExpr("at as id").join(out, "id", "left_anti"), "keep")
+    for to in (["gram"], ["gram", "na"]):  # the earliest holder of what is chosen, then the earliest line as long that has chosen it too
+        star = met.join(small(keep.withColumnRenamed("id", "a")), "a", "left_semi")
+        if "na" in to:
+            star = star.drop("earliest").join(met.groupBy(*to).agg(F.min("a").alias("earliest"), F.count("*").alias("held")).where("held > 1"), to)
+        star = star.where("earliest < a").groupBy(F.col("a").alias("id"), "earliest").agg(F.count("*").alias("n"))
+        best = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "earliest"))
+        star = saved(star.withColumn("turn", best).where(F.col("turn") <= FIRST).select("id", F.col("earliest").alias("other")), "star")
+        found.append(near(star))
+        old, keep = keep, saved(keep.join(small(found[-1]), "id", "left_anti"), "keep")
+        dropped(star, old)
+    stays = keep.select("id", F.lit(True).alias("stays"))
+    a = saved(met.join(small(stays.withColumnRenamed("id", "a")), "a", "left").withColumnRenamed("stays", "a_stays").drop("earliest"), "rarest")
+    b = mapped(plain, _marked(_bits(a)), MARKS).join(small(stays.withColumnRenamed("id", "b")), "b", "left").withColumnRenamed("stays", "b_stays")
+    alike = "nb <= na and nb >= na - na div 5 and least <= high and most >= low and nb - most <= left_high and nb - least >= left_low"
+    alike += " and bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= 2 * (na div 5) - (na - nb)"
+    pairs = b.join(small(a), "gram").where(f"{alike} and (b < a and a_stays or a < b and b_stays)")
+    # Written first: what was shuffled for them is gone when their texts are.
+    pairs = saved(pairs.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("other")).distinct(), "pairs")
+    found.append(near(pairs))
+    dropped(pairs, met)
     out = saved(functools.reduce(DataFrame.union, found).withColumnRenamed("id", "at").join(numbered.select("id", "at"), "at").select("id").distinct(), "gone")
     dropped(a, keep, texts_, numbered, *found)
     return out
