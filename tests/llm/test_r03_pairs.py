@@ -18,10 +18,11 @@ def test_a_passage_that_many_lines_hold_makes_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(linededup, "saved", saved)
     passage = " ".join(f"p{k}" for k in range(42))
-    lines = [" ".join(f"own{i}x{k}" for k in range(24)) + " " + passage for i in range(60)]
+    rng, pool = random.Random(2), [f"w{k}x" for k in range(400)]  # so that each of the own words is in some other lines
+    lines = [" ".join([*rng.sample(pool, 24), passage]) for _ in range(60)]
     assert linededup.deduplicated(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).count() == 60
-    assert sum(sizes) <= 60
-    near = [*lines, lines[7].replace("own7x3 ", "").replace("p9 ", "other "), lines[9].replace("own9x0", "a b c d e f g h i j k")]
+    assert sum(sizes) <= 300  # of 1,770
+    near = [*lines, lines[7].replace(lines[7].split()[3] + " ", "").replace("p9 ", "other "), "a b c d e f g h i j " + lines[9]]
     got = {r.doc_id for r in linededup.deduplicated(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).collect()}
     assert got == set(range(60))
 
