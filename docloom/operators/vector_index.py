@@ -4,7 +4,8 @@ Vectors are brought to length one and dealt to the list of their nearest centroi
 byte for each of some runs of its components. A search reads only the lists whose centroids are nearest to the query, ranks their
 codes by looked-up sums, and computes exact distances for the best. Codes and vectors are partitioned by list, and a list
 that holds much is several files. Of a group of near copies that share one code, as many are looked at exactly as are refined: those
-found are as near as any, but which they are is by chance. Changes are segments with deletions, committed as generations of a ``versions.Store``.
+found are as near as any, but which they are is by chance. ``search_whole`` goes without the codes: it compares all live vectors.
+Changes are segments with deletions, committed as generations of a ``versions.Store``.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ BLOCK, BROADCAST_ROWS = 1024, 500_000
 BROADCAST_KEYS = 200_000
 #: The list of what has no direction: null, zero or not finite vectors, and those of another length. It is never read.
 NOWHERE = -1
-#: Rows whose distances from all centres are in memory at once.
+#: Rows whose distances from all centres, or from a block of queries, are in memory at once.
 ROWS = 4096
+#: Queries of one pass over all vectors, and how far a product by matrices may be from a sum in order; nearer ones are summed in order.
+PASS, SLACK = 8192, 1e-11
 
 
 def _near(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,10 +315,83 @@ def _block(index: VectorIndex, queries: list[tuple], k: int, probes: int, refine
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", *key, "distance")
 
 
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of products of rows, component after component as in ``dense.dot``: the same for equal rows, wherever they stand."""
+    out = np.zeros(len(x))
+    for c in range(x.shape[1]):
+        out += x[:, c] * y[:, c]
+    return out
+
+
+def _compared(probes: np.ndarray, names: np.ndarray, key: list[str], k: int):
+    """In each task: the k nearest of each query among the rows that it sees, equals by key. Products by matrices tell which
+    vectors may be among them, and exact distances of those decide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm = np.sqrt(_in_order(probes, probes))
+        bound = np.full(len(probes), np.inf)
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(key)), np.int64)
+        for batch in batches:
+            held = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(len(key))], 1)
+            vectors = batch.column(len(key)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), probes.shape[1])
+            for s in range(0, len(held), ROWS):
+                x, ids = vectors[s : s + ROWS], held[s : s + ROWS]
+                length = np.sqrt(_in_order(x, x))
+                found = []
+                for t in range(0, len(probes), BLOCK):
+                    gap = 1 - (probes[t : t + BLOCK] @ x.T) / norm[t : t + BLOCK, None] / length
+                    limit = bound[t : t + BLOCK].copy()
+                    many = np.flatnonzero((gap <= limit[:, None] + SLACK).sum(1) > k)
+                    if len(many):
+                        limit[many] = np.minimum(limit[many], np.partition(gap[many], k - 1, 1)[:, k - 1])
+                    q, row = np.nonzero(gap <= limit[:, None] + SLACK)
+                    for u in range(0, len(q), BLOCK * ROWS // 4):  # many at once only where many are equally near
+                        a, b = q[u : u + BLOCK * ROWS // 4] + t, row[u : u + BLOCK * ROWS // 4]
+                        found.append(_least(a, 1 - _in_order(x[b], probes[a]) / (length[b] * norm[a]), ids[b], k))
+                best = _least(*(np.concatenate(c) for c in zip(best, *found, strict=True)), k)
+                last = np.flatnonzero(np.bincount(best[0], minlength=len(probes)) == k)
+                np.put(bound, last, best[1][np.searchsorted(best[0], last, "right") - 1])
+        q, d, ids = best
+        yield pa.RecordBatch.from_arrays([pa.array(names[q]), *(pa.array(ids[:, c]) for c in range(len(key))), pa.array(d)], ["query", *key, "distance"])
+
+    return run
+
+
+def _least(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each query by (distance, key), in order."""
+    order = np.lexsort((*ids.T[::-1], d, q))
+    q, d, ids = q[order], d[order], ids[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[kept], d[kept], ids[kept]
+
+
+def search_whole(index: VectorIndex, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query, key, distance): the k nearest of each of ``queries`` (query, embedding) among all live vectors, equals by key. Each vector
+    is compared with each query where it is; a task keeps k of each. ``allowed`` and queries without a direction as in ``search``."""
+    key, out = list(index.key), None
+    kinds = "query long, " + ", ".join(f"{c} long" for c in key) + ", distance double"
+    rows = index.live("vectors")
+    if rows is None:
+        return index.store.spark.createDataFrame([], kinds)
+    rows = rows.where(F.col("list") != NOWHERE).select(*key, "embedding")
+    if allowed is not None:
+        rows = rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
+    for block in _blocks(queries, PASS):
+        some = unit([v for _, v in block], index.model.dim)[1]
+        asked = [x for x, ok in zip(block, some, strict=True) if ok]
+        if asked:
+            got = rows.mapInArrow(_compared(np.array([v for _, v in asked], np.float64), np.array([q for q, _ in asked], np.int64), key, k), kinds)
+            out = got if out is None else out.unionByName(got)
+    if out is None:
+        return index.store.spark.createDataFrame([], kinds)
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", *key))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, refined: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(query, key, distance): about the k nearest of each of ``queries`` (query, embedding), exact distances. Queries pass by the driver
-    in blocks, each a plan of its own. As many probes as lists, and enough refined, make the search exact. ``allowed`` (doc_id)
-    restricts what is found. A query without a direction finds nothing."""
+    in blocks, each a plan of its own. As many probes as lists, and as many refined as there are vectors, make the search exact;
+    ``search_whole`` is so at any size. ``allowed`` (doc_id) restricts what is found. A query without a direction finds nothing."""
     probes, refined, out = probes or index.probes, refined or index.refined, None
     for block in _blocks(queries):
         got = _block(index, block, k, probes, refined, allowed)
@@ -329,11 +405,11 @@ def nearest(index: VectorIndex, probes: list[list[float]], k: int, allowed: Data
     return search(index, asked, k, allowed=allowed).groupBy(*index.key).agg(F.min("distance").alias("distance"))
 
 
-def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
+def _blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list[tuple]]:
     block = []
     for r in queries.select("query", "embedding").toLocalIterator():
         block.append((r["query"], r["embedding"]))
-        if len(block) == BLOCK:
+        if len(block) == size:
             yield block
             block = []
     if block:
